@@ -49,9 +49,7 @@ def handle_of(url: Column, platform: Column) -> Column:
 
 
 def _with_scheme(url: Column) -> Column:
-    clean = strip(url)
-    return F.when(clean.rlike("^https?://"), clean).otherwise(
-        F.concat(F.lit("https://"), F.regexp_replace(clean, "^/+", "")))
+    return F.regexp_replace(strip(url), "^(?!https?://)/*", "https://")
 
 
 def _host(full: Column) -> Column:
@@ -64,8 +62,8 @@ def _path(full: Column) -> Column:
 
 def foreign_host(url: Column) -> Column:
     """True where the URL belongs to another site: such rows go to a reject table."""
-    host = _host(_with_scheme(url))
-    return (host != "") & (host != SITE) & ~host.endswith("." + SITE)
+    own = r"(?i)^https?://(?:[^/?#]*\." + SITE.replace(".", r"\.") + "|" + SITE.replace(".", r"\.") + r"|)(?:[/?#]|$)"
+    return ~_with_scheme(url).rlike(own)
 
 
 def _squeeze(path: Column) -> Column:
@@ -78,8 +76,8 @@ def _guard(url: Column, value: Column) -> Column:
 
 def canonical_profile(url: Column) -> Column:
     path = F.regexp_replace(_path(_with_scheme(url)), "/+$", "")
-    bare = ~path.rlike("^/(in|pub)/") & path.rlike(r"^/[a-zA-Z0-9_\-]+$")
-    return _guard(url, F.concat(F.lit(SITE_ROOT), _squeeze(F.when(bare, F.concat(F.lit("/in"), path)).otherwise(path))))
+    # a path of one bare handle gets the profile prefix
+    return _guard(url, F.concat(F.lit(SITE_ROOT), _squeeze(F.regexp_replace(path, r"^(/[a-zA-Z0-9_\-]+)$", "/in$1"))))
 
 
 def profile_handle(url: Column) -> Column:
@@ -103,10 +101,9 @@ def job_id(url: Column) -> Column:
 def canonical_company(url: Column) -> Column:
     path = _path(_with_scheme(url))
     slug = F.regexp_extract(path, COMPANY_PATH, 1)
-    rest = _squeeze(F.regexp_replace(path, "/+$", ""))
-    bare = rest.rlike(r"^/[a-zA-Z0-9_\-]+$")
+    rest = F.regexp_replace(_squeeze(F.regexp_replace(path, "/+$", "")), r"^(/[a-zA-Z0-9_\-]+)$", "/company$1")
     return _guard(url, F.when(slug != "", F.concat(F.lit(SITE_ROOT + "/company/"), slug, F.lit("/")))
-                  .otherwise(F.concat(F.lit(SITE_ROOT), F.when(bare, F.concat(F.lit("/company"), rest)).otherwise(rest))))
+                  .otherwise(F.concat(F.lit(SITE_ROOT), rest)))
 
 
 def company_slug(url: Column) -> Column:

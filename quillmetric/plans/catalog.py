@@ -4,7 +4,7 @@ import importlib
 
 from quillmetric.plans.registry import ORACLES, QUERIES
 
-MODULES = ("post_queries", "lint_queries")
+MODULES = ("post_queries", "lint_queries", "scalar_queries")
 
 for _module in MODULES:
     importlib.import_module(f"quillmetric.plans.{_module}")
