@@ -13,7 +13,7 @@ SITE_ROOT = "https://www.linkedin.com"
 JOB_PATH = r"/jobs/view/(?:[^/?#]*-)?(\d+)"
 JOB_QUERY = r"currentJobId=(\d+)"
 COMPANY_PATH = r"/company/([^/?#]+)"
-ACTIVITY_ID = r"urn:li:activity:(\d+)|/activity[:-](\d+)"
+ACTIVITY_ID = r"(?:urn:li:activity:|/activity[:-])(\d+)"
 RESERVED_SEGMENTS = ("p", "reel", "reels", "stories", "tv")
 
 # Paths and titles of pages that ask the reader to log in.
@@ -80,52 +80,65 @@ def canonical_profile(url: Column) -> Column:
     return _guard(url, F.concat(F.lit(SITE_ROOT), _squeeze(F.regexp_replace(path, r"^(/[a-zA-Z0-9_\-]+)$", "/in$1"))))
 
 
+def _found(full: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(full, pattern, 1), F.lit(""))
+
+
 def profile_handle(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(canonical_profile(url), r"(?i)/in/([^/?#]+)", 1)), F.lit(""))
+    full = _with_scheme(url)
+    named = _found(full, r"(?i)^https?://[^/?#]*[^?#]*?/in/+([^/?#]+)")
+    bare = _found(full, r"^https?://[^/?#]*/([a-zA-Z0-9_\-]+)/*(?:[?#]|$)")
+    return F.when(~foreign_host(url), F.lower(F.coalesce(named, bare)))
+
+
+def _job(full: Column) -> Column:
+    return F.coalesce(_found(full, r"^https?://[^/?#]*[^?#]*?" + JOB_PATH), _found(full, r"\?[^#]*" + JOB_QUERY))
+
+
+def _rest(full: Column) -> Column:
+    return _squeeze(F.regexp_replace(_path(full), "/+$", ""))
 
 
 def canonical_job(url: Column) -> Column:
     full = _with_scheme(url)
-    by_path = F.regexp_extract(_path(full), JOB_PATH, 1)
-    by_query = F.regexp_extract(full, r"\?[^#]*" + JOB_QUERY, 1)
-    job = F.coalesce(F.nullif(by_path, F.lit("")), F.nullif(by_query, F.lit("")))
-    rest = _squeeze(F.regexp_replace(_path(full), "/+$", ""))
-    return _guard(url, F.when(job.isNotNull(), F.concat(F.lit(SITE_ROOT + "/jobs/view/"), job, F.lit("/")))
-                  .otherwise(F.concat(F.lit(SITE_ROOT), rest)))
+    return _guard(url, F.concat(F.lit(SITE_ROOT), F.coalesce(
+        F.concat(F.lit("/jobs/view/"), _job(full), F.lit("/")), _rest(full))))
 
 
 def job_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(canonical_job(url), JOB_PATH, 1), F.lit(""))
+    return F.when(~foreign_host(url), _job(_with_scheme(url)))
+
+
+def _company(full: Column) -> Column:
+    return _found(full, r"^https?://[^/?#]*[^?#]*?" + COMPANY_PATH)
 
 
 def canonical_company(url: Column) -> Column:
-    path = _path(_with_scheme(url))
-    slug = F.regexp_extract(path, COMPANY_PATH, 1)
-    rest = F.regexp_replace(_squeeze(F.regexp_replace(path, "/+$", "")), r"^(/[a-zA-Z0-9_\-]+)$", "/company$1")
-    return _guard(url, F.when(slug != "", F.concat(F.lit(SITE_ROOT + "/company/"), slug, F.lit("/")))
-                  .otherwise(F.concat(F.lit(SITE_ROOT), rest)))
+    full = _with_scheme(url)
+    # a path of one bare name gets the company prefix
+    rest = F.regexp_replace(_rest(full), r"^(/[a-zA-Z0-9_\-]+)$", "/company$1")
+    return _guard(url, F.concat(F.lit(SITE_ROOT), F.coalesce(
+        F.concat(F.lit("/company/"), _company(full), F.lit("/")), rest)))
 
 
 def company_slug(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(canonical_company(url), COMPANY_PATH, 1)), F.lit(""))
+    full = _with_scheme(url)
+    bare = _found(full, r"^https?://[^/?#]*/+([a-zA-Z0-9_\-]+)/*(?:[?#]|$)")
+    return F.when(~foreign_host(url), F.lower(F.coalesce(_company(full), bare)))
 
 
 def activity_id(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(text, ACTIVITY_ID, 1), F.lit("")),
-                      F.nullif(F.regexp_extract(text, ACTIVITY_ID, 2), F.lit("")))
+    return _found(text, ACTIVITY_ID)
 
 
 def canonical_post(url: Column) -> Column:
     full = _with_scheme(url)
-    found = F.coalesce(activity_id(_path(full)), activity_id(full))
-    rest = _squeeze(F.regexp_replace(_path(full), "/+$", ""))
-    return _guard(url, F.when(found.isNotNull(),
-                              F.concat(F.lit(SITE_ROOT + "/feed/update/urn:li:activity:"), found, F.lit("/")))
-                  .otherwise(F.concat(F.lit(SITE_ROOT), rest)))
+    return _guard(url, F.concat(F.lit(SITE_ROOT), F.coalesce(
+        F.concat(F.lit("/feed/update/urn:li:activity:"), activity_id(full), F.lit("/")), _rest(full))))
 
 
 def post_id(url: Column) -> Column:
-    return activity_id(canonical_post(url))
+    return F.when(~foreign_host(url), activity_id(_with_scheme(url)))
 
 
 def block_reason(url: Column, title: Column) -> Column:

@@ -62,7 +62,7 @@ TEXT_POSTS = View("text_posts", "documents", {
                 "CAST((1717200000000 - (doc_id % 500) * 1800000) * 4194304 + doc_id % 4194304 AS VARCHAR)"),
     "author_name": "source",
     "author_type": "CASE WHEN source IN ('src0', 'src5', 'src10', 'src15') THEN 'company' ELSE 'person' END",
-    "author_id": "'urn:li:member:' || source",
+    "author_id": "CASE WHEN source IN ('src0', 'src5', 'src10', 'src15') THEN source ELSE 'urn:li:member:' || source END",
     "text": "text",
     "lang": "lang",
     "like_count": "CAST(n_chars % 211 AS BIGINT)",
@@ -109,8 +109,7 @@ STAGES = View("stages", "orders", {
              "WHEN 3 THEN 'drafting' WHEN 4 THEN 'ready' WHEN 5 THEN 'researching' ELSE 'rejected' END",
     "score": "CASE WHEN o_orderkey % 3 = 0 THEN '' "
              "ELSE (o_orderkey % 40 + 20) || '–' || (o_orderkey % 40 + 41) END",
-    "follow_up": ("CAST(o_orderdate AS DATE) + CAST(8000 AS INT) - CAST(1500 AS INT)",
-                  "CAST(o_orderdate AS DATE) + CAST(8000 AS INT) - CAST(1500 AS INT)"),
+    "follow_up": "CAST(o_orderdate AS DATE) + CAST(8500 AS INT)",
     "next_action": "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'ping owner' END",
     "source": "o_orderpriority",
     "segment": "o_orderstatus",
