@@ -1,30 +1,48 @@
 """Fuzzy similarity of short strings: the one family Spark has no native expression for.
 
 All ratios are 0 to 100 and rest on the longest common subsequence of two strings.
-The Pandas UDFs see Arrow batches; the target list is a bounded parameter.
+The Pandas UDFs see Arrow batches; the target list is a bounded parameter. They are declared
+non-deterministic only so that a filter on a score does not run the function a second time.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 W_SET, W_SORT, W_PART = 0.5, 0.3, 0.2
+LONG_TEXT = 256
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word-parallel step per character of b."""
-    if not a or not b:
-        return 0
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _masks(text: str, letters: set[str]) -> dict[str, int]:
+    """Bit mask of the positions of each letter in the text."""
+    if len(text) > LONG_TEXT:
+        codes = _codes(text)
+        return {ch: int.from_bytes(np.packbits(codes == ord(ch), bitorder="little").tobytes(), "little")
+                for ch in letters}
     masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(text):
         masks[ch] = masks.get(ch, 0) | (1 << i)
+    return masks
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence: one bit-parallel step per character of the shorter string."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return 0
+    masks = _masks(a, set(b))
     full = (1 << len(a)) - 1
     row = full
     for ch in b:
@@ -33,6 +51,22 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _best_full_window(short: str, long: str) -> float:
+    """Best ratio of a string of at most 63 characters against all equally long windows, as vectors."""
+    size = len(short)
+    count = len(long) - size + 1
+    codes = _codes(long)
+    hits = np.zeros(len(long), dtype=np.uint64)
+    for ch, mask in _masks(short, set(short)).items():
+        hits[codes == ord(ch)] = mask
+    full = np.uint64((1 << size) - 1)
+    row = np.full(count, full, dtype=np.uint64)
+    for j in range(size):
+        hit = row & hits[j:j + count]
+        row = ((row + hit) | (row - hit)) & full
+    return 100.0 * (size - int(np.bitwise_count(row).min())) / size
+
+
 def ratio(a: str, b: str) -> float:
     total = len(a) + len(b)
     return 100.0 if total == 0 else 200.0 * common_subsequence(a, b) / total
@@ -60,19 +94,21 @@ def set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string against windows of the longer one, ends included."""
+    """Best ratio of the shorter string against windows of the longer one, cut windows at both ends included."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    size, best = len(short), 0.0
-    letters = set(short)
-    for start in range(1 - size, len(long)):
-        window = long[max(0, start):min(len(long), start + size)]
-        edge = window[-1] if start <= 0 else window[0]
-        if edge in letters:
-            best = max(best, ratio(short, window))
+    size, n = len(short), len(long)
+    if size <= 63:
+        best = _best_full_window(short, long)
+    else:
+        best = max(ratio(short, long[i:i + size]) for i in range(n - size + 1))
+    for k in range(1, size):
+        # a cut window of k characters cannot beat 200 k / (size + k)
+        if 200.0 * k / (size + k) > best:
+            best = max(best, ratio(short, long[:k]), ratio(short, long[n - k:]))
     return best
 
 
@@ -81,24 +117,38 @@ def plain(text: str) -> str:
     return re.sub(r"[\W_]", " ", text).lower().strip()
 
 
-def blend(a: str, b: str) -> float:
-    return W_SET * set_ratio(a, b) + W_SORT * sort_ratio(a, b) + W_PART * partial_ratio(a, b)
+def blend(a: str, b: str, floor: float = -1.0, strict: bool = False) -> float:
+    """Weighted blend of the three ratios. A pair that cannot beat ``floor`` skips the windowed ratio and gives 0.
+
+    With ``strict``, a part match inside an unrelated word does not count.
+    """
+    whole, ordered = set_ratio(a, b), sort_ratio(a, b)
+    known = W_SET * whole + W_SORT * ordered
+    if known + W_PART * 100.0 <= floor:
+        return 0.0
+    part = partial_ratio(a, b)
+    if strict and part > whole and not set(a.split()) <= set(re.split(r"\W+", b)):
+        part = whole
+    return known + W_PART * part
 
 
-@lru_cache(maxsize=65536)
 def pair_score(target: str, candidate: str) -> float:
     t, c = plain(target), plain(candidate)
     return blend(t, c) if t and c else 0.0
 
 
-@lru_cache(maxsize=65536)
-def company_pair_score(target: str, candidate: str) -> float:
-    """Both sides are cleaned company keys; a part match inside an unrelated word does not count."""
-    part, whole = partial_ratio(target, candidate), set_ratio(target, candidate)
-    words = set(re.split(r"\W+", candidate))
-    if not all(w in words for w in target.split()):
-        part = min(part, whole)
-    return W_SET * whole + W_SORT * sort_ratio(target, candidate) + W_PART * part
+def company_pair_score(target_key: str, candidate_key: str) -> float:
+    """Both sides are cleaned company keys."""
+    return blend(target_key, candidate_key, strict=True) if target_key and candidate_key else 0.0
+
+
+def _best(targets: Sequence[str], candidates: Sequence[str], strict: bool = False) -> float:
+    best = 0.0
+    for t in targets:
+        for c in candidates:
+            if t and c:
+                best = max(best, blend(t, c, best, strict))
+    return best
 
 
 def similarity(left: Column, right: Column) -> Column:
@@ -108,31 +158,39 @@ def similarity(left: Column, right: Column) -> Column:
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([pair_score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
-    return score(left, right)
+    return score.asNondeterministic()(left, right)
+
 
+def best_similarity(targets: Sequence[str], candidates: Column, digits: int = 2) -> Column:
+    """Best blended similarity between a parameter list and an array column, rounded; 0 for an empty array.
 
-def best_similarity(targets: Sequence[str], candidates: Column) -> Column:
-    """Best blended similarity between a parameter list and an array column."""
-    wanted = [t for t in targets if t and t.strip()]
+    Use the result as a column of its own: Spark cannot plan it inside a larger expression.
+    """
+    wanted = [plain(t) for t in targets if t and t.strip()]
 
     @F.pandas_udf(T.DoubleType())
     def score(lists: pd.Series) -> pd.Series:
         return pd.Series([
-            max((pair_score(t, c) for t in wanted for c in (row if row is not None else ())), default=0.0)
-            for row in lists
+            round(_best(wanted, dict.fromkeys(map(plain, row if row is not None else ()))), digits) for row in lists
         ], dtype="float64")
 
-    return score(candidates)
+    return score.asNondeterministic()(candidates)
 
 
-def best_company_similarity(target_key: str, candidate_keys: Column) -> Column:
-    """Best company similarity of one cleaned target and an array of cleaned candidates."""
+def best_company_similarity(target_key: str, candidate_keys: Column, digits: int = 2) -> Column:
+    """Best similarity of one cleaned company and an array of cleaned candidates, rounded.
 
+    An exact match gives 100 before any ratio is computed. Same rule on use as ``best_similarity``.
+    """
     @F.pandas_udf(T.DoubleType())
     def score(lists: pd.Series) -> pd.Series:
-        return pd.Series([
-            max((company_pair_score(target_key, c) for c in (row if row is not None else ()) if c), default=0.0)
-            for row in lists
-        ], dtype="float64")
-
-    return score(candidate_keys)
+        out = []
+        for row in lists:
+            keys = [c for c in (row if row is not None else ()) if c]
+            if target_key in keys:
+                out.append(100.0)
+            else:
+                out.append(round(_best([target_key], keys, strict=True), digits))
+        return pd.Series(out, dtype="float64")
+
+    return score.asNondeterministic()(candidate_keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmetric.functions.text import literal_array, strip
+from quillmetric.functions.text import bind, literal_array, strip
 from quillmetric.functions.urls import profile_handle
 
 # Role abbreviations and their long forms.
@@ -127,31 +127,22 @@ def org_aliases(name: Column) -> Column:
 
 
 def expand_roles(text: Column) -> Column:
-    """Replace role abbreviations that stand as whole ASCII words."""
-    # pieces alternate between letters and everything else, so joining them gives the text back
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z]+|[^A-Za-z]+"), 0)
+    """Replace role abbreviations that stand as whole words."""
+    # pieces alternate between words and everything else, so joining them gives the text back
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\w+|\W+"), 0)
     pairs: list[Column] = []
     for short, full in ROLE_WORDS.items():
         pairs += [F.lit(short), F.lit(full)]
     lookup = F.create_map(*pairs)
-    glued = F.lit(r"(?U)^[\w&&[^A-Za-z]]")
-    glued_end = F.lit(r"(?U)[\w&&[^A-Za-z]]$")
-
-    def swap(piece: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(pieces, i - 1), F.lit(""))
-        after = F.coalesce(F.get(pieces, i + 1), F.lit(""))
-        whole = ~F.regexp_like(before, glued_end) & ~F.regexp_like(after, glued)
-        return F.when(whole, F.coalesce(F.try_element_at(lookup, F.lower(piece)), piece)).otherwise(piece)
-
-    return F.array_join(F.transform(pieces, swap), "")
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(lookup, F.lower(p)), p)), "")
 
 
 def segments(text: Column) -> Column:
     """Parts of a headline between separators and ' at ', plus the whole text."""
-    whole = strip(text)
     raw = F.split(text, r"(?U)[-@|•·–—/:\n,()\[\]{}]|\bat\b")
-    parts = F.filter(F.transform(raw, strip), lambda s: s != "")
-    return F.when(F.array_contains(parts, whole), parts).otherwise(F.array_append(parts, whole))
+    found = F.struct(F.filter(F.transform(raw, strip), lambda s: s != "").alias("parts"), strip(text).alias("whole"))
+    return bind(found, lambda f: F.when(F.array_contains(f["parts"], f["whole"]), f["parts"]).otherwise(
+        F.array_append(f["parts"], f["whole"])))
 
 
 def employer(headline: Column) -> Column:

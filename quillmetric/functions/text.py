@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ RELEVANCE_COVERAGE, RELEVANCE_PRECISION, PRECISION_SLACK = 0.65, 0.35, 4
 CLIP_LIMIT = 280
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it many times, above all inside array functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -181,25 +186,22 @@ def bounded(term: str) -> str:
     return r"(?<![a-z0-9])" + re.escape(term) + r"(?![a-z0-9])"
 
 
-def has_term(text: Column, term: str, case_bound: frozenset[str] = frozenset()) -> Column:
-    """Exact keyword test. A cheap substring test runs before the pattern."""
+def _term_test(body: Column, lowered: Column, term: str, case_bound: frozenset[str]) -> Column:
+    """A cheap substring test runs before the pattern."""
     low = term.lower()
-    if low in case_bound:
-        tests = []
-        for form in sorted({low.title(), low.upper()}):
-            pattern = r"(?<![A-Za-z0-9])" + re.escape(form) + r"(?![A-Za-z0-9])"
-            tests.append(F.contains(text, F.lit(form)) & text.rlike(pattern))
-        test = tests[0]
-        for other in tests[1:]:
-            test = test | other
-        return test
-    lowered = F.lower(text)
-    return F.contains(lowered, F.lit(low)) & lowered.rlike(bounded(low))
+    if low not in case_bound:
+        return F.contains(lowered, F.lit(low)) & lowered.rlike(bounded(low))
+    test = F.lit(False)
+    for form in sorted({low.title(), low.upper()}):
+        pattern = r"(?<![A-Za-z0-9])" + re.escape(form) + r"(?![A-Za-z0-9])"
+        test = test | (F.contains(body, F.lit(form)) & body.rlike(pattern))
+    return test
 
 
 def keyword_hits(text: Column, terms: Sequence[str], case_bound: frozenset[str] = frozenset()) -> Column:
     """Terms found in the text, in list order. The term list is a bounded parameter."""
     if not terms:
         return literal_array([])
-    body = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*[F.when(has_term(body, t, case_bound), F.lit(t)) for t in terms]))
+    pair = F.struct(F.coalesce(text, F.lit("")).alias("body"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    return bind(pair, lambda t: F.array_compact(F.array(*[
+        F.when(_term_test(t["body"], t["low"], term, case_bound), F.lit(term)) for term in terms])))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmetric.functions.people import display_company
-from quillmetric.functions.text import slug_join
+from quillmetric.functions.text import bind, slug_join
 
 
 # ---- connections and posts -------------------------------------------------
@@ -129,24 +129,25 @@ def ids_in_spans(texts: DataFrame, key: str, text: str, card: str, member: str)
 
     A text is cut at its card keys, so each span is a piece of the row itself.
     """
+    def spans(pieces: Column) -> Column:
+        cards = F.filter(F.transform(pieces, lambda p, i: F.struct(
+            F.lower(F.regexp_extract(p, "^" + card, 1)).alias("handle"), i.alias("i"))), lambda c: c["handle"] != "")
+        # a repeated card key does not end a span: only first occurrences do
+        firsts = bind(cards, lambda cs: bind(F.transform(cs, lambda c: c["handle"]), lambda hs: F.filter(
+            cs, lambda c, i: F.array_position(hs, c["handle"]) == i + 1)))
+
+        def cut(starts: Column) -> Column:
+            def span(c: Column, i: Column) -> Column:
+                stop = F.coalesce(F.get(starts, i + 1)["i"], F.size(pieces))
+                body = F.array_join(F.slice(pieces, c["i"] + 1, stop - c["i"]), "")
+                return F.struct(c["handle"].alias("handle"), F.regexp_extract(body, member, 1).alias("member"))
+
+            return F.transform(starts, span)
+
+        return F.filter(bind(firsts, cut), lambda s: s["member"] != "")
+
     pieces = F.split(F.col(text), "(?=" + card + ")", -1)
-    cards = F.filter(F.transform(pieces, lambda p, i: F.struct(
-        F.lower(F.regexp_extract(p, "^" + card, 1)).alias("handle"), p.alias("piece"), i.alias("i"))),
-        lambda c: c["handle"] != "")
-    # a repeated card key does not end a span: only first occurrences do
-    handles = F.transform(cards, lambda c: c["handle"])
-    first = F.transform(cards, lambda c, i: F.struct(
-        c["handle"].alias("handle"), c["i"].alias("i"),
-        (F.array_position(handles, c["handle"]) == i + 1).alias("is_first")))
-    starts = F.filter(first, lambda c: c["is_first"])
-
-    def span(c: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get(starts, i + 1)["i"], F.size(pieces))
-        body = F.array_join(F.slice(pieces, c["i"] + 1, stop - c["i"]), "")
-        return F.struct(c["handle"].alias("handle"), F.regexp_extract(body, member, 1).alias("member"))
-
-    found = F.filter(F.transform(starts, span), lambda s: s["member"] != "")
-    return texts.select(key, F.explode(found).alias("s")).select(key, "s.*")
+    return texts.select(key, F.explode(bind(pieces, spans)).alias("s")).select(key, "s.*")
 
 
 # ---- text containment --------------------------------------------------------

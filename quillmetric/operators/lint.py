@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmetric.functions.text import LINE_BREAK, split_lines, strip
+from quillmetric.functions.text import LINE_BREAK, bind, split_lines, strip
 
 # Vocabularies and patterns of the prose rules.
 BANNED_WORDS = (
@@ -155,22 +155,28 @@ def paragraphs(text: Column) -> Column:
     blocks = F.split(F.regexp_replace(text, LINE_BREAK, "\n"), r"\n\s*\n", -1)
 
     def describe(block: Column) -> Column:
-        lines = prose_lines(block)
-        body = F.array_join(F.transform(lines, lambda x: clean_line(x["raw"])), " ")
-        return F.struct(
-            F.get(lines, F.lit(0))["line"].alias("line"), body.alias("text"), word_count(body).alias("words"),
-            F.size(lines).alias("lines"), block.rlike(r"(?m)^\s*(?:[-*+]|\d+[.)])\s+").alias("listed"))
+        listed = block.rlike(r"(?m)^\s*(?:[-*+]|\d+[.)])\s+")
+
+        def with_text(lines: Column) -> Column:
+            body = F.array_join(F.transform(lines, lambda x: clean_line(x["raw"])), " ")
+            return bind(body, lambda t: F.struct(
+                F.get(lines, F.lit(0))["line"].alias("line"), t.alias("text"), word_count(t).alias("words"),
+                F.size(lines).alias("lines"), listed.alias("listed")))
+
+        return bind(prose_lines(block), with_text)
 
     return F.filter(F.transform(blocks, describe), lambda p: p["lines"] > 0)
 
 
 def first_even_run(lengths: Column, run: int, spread: int) -> Column:
     """0-based start of the first ``run`` neighbours whose lengths differ by at most ``spread``."""
-    starts = F.when(F.size(lengths) >= run, F.sequence(F.lit(0), F.size(lengths) - run)).otherwise(
-        F.array().cast("array<int>"))
-    even = F.filter(starts, lambda i: F.array_max(F.slice(lengths, i + 1, run))
-                    - F.array_min(F.slice(lengths, i + 1, run)) <= spread)
-    return F.get(even, F.lit(0))
+    def search(ns: Column) -> Column:
+        starts = F.when(F.size(ns) >= run, F.sequence(F.lit(0), F.size(ns) - run)).otherwise(F.array().cast("array<int>"))
+        even = F.filter(starts, lambda i: F.array_max(F.slice(ns, i + 1, run))
+                        - F.array_min(F.slice(ns, i + 1, run)) <= spread)
+        return F.get(even, F.lit(0))
+
+    return bind(lengths, search)
 
 
 def finding(rule: str, line: Column, message: Column, text: Column) -> Column:
@@ -353,21 +359,26 @@ def outreach_findings(documents: DataFrame, key: str = "doc_id", text: str = "te
     # a note runs from its heading to the next heading or rule; cutting at the headings gives the notes
     flat = F.regexp_replace(F.col(text), LINE_BREAK, "\n")
     cut = F.split(flat, "(?m)(?=^[^\n]*" + note_heading + ")", -1)
-    starts = F.transform(cut, lambda piece, i: F.struct(
-        (F.aggregate(F.slice(cut, 1, i), F.lit(1), lambda n, p: n + F.regexp_count(p, F.lit("\n")))).alias("line"),
-        piece.alias("piece")))
-    notes = F.filter(starts, lambda s: s["piece"].rlike("^[^\n]*" + note_heading))
+
+    def starts(pieces: Column) -> Column:
+        # a piece starts on the line after all line breaks of the pieces before it
+        lines_before = F.aggregate(pieces, F.array(F.lit(1)), lambda ns, p: F.array_append(
+            ns, F.element_at(ns, -1) + F.regexp_count(p, F.lit("\n"))))
+        return F.arrays_zip(lines_before.alias("line"), pieces.alias("piece"))
+
+    notes = F.filter(bind(cut, starts), lambda s: s["piece"].rlike("^[^\n]*" + note_heading))
 
     def note(s: Column) -> Column:
+        def measure(body: Column) -> Column:
+            stops = F.filter(F.transform(body, lambda raw, i: F.when(raw.rlike("^(### |---|## )"), i)),
+                             lambda i: i.isNotNull())
+            inner = F.slice(body, 1, F.coalesce(F.array_min(stops), F.size(body)))
+            kept = F.filter(inner, lambda raw: (strip(raw) != "") & (strip(raw).startswith(">") | ~raw.startswith("#")))
+            joined = F.array_join(F.transform(kept, lambda raw: strip(F.regexp_replace(strip(raw), "^>+", ""))), " ")
+            return F.length(strip(F.regexp_replace(strip(joined), r"^>\s*", ""))).cast("string")
+
         body = F.slice(F.split(s["piece"], "\n", -1), 2, 2147483646)
-        until = F.coalesce(F.array_min(F.filter(
-            F.transform(body, lambda raw, i: F.when(raw.rlike("^(### |---|## )"), i)), lambda i: i.isNotNull())),
-            F.size(body))
-        inner = F.slice(body, 1, until)
-        kept = F.filter(inner, lambda raw: (strip(raw) != "") & (strip(raw).startswith(">") | ~raw.startswith("#")))
-        joined = F.array_join(F.transform(kept, lambda raw: strip(F.regexp_replace(strip(raw), "^>+", ""))), " ")
-        return F.struct(F.lit("note").alias("kind"), s["line"].alias("line"),
-                        F.length(strip(F.regexp_replace(strip(joined), r"^>\s*", ""))).cast("string").alias("detail"))
+        return F.struct(F.lit("note").alias("kind"), s["line"].alias("line"), bind(body, measure).alias("detail"))
 
     parts.append(F.filter(F.transform(notes, note), lambda n: n["detail"].cast("int") > note_limit))
     kind = "array<struct<kind:string,line:int,detail:string>>"
@@ -388,7 +399,8 @@ def clean_transcript(text: Column) -> Column:
 
 def drop_repeats(lines: Column) -> Column:
     """Entries that differ from the entry before them (the first is compared with an empty line)."""
-    return F.filter(lines, lambda x, i: x != F.when(i == 0, F.lit("")).otherwise(F.get(lines, i - 1)))
+    return bind(lines, lambda ls: F.filter(
+        ls, lambda x, i: x != F.when(i == 0, F.lit("")).otherwise(F.get(ls, i - 1))))
 
 
 # ---- scans ----------------------------------------------------------------

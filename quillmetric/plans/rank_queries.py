@@ -214,14 +214,14 @@ def t_posts(spark, sf_dir):
 def j_roles(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
     head = F.concat_ws(" at ", F.concat_ws(" ", "p_type", "p_name"), F.lit("Sr Eng Org"))
-    return df.select("p_partkey", F.bround(ranking.role_similarity(["red widget", "sr eng", "blue gear"], head), 2).alias("role_score"))
+    return ranking.with_role_score(df, ["red widget", "sr eng", "blue gear"], head).select("p_partkey", "role_score")
 
 
 @query("j_company")
 def j_company(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
-    return df.select("p_partkey", F.bround(ranking.company_similarity(
-        "red widget", F.concat_ws(" at ", "p_brand", F.concat("p_name", F.lit(", Inc")))), 2).alias("company_score"))
+    text_of = F.concat_ws(" at ", "p_brand", F.concat("p_name", F.lit(", Inc")))
+    return ranking.with_company_score(df, "red widget", text_of).select("p_partkey", "company_score")
 
 
 @query("t_contacts_fuzzy")
@@ -241,8 +241,6 @@ def t_jobs_fuzzy(spark, sf_dir):
 def t_posts_fuzzy(spark, sf_dir):
     df = joins.attach_author(TEXT_POSTS.spark(spark, sf_dir), CONTACTS.spark(spark, sf_dir), "author_alias", "author_name",
                              "contact_id", ["tier"])
-    # titles keep the similarity function on short strings; whole texts are matched by keyword instead
-    df = df.withColumn("hashtags", text.hashtags(F.col("text"), distinct=True)).withColumn(
-        "text", F.regexp_extract("text", r"^([^.\n]*)", 1))
+    df = df.withColumn("hashtags", text.hashtags(F.col("text"), distinct=True))
     return ranking.rank_topic_posts(df, ["the estion", "ndon"], ["src1", "src12"], min_topic=20.0).select(
         "doc_id", "topic_score", "priority")
