@@ -32,6 +32,9 @@ NUMBER_STRICT = r"(?U)(?<![\w/])\+?\d[\d\s().-]{8,}\d(?![\w/])"
 RELEVANCE_COVERAGE, RELEVANCE_PRECISION, PRECISION_SLACK = 0.65, 0.35, 4
 CLIP_LIMIT = 280
 
+# Slice length that takes everything up to the end of an array.
+ALL_REST = 1 << 30
+
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """Evaluate a value once and use it many times, above all inside array functions."""

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmetric.functions.text import LINE_BREAK, bind, split_lines, strip
+from quillmetric.functions.text import ALL_REST, LINE_BREAK, bind, split_lines, strip
 
 # Vocabularies and patterns of the prose rules.
 BANNED_WORDS = (
@@ -377,7 +377,7 @@ def outreach_findings(documents: DataFrame, key: str = "doc_id", text: str = "te
             joined = F.array_join(F.transform(kept, lambda raw: strip(F.regexp_replace(strip(raw), "^>+", ""))), " ")
             return F.length(strip(F.regexp_replace(strip(joined), r"^>\s*", ""))).cast("string")
 
-        body = F.slice(F.split(s["piece"], "\n", -1), 2, 2147483646)
+        body = F.slice(F.split(s["piece"], "\n", -1), 2, ALL_REST)
         return F.struct(F.lit("note").alias("kind"), s["line"].alias("line"), bind(body, measure).alias("detail"))
 
     parts.append(F.filter(F.transform(notes, note), lambda n: n["detail"].cast("int") > note_limit))
