@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words ignored when a post is compared with content pillars.
@@ -41,6 +41,12 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns behind a generator, so that later filters and expressions read them instead of repeating them."""
+    packed = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select("*", F.inline(packed))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
