@@ -49,7 +49,8 @@ def missing_programs(entries: DataFrame, category: str = MISSING_PROGRAM) -> Dat
 
 
 def failure_streaks(events: DataFrame, keys: Sequence[str], order: str, row_id: str, failed: str, chunk: Column) -> DataFrame:
-    """Consecutive failures up to each event; a success resets to 0.
+    """Consecutive failures up to each event (streak); a success resets to 0. ``no_success_yet`` marks the
+    events before a session's first success, whose streak may go on from earlier data.
 
     ``chunk`` cuts a session into spans of bounded size by value (for example hours). Streaks are
     counted inside each span, the spans of a session are then chained through one summary row per
@@ -70,10 +71,25 @@ def failure_streaks(events: DataFrame, keys: Sequence[str], order: str, row_id:
     ends = ends.withColumn("_run", F.sum("_reset").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
     open_run = Window.partitionBy(*keys, "_run").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
     ends = ends.withColumn("_open", F.sum("_end._local").over(open_run))
-    carry = ends.select(*keys, "_chunk", F.coalesce(F.lag("_open").over(chain), F.lit(0)).alias("_carry"))
+    carry = ends.select(*keys, "_chunk", F.coalesce(F.lag("_open").over(chain), F.lit(0)).alias("_carry"),
+                        F.coalesce(F.lag("_run").over(chain), F.lit(0)).alias("_run_before"))
     joined = rows.join(carry, [*keys, "_chunk"])
     streak = F.col("_local") + F.when(F.col("_resets") == 0, F.col("_carry")).otherwise(0)
-    return joined.select(*events.columns, streak.cast("int").alias("streak"))
+    first = (F.col("_resets") == 0) & (F.col("_run_before") == 0)
+    return joined.select(*events.columns, streak.cast("int").alias("streak"), first.alias("no_success_yet"))
+
+
+def open_streaks(streaks: DataFrame, keys: Sequence[str], order: str, row_id: str) -> DataFrame:
+    """Failures still open at the end of each session."""
+    last = streaks.groupBy(*keys).agg(F.max(F.struct(order, row_id, "streak")).alias("_last"))
+    return last.select(*keys, F.col("_last.streak").alias("open_failures"))
+
+
+def continue_streaks(streaks: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add failures left open by earlier data to the events before each session's first success."""
+    out = streaks.join(carried.select(*keys, "open_failures"), list(keys), "left")
+    more = F.when(F.col("no_success_yet"), F.coalesce("open_failures", F.lit(0))).otherwise(0)
+    return out.withColumn("streak", (F.col("streak") + more).cast("int")).select(*streaks.columns)
 
 
 def with_breaker(streaks: DataFrame, at: int = BREAK_AT) -> DataFrame:

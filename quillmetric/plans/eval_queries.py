@@ -303,7 +303,7 @@ def c_features(spark, sf_dir):
     return documents.features(readmes(spark, sf_dir), "doc_id").select("doc_id", "chars", "lines", "code_blocks", "has_diagram", "headings")
 
 
-@query("a_readme", """SELECT doc_id, CAST(10 + CASE WHEN regexp_full_match(substr(replace(text, chr(10), ' '), 1, 30), '[^*]{10,}') THEN 5 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END AS INT) AS hero, CAST(15 AS INT) AS quickstart,
+@query("a_readme", """SELECT doc_id, CAST(10 + CASE WHEN regexp_matches('**' || substr(replace(text, chr(10), ' '), 1, 30) || '**', '^[*]{2}[^*]{10,}[*]{2}') THEN 5 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END AS INT) AS hero, CAST(15 AS INT) AS quickstart,
     CAST(CASE WHEN doc_id % 4 = 0 THEN 10 ELSE 0 END AS INT) AS visuals, CAST(CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END AS INT) AS trust,
     CAST(CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 15 ELSE 0 END AS INT) AS penalties FROM documents""")
 def a_readme(spark, sf_dir):

@@ -1,0 +1,45 @@
+"""Versioned tables for foreachBatch sinks: one folder per batch, so a repeated batch rewrites its own result."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class VersionedTable:
+    """A table whose state after batch n lies in ``path/v=n``.
+
+    A batch reads the newest version below its own number and overwrites its own folder, which makes
+    retries after a lost executor or driver harmless. Old versions can be removed by retention rules of the
+    shared folder once a later version is complete.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def versions(self) -> list[int]:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            return []
+        found = []
+        for status in fs.listStatus(root):
+            match = re.fullmatch(r"v=(\d+)", status.getPath().getName())
+            if match and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found.append(int(match.group(1)))
+        return sorted(found)
+
+    def before(self, version: int) -> DataFrame:
+        older = [v for v in self.versions() if v < version]
+        if not older:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={older[-1]}")
+
+    def write(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+
+    def latest(self) -> DataFrame:
+        found = self.versions()
+        return self.before(found[-1] + 1) if found else self.spark.createDataFrame([], self.schema)
