@@ -113,17 +113,18 @@ def display_company(name: Column) -> Column:
 
 
 def org_key(name: Column) -> Column:
+    """Lower-case words of a name without brackets, punctuation and the words inc, llc and ai."""
     flat = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\(.*?\)", " ")
-    words = F.filter(F.split(F.regexp_replace(flat, "[^a-z0-9]+", " "), " "),
-                     lambda w: (w != "") & ~w.isin("inc", "llc", "ai"))
-    return F.array_join(words, " ")
+    words = F.regexp_replace(flat, "[^a-z0-9]+", " ")
+    return F.trim(F.regexp_replace(words, "(?<![a-z0-9])(?:inc|llc|ai)(?![a-z0-9]) ?", ""))
 
 
 def org_aliases(name: Column) -> Column:
     """Distinct keys of the parts around '/' and ' via ', and of the whole name."""
-    parts = F.split(F.coalesce(name, F.lit("")), r"(?i)\s*/\s*|\s+via\s+")
-    keys = F.array_append(F.transform(parts, org_key), org_key(name))
-    return F.array_distinct(F.filter(keys, lambda k: k != ""))
+    separator = r"(?i)\s*/\s*|\s+via\s+"
+    parts = F.split(name, separator)
+    keys = F.when(name.rlike(separator), F.array_append(F.transform(parts, org_key), org_key(name))).otherwise(F.array(org_key(name)))
+    return F.array_distinct(F.array_remove(keys, ""))
 
 
 def expand_roles(text: Column) -> Column:

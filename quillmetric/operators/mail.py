@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmetric.functions.dates import year_text
+from quillmetric.functions.text import compute_once
 
 # Default keep policy.
 PROTECTED_LABELS = ("SENT", "STARRED", "IMPORTANT")
@@ -33,19 +34,19 @@ def sender_domain(sender: Column) -> Column:
 
 def normalise(messages: DataFrame) -> DataFrame:
     """Raw messages (id, thread_id, label_ids, size_estimate, internal_date, snippet, headers) to audit rows."""
-    sender = header(F.col("headers"), "From")
-    return messages.select(
+    heads = {name: header(F.col("headers"), title) for name, title in (("sender", "From"), ("subject", "Subject"), ("date", "Date"))}
+    return compute_once(messages, **heads).select(
         "id", "thread_id", F.coalesce("label_ids", F.array().cast("array<string>")).alias("label_ids"),
         F.coalesce("size_estimate", F.lit(0)).cast("bigint").alias("bytes"),
-        year_text(F.col("internal_date"), header(F.col("headers"), "Date")).alias("year"),
-        sender.alias("sender"), sender_domain(sender).alias("domain"),
-        header(F.col("headers"), "Subject").alias("subject"), header(F.col("headers"), "Date").alias("date"),
+        year_text(F.col("internal_date"), F.col("date")).alias("year"),
+        "sender", sender_domain(F.col("sender")).alias("domain"), "subject", "date",
         F.coalesce("snippet", F.lit("")).alias("snippet"))
 
 
 def protection_reasons(labels: Sequence[str] = PROTECTED_LABELS, terms: Sequence[str] = (),
                        domains: Sequence[str] = (), extensions: Sequence[str] = KEEP_EXTENSIONS) -> Column:
     """Why a message is kept: policy lists are small parameters, tested as constant columns."""
+    # needles are fixed text, so a case-folded haystack is tested with plain substring search
     hay = F.lower(F.concat_ws(" ", "sender", "subject", "snippet"))
     tests = [F.when(F.array_contains("label_ids", v), F.lit(f"label:{v}")) for v in labels]
     tests += [F.when(F.contains(hay, F.lit(v.lower())), F.lit(f"term:{v}")) for v in terms]
@@ -61,8 +62,7 @@ def protection_reasons(labels: Sequence[str] = PROTECTED_LABELS, terms: Sequence
 
 
 def classify(rows: DataFrame, **policy: Sequence[str]) -> DataFrame:
-    reasons = protection_reasons(**policy)
-    return rows.withColumn("reasons", reasons).withColumn("held", F.size("reasons") > 0)
+    return compute_once(rows, reasons=protection_reasons(**policy)).withColumn("held", F.size("reasons") > 0)
 
 
 def filter_options(options: Mapping[str, object], today) -> Column:

@@ -14,7 +14,7 @@ from quillmetric.plans.post_queries import TOTAL_SQL, posts
 from quillmetric.plans.registry import query
 from quillmetric.session import new_work_path
 from quillmetric.sources import html, json_posts, ledger, markdown, sinks
-from quillmetric.tables import POSTS, table, with_sql
+from quillmetric.tables import POSTS, spread, table, with_sql
 
 K_SPARK = "CAST(get_json_object(props, '$.k') AS BIGINT)"
 
@@ -45,7 +45,7 @@ D = "strftime(ts, '%Y-%m-%d')"
 
 
 def items(spark, sf_dir):
-    return json_posts.real_items(events(spark, sf_dir).selectExpr("event_id", "'hand' || user_id AS handle", X_ITEM))
+    return json_posts.real_items(spread(events(spark, sf_dir)).selectExpr("event_id", "'hand' || user_id AS handle", X_ITEM))
 
 
 @query("s_sentinel", "SELECT event_id FROM events WHERE event_id % 11 > 2")
@@ -129,7 +129,7 @@ TABLE_DOC = ("'# Notes ' || o_orderkey || '\\n| A | B |\\n|---|---|\\n| no | tab
 @query("s_mdtable", """SELECT o_orderkey, CAST(0 AS INT) AS position, 'Org ' || o_custkey AS company, o_orderpriority AS role, 'Applied' AS status, 'call | mail' AS next_action, '' AS follow_up FROM orders
   UNION ALL SELECT o_orderkey, 1, 'Org B' || o_custkey, '', '', 'short', '' FROM orders""")
 def s_mdtable(spark, sf_dir):
-    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{TABLE_DOC} AS text")
+    docs = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey", f"{TABLE_DOC} AS text")
     rows = markdown.first_table(docs, markdown.STAGE_HEADERS, ["company", "status"], key="o_orderkey")
     return rows.select("o_orderkey", "position", "company", "role", "status", "next_action", "follow_up")
 
@@ -141,7 +141,7 @@ SECTION_DOC = ("'intro\\n## Contact Records\\n\\n### Ann ' || o_custkey || '\\n-
 @query("s_mdsection", """SELECT o_orderkey, 'Ann ' || o_custkey AS title, 'Oslo' AS location, 'Org ' || o_custkey AS company, NULL AS url, NULL AS headline FROM orders
   UNION ALL SELECT o_orderkey, 'Bo', NULL, NULL, 'https://www.linkedin.com/in/bo' || o_orderkey, o_orderpriority FROM orders""")
 def s_mdsection(spark, sf_dir):
-    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{SECTION_DOC} AS text")
+    docs = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey", f"{SECTION_DOC} AS text")
     found = markdown.sections(docs, "o_orderkey").filter("heading = 'contact records'")
     return markdown.records(found, markdown.RECORD_FIELDS, "o_orderkey").select(
         "o_orderkey", "title", "location", "company", "url", "headline")
@@ -259,7 +259,7 @@ def f_block(spark, sf_dir):
 
 def messages(spark, sf_dir):
     """Orders as messages with headers, labels and sizes."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(table(spark, sf_dir, "orders")).join(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     return o.selectExpr(
         "o_orderkey AS id", "o_custkey AS thread_id",
         "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN array('INBOX', 'STARRED') ELSE array('INBOX') END AS label_ids",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmetric.functions.dates import iso_prefix, social_date
 from quillmetric.functions.numbers import count_or_zero
-from quillmetric.functions.text import bind, strip
+from quillmetric.functions.text import bind, compute_once, strip
 
 POST = ("struct<text:string,url:string,author:string,date:string,platform:string,score:double,relevance:double,"
         "outlier:boolean,engagement:map<string,double>>")
@@ -181,11 +181,10 @@ def entities(payloads: DataFrame, key: str, value: str, paths: tuple[str, ...])
     head = F.coalesce(text_of("primarySubtitle"), text_of("subtitle"), F.lit(""))
     place = text_of("secondarySubtitle")
     badge = F.coalesce(text_of("badgeText"), _json(v, "degree"), _json(v, "networkDistance"))
-    rows = flat.select(
-        key, "position", url.alias("profile_url"), name.alias("name"), strip(head).alias("headline"),
-        F.when(~F.contains(F.lower(place), F.lit("mutual")), strip(place)).alias("location"),
-        degree_code(badge).alias("degree"),
-        F.coalesce(_json(v, "currentCompany.name"), _json(v, "currentCompany"), employer_loose(head)).alias("current_company"))
+    rows = compute_once(
+        flat, profile_url=url, name=name, headline=strip(head),
+        location=F.when(~F.contains(F.lower(place), F.lit("mutual")), strip(place)), degree=degree_code(badge),
+        current_company=F.coalesce(_json(v, "currentCompany.name"), _json(v, "currentCompany"), employer_loose(head))).drop("e")
     people = persons(rows, "profile_url").filter("name <> ''")
     from quillmetric.operators.merge import keep_first
     return keep_first(people, ["profile_url"], [F.col(key), F.col("position")])

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetric.functions.text import ALL_REST, bind, split_lines, strip, strip_markup
+from quillmetric.functions.text import ALL_REST, bind, compute_once, split_lines, strip, strip_markup
 
 # Header names of the two tables of the brief.
 NETWORK_HEADERS = {
@@ -78,7 +78,7 @@ def first_table(documents: DataFrame, headers: Mapping[str, Sequence[str]], requ
 
     tables = F.filter(F.transform(_blocks(F.col(text)), describe),
                       lambda t: F.array_size(F.array_compact(F.array(*[t[r] for r in required]))) == len(required))
-    chosen = documents.select(key, F.get(tables, F.lit(0)).alias("t")).filter("t IS NOT NULL")
+    chosen = compute_once(documents, t=F.get(tables, F.lit(0))).select(key, "t").filter("t IS NOT NULL")
     rows = chosen.select(key, "t", F.posexplode("t.rows").alias("position", "line"))
     parts = rows.select(key, "t", "position", cells(F.col("line")).alias("c"))
     return parts.select(key, "position", *[

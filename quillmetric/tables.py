@@ -13,9 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 Expr = str | tuple[str, str]
 
 
+# tables whose rows are expensive to process
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a scan that has fewer partitions than there are cores (a small file is one task).
+
+    Large inputs already arrive in many partitions and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if name in TEXT_TABLES else df
 
 
 @dataclass(frozen=True)
