@@ -35,7 +35,8 @@ def days_before(today, n: int | Column) -> Column:
 def window_days(raw: Column) -> Column:
     """Day count kept in 1..90; anything that is not an integer gives the default."""
     n = F.regexp_extract(raw, r"^\s*([+-]?\d{1,9})\s*$", 1).try_cast("int")
-    return F.coalesce(F.greatest(F.least(n, F.lit(DAYS_MAX)), F.lit(DAYS_MIN)), F.lit(DAYS_DEFAULT))
+    # greatest and least skip nulls, so the default comes first
+    return F.greatest(F.least(F.coalesce(n, F.lit(DAYS_DEFAULT)), F.lit(DAYS_MAX)), F.lit(DAYS_MIN))
 
 
 def effective_since(cursor: Column, today, days: Column) -> Column:
@@ -122,7 +123,7 @@ def snowflake_millis(post_id: Column) -> Column:
 def snowflake_age_hours(post_id: Column, now_millis: int) -> Column:
     """Hours since the id was issued, at least 0; null (older than everything) for a non-numeric id."""
     hours = (F.lit(now_millis).cast("bigint") - snowflake_millis(post_id)) / F.lit(3600000.0)
-    return F.greatest(hours, F.lit(0.0))
+    return F.when(hours.isNotNull(), F.greatest(hours, F.lit(0.0)))
 
 
 def year_text(epoch_millis: Column, header_date: Column) -> Column:

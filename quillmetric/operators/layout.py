@@ -19,7 +19,7 @@ DECOR_SHARE, DECOR_TEXTS = 0.2, 3
 BOX_SHARE = 0.012
 MIN_CONTRAST, FOLD_BONUS = 1.6, 1.5
 TEXT_KINDS = ("text", "heading", "button")
-CELL = 64.0
+CELL = 256.0
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:

@@ -65,7 +65,7 @@ def f_since(spark, sf_dir):
 @query("f_window", f"""{with_sql(POSTS)}, c AS (SELECT event_id, post_date,
     CASE WHEN k % 10 = 0 THEN 'x' ELSE CAST(k * 2 - 20 AS VARCHAR) END AS raw_days,
     CASE WHEN k % 4 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(k % 29 AS INT) END AS stored FROM posts),
-  d AS (SELECT *, coalesce(greatest(least(try_cast(raw_days AS INT), 90), 1), 7) AS days FROM c)
+  d AS (SELECT *, greatest(least(coalesce(try_cast(raw_days AS INT), 7), 90), 1) AS days FROM c)
   SELECT event_id, days, strftime(greatest(coalesce(stored, DATE '2024-01-31' - days), DATE '2024-01-31' - days),
     '%Y-%m-%d') AS cutoff FROM d
   WHERE post_date IS NULL OR CAST(post_date AS DATE)
