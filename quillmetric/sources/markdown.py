@@ -91,9 +91,9 @@ def sections(documents: DataFrame, key: str = "path", text: str = "text") -> Dat
     pieces = F.slice(F.split(F.concat(F.lit("\n"), flat), r"\n##[ \t]+(?!#)", -1), 2, ALL_REST)
     parts = F.transform(pieces, lambda p: F.struct(
         F.lower(strip(F.regexp_extract(p, r"^([^\n]*)", 1))).alias("heading"), F.regexp_replace(p, r"^[^\n]*\n?", "").alias("body")))
-    rows = documents.select(key, F.posexplode(parts).alias("position", "s")).select(key, "position", "s.*")
-    firsts = rows.groupBy(key, "heading").agg(F.min(F.struct("position", "body")).alias("f"))
-    return firsts.select(key, "heading", F.col("f.body").alias("body"))
+    firsts = bind(parts, lambda ps: bind(F.transform(ps, lambda s: s["heading"]), lambda names: F.filter(
+        ps, lambda s, i: F.array_position(names, s["heading"]) == i + 1)))
+    return documents.select(key, F.explode(firsts).alias("s")).select(key, "s.*")
 
 
 def records(section_rows: DataFrame, fields: Mapping[str, str], key: str = "path", body: str = "body") -> DataFrame:
