@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmetric.functions.text import compute_once
 from quillmetric.functions.urls import canonical_profile, host_of
 from quillmetric.operators import engagement as eng
 from quillmetric.operators import mail, quality
@@ -45,7 +46,9 @@ D = "strftime(ts, '%Y-%m-%d')"
 
 
 def items(spark, sf_dir):
-    return json_posts.real_items(spread(events(spark, sf_dir)).selectExpr("event_id", "'hand' || user_id AS handle", X_ITEM))
+    raw = spread(events(spark, sf_dir))
+    made = compute_once(raw, item=F.expr(X_ITEM.rsplit(" AS ", 1)[0]))
+    return json_posts.real_items(made.selectExpr("event_id", "'hand' || user_id AS handle", "item"))
 
 
 @query("s_sentinel", "SELECT event_id FROM events WHERE event_id % 11 > 2")

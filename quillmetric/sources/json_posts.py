@@ -23,10 +23,27 @@ def _filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def _counts(item: Column, fields: dict[str, str]) -> Column:
+# one schema for the items of all platforms; counts are read as text, so junk becomes 0 and not an error
+ITEM = ("struct<noResults:string,error:string,fullText:string,text:string,url:string,createdAt:string,likeCount:string,"
+        "retweetCount:string,replyCount:string,quoteCount:string,bookmarkCount:string,viewCount:string,title:string,"
+        "channelName:string,date:string,likes:string,commentsCount:string,duration:string,content:string,linkedinUrl:string,"
+        "author:struct<userName:string,name:string,publicIdentifier:string>,postedAt:struct<date:string>,"
+        "engagement:struct<likes:string,comments:string,shares:string>>")
+
+
+def _parsed(items: DataFrame, item: str) -> DataFrame:
+    """Each item parsed once, as column p."""
+    return compute_once(items, p=F.from_json(item, ITEM)).drop(item)
+
+
+def _field(path: str) -> Column:
+    return F.col(f"p.{path}")
+
+
+def _counts(fields: dict[str, str]) -> Column:
     flat: list[Column] = []
     for name, path in fields.items():
-        flat += [F.lit(name), count_or_zero(_json(item, path))]
+        flat += [F.lit(name), count_or_zero(_field(path))]
     return F.create_map(*flat)
 
 
@@ -39,40 +56,36 @@ LINKEDIN_COUNTS = {"likes": "engagement.likes", "comments": "engagement.comments
 
 def real_items(items: DataFrame, item: str = "item") -> DataFrame:
     """Drop items that are not objects and the markers for no results or an error."""
-    value = F.col(item)
-    no_results, error = _json(value, "noResults"), F.coalesce(_json(value, "error"), F.lit(""))
-    return items.filter(strip(value).startswith("{") & F.try_parse_json(value).isNotNull()
-                        & ~F.coalesce(no_results, F.lit("false")).isin("true", "1")
-                        & error.isin("", "false", "0", "null"))
+    marks = compute_once(items, _m=F.from_json(item, "struct<noResults:string,error:string>"),
+                         _object=strip(F.col(item)).startswith("{") & F.try_parse_json(item).isNotNull())
+    no_results, error = F.coalesce("_m.noResults", F.lit("false")), F.coalesce("_m.error", F.lit(""))
+    return marks.filter(F.col("_object") & ~no_results.isin("true", "1") & error.isin("", "false", "0", "null")).drop("_m", "_object")
 
 
 def x_posts(items: DataFrame, item: str = "item") -> DataFrame:
-    v = F.col(item)
-    return items.select(
-        *[c for c in items.columns if c != item], _filled(_json(v, "fullText"), _json(v, "text")).alias("text"),
-        _filled(_json(v, "url")).alias("url"), _filled(_json(v, "author.userName")).alias("author"),
-        social_date(_json(v, "createdAt")).alias("post_date"), F.lit("x").alias("platform"),
-        _counts(v, X_COUNTS).alias("engagement"))
+    return _parsed(items, item).select(
+        *[c for c in items.columns if c != item], _filled(_field("fullText"), _field("text")).alias("text"),
+        _filled(_field("url")).alias("url"), _filled(_field("author.userName")).alias("author"),
+        social_date(_field("createdAt")).alias("post_date"), F.lit("x").alias("platform"),
+        _counts(X_COUNTS).alias("engagement"))
 
 
 def youtube_posts(items: DataFrame, item: str = "item", handle: str = "handle") -> DataFrame:
-    v = F.col(item)
-    return items.select(
-        *[c for c in items.columns if c != item], _filled(_json(v, "title")).alias("text"),
-        _filled(_json(v, "url")).alias("url"), _filled(_json(v, "channelName"), F.col(handle)).alias("author"),
-        iso_prefix(_json(v, "date")).alias("post_date"), F.lit("youtube").alias("platform"),
-        _counts(v, YOUTUBE_COUNTS).alias("engagement"), _json(v, "duration").alias("duration"),
-        _filled(_json(v, "text")).alias("description"))
+    return _parsed(items, item).select(
+        *[c for c in items.columns if c != item], _filled(_field("title")).alias("text"),
+        _filled(_field("url")).alias("url"), _filled(_field("channelName"), F.col(handle)).alias("author"),
+        iso_prefix(_field("date")).alias("post_date"), F.lit("youtube").alias("platform"),
+        _counts(YOUTUBE_COUNTS).alias("engagement"), _field("duration").alias("duration"),
+        _filled(_field("text")).alias("description"))
 
 
 def linkedin_posts(items: DataFrame, item: str = "item", handle: str = "handle") -> DataFrame:
-    v = F.col(item)
-    return items.select(
-        *[c for c in items.columns if c != item], _filled(_json(v, "content")).alias("text"),
-        _filled(_json(v, "linkedinUrl")).alias("url"),
-        _filled(_json(v, "author.name"), _json(v, "author.publicIdentifier"), F.col(handle)).alias("author"),
-        iso_prefix(_json(v, "postedAt.date")).alias("post_date"), F.lit("linkedin").alias("platform"),
-        _counts(v, LINKEDIN_COUNTS).alias("engagement"))
+    return _parsed(items, item).select(
+        *[c for c in items.columns if c != item], _filled(_field("content")).alias("text"),
+        _filled(_field("linkedinUrl")).alias("url"),
+        _filled(_field("author.name"), _field("author.publicIdentifier"), F.col(handle)).alias("author"),
+        iso_prefix(_field("postedAt.date")).alias("post_date"), F.lit("linkedin").alias("platform"),
+        _counts(LINKEDIN_COUNTS).alias("engagement"))
 
 
 def nested_posts(results: DataFrame, value: str = "value") -> DataFrame:
