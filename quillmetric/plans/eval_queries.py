@@ -43,12 +43,12 @@ def j_rubric(spark, sf_dir):
     return judged(spark, sf_dir)
 
 
-@query("c_rubrictype", f"{RUBRIC_SQL} SELECT assertion_id, count(*) AS n, count_if(passed) AS passed FROM r WHERE judged GROUP BY 1")
+@query("c_rubrictype", f"{RUBRIC_SQL} SELECT assertion_id, count(*) AS n, CAST(count_if(passed) AS BIGINT) AS passed FROM r WHERE judged GROUP BY 1")
 def c_rubrictype(spark, sf_dir):
     return judged(spark, sf_dir).filter("judged").groupBy("assertion_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"))
 
 
-@query("a_rubric", f"""{RUBRIC_SQL} SELECT output_id, task_id, count(*) AS assertions, count_if(passed) AS passed,
+@query("a_rubric", f"""{RUBRIC_SQL} SELECT output_id, task_id, count(*) AS assertions, CAST(count_if(passed) AS BIGINT) AS passed,
   round(avg(CASE WHEN passed THEN 100.0::DOUBLE ELSE 0 END), 6) AS pass_rate, bool_or(required AND NOT passed) AS required_failed,
   CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status FROM r GROUP BY 1, 2""")
 def a_rubric(spark, sf_dir):
@@ -82,8 +82,8 @@ def a_inversion(spark, sf_dir):
 
 @query("a_regression", f"""{with_sql(RUNS)}, a AS (SELECT task, avg(passed::INT::DOUBLE) AS r FROM runs WHERE run = 'base' GROUP BY 1),
   b AS (SELECT task, avg(passed::INT::DOUBLE) AS r FROM runs WHERE run = 'new' GROUP BY 1), j AS (SELECT coalesce(a.task, b.task) AS task, a.r AS ar, b.r AS br FROM a FULL JOIN b USING (task))
-  SELECT count(*) AS tasks, count_if(NOT coalesce(br >= ar, ar IS NULL)) AS worse, count_if(task IN (1, 2, 3) AND coalesce(ar < 1 AND br >= 1, false)) AS targets_fixed,
-    bool_and(coalesce(br >= ar, ar IS NULL)) AND count_if(task IN (1, 2, 3) AND coalesce(ar < 1 AND br >= 1, false)) = 3 AS gate_passed FROM j""")
+  SELECT count(*) AS tasks, CAST(count_if(NOT coalesce(br >= ar, ar IS NULL)) AS BIGINT) AS worse, CAST(count_if(task IN (1, 2, 3) AND coalesce(ar < 1 AND br >= 1, false)) AS BIGINT) AS targets_fixed,
+    bool_and(coalesce(br >= ar, ar IS NULL)) AND CAST(count_if(task IN (1, 2, 3) AND coalesce(ar < 1 AND br >= 1, false)) AS BIGINT) = 3 AS gate_passed FROM j""")
 def a_regression(spark, sf_dir):
     runs = RUNS.spark(spark, sf_dir)
     return evals.regression_gate(runs.filter("run = 'base'"), runs.filter("run = 'new'"), "task", "passed", [1, 2, 3])
@@ -92,8 +92,8 @@ def a_regression(spark, sf_dir):
 @query("a_traces", """WITH s AS (SELECT o_orderkey AS id, o_orderstatus = 'F' AS failed, i, ['search', 'fetch', CASE WHEN o_orderkey % 2 = 0 THEN 'fetch' ELSE 'write' END][i] AS tool,
     CASE WHEN (o_orderkey + i) % 3 = 0 THEN 'invalid_arguments' WHEN (o_orderkey + i) % 7 = 0 THEN 'timeout' END AS error, (o_custkey * i) % 4000 AS ms
     FROM orders, range(1, 4) t(i)), p AS (SELECT *, lag(tool) OVER w = tool AND lag(error) OVER w IS NOT NULL AS retry FROM s WINDOW w AS (PARTITION BY id ORDER BY i)),
-  g AS (SELECT id, tool, count(*) AS calls, count_if(error = 'invalid_arguments') AS inv, count_if(coalesce(retry, false)) AS retries, bool_or(failed) AS failed, bool_or(ms > 3000) AS slow FROM p GROUP BY ALL)
-  SELECT tool, CAST(sum(calls) AS BIGINT) AS calls, round(sum(inv)::DOUBLE / sum(calls)::DOUBLE, 6) AS invalid_rate, CAST(sum(retries) AS BIGINT) AS retries, count_if(failed) AS failed_runs, count_if(slow) AS slow_runs FROM g GROUP BY 1""")
+  g AS (SELECT id, tool, count(*) AS calls, CAST(count_if(error = 'invalid_arguments') AS BIGINT) AS inv, CAST(count_if(coalesce(retry, false)) AS BIGINT) AS retries, bool_or(failed) AS failed, bool_or(ms > 3000) AS slow FROM p GROUP BY ALL)
+  SELECT tool, CAST(sum(calls) AS BIGINT) AS calls, round(sum(inv)::DOUBLE / sum(calls)::DOUBLE, 6) AS invalid_rate, CAST(sum(retries) AS BIGINT) AS retries, CAST(count_if(failed) AS BIGINT) AS failed_runs, CAST(count_if(slow) AS BIGINT) AS slow_runs FROM g GROUP BY 1""")
 def a_traces(spark, sf_dir):
     def step(i, tool):
         return (f"named_struct('tool', {tool}, 'error', CASE WHEN (o_orderkey + {i}) % 3 = 0 THEN 'invalid_arguments' WHEN (o_orderkey + {i}) % 7 = 0 THEN 'timeout' END, "
@@ -135,7 +135,7 @@ def a_fitcard(spark, sf_dir):
 
 @query("a_funnel", f"""{with_sql(STAGES)}, f AS (SELECT source, segment, true AS seen, state <> 'researching' AS applied, state IN ('networking', 'interviewing') AS replied, state = 'interviewing' AS interviewed FROM stages),
   g AS (SELECT 'all' AS k, 'all' AS v, * FROM f UNION ALL SELECT 'source', source, * FROM f UNION ALL SELECT 'segment', segment, * FROM f),
-  c AS (SELECT k, v, count_if(seen) AS a, count_if(applied) AS b, count_if(replied) AS c, count_if(interviewed) AS d FROM g GROUP BY ALL)
+  c AS (SELECT k, v, CAST(count_if(seen) AS BIGINT) AS a, CAST(count_if(applied) AS BIGINT) AS b, CAST(count_if(replied) AS BIGINT) AS c, CAST(count_if(interviewed) AS BIGINT) AS d FROM g GROUP BY ALL)
   SELECT k AS segment_kind, v AS segment, CAST(i AS INT) AS step, ['seen', 'applied', 'replied', 'interviewed'][i + 1] AS stage, [a, b, c, d][i + 1] AS numerator, [a, a, b, c][i + 1] AS denominator FROM c, range(4) t(i)""")
 def a_funnel(spark, sf_dir):
     df = STAGES.spark(spark, sf_dir).selectExpr("source", "segment", "true AS seen", "state <> 'researching' AS applied",

@@ -124,7 +124,7 @@ def t_orgcap(spark, sf_dir):
     return outreach.cap_per_org(queued(spark, sf_dir), 25, 2).select("name", "organization", "score")
 
 
-@query("a_queued", f"""{with_sql(ITEMS)} SELECT count_if(target_type = 'post' AND status IN ('drafted', 'approved')) AS queued_comments FROM items""")
+@query("a_queued", f"""{with_sql(ITEMS)} SELECT CAST(count_if(target_type = 'post' AND status IN ('drafted', 'approved')) AS BIGINT) AS queued_comments FROM items""")
 def a_queued(spark, sf_dir):
     return outreach.queued_comments(ITEMS.spark(spark, sf_dir))
 

@@ -308,10 +308,10 @@ def a_bytes(spark, sf_dir):
     return mail.bytes_by_group(classified(spark, sf_dir)).select("grouped_by", "group_value", "messages", "bytes")
 
 
-@query("a_auditsum", f"""{MAIL_SQL} SELECT count_if(error IS NULL AND len(reasons) = 0) AS candidates,
+@query("a_auditsum", f"""{MAIL_SQL} SELECT CAST(count_if(error IS NULL AND len(reasons) = 0) AS BIGINT) AS candidates,
   CAST(coalesce(sum(CASE WHEN error IS NULL AND len(reasons) = 0 THEN bytes END), 0) AS BIGINT) AS candidate_bytes,
-  count_if(error IS NULL AND len(reasons) > 0) AS held, CAST(coalesce(sum(CASE WHEN error IS NULL AND len(reasons) > 0 THEN bytes END), 0) AS BIGINT) AS held_bytes,
-  count_if(error IS NOT NULL) AS errors FROM m""")
+  CAST(count_if(error IS NULL AND len(reasons) > 0) AS BIGINT) AS held, CAST(coalesce(sum(CASE WHEN error IS NULL AND len(reasons) > 0 THEN bytes END), 0) AS BIGINT) AS held_bytes,
+  CAST(count_if(error IS NOT NULL) AS BIGINT) AS errors FROM m""")
 def a_auditsum(spark, sf_dir):
     return mail.audit_summary(with_errors(spark, sf_dir))
 

@@ -104,7 +104,7 @@ def j_provenance(spark, sf_dir):
     return _hits(spark, sf_dir).select("urn", F.array_join("segments", "|").alias("segments"), "is_new")
 
 
-@query("u_ordered", f"""{HITS_SQL} SELECT count_if(b.urn IS NULL) AS new_rows, count_if(b.urn IS NOT NULL) AS known_rows
+@query("u_ordered", f"""{HITS_SQL} SELECT CAST(count_if(b.urn IS NULL) AS BIGINT) AS new_rows, CAST(count_if(b.urn IS NOT NULL) AS BIGINT) AS known_rows
   FROM fresh f LEFT JOIN base b ON b.urn = f.urn""")
 def u_ordered(spark, sf_dir):
     hit = F.col("was_hit")
@@ -245,8 +245,8 @@ def q_enum(spark, sf_dir):
                      (~F.col("degree").isin(*DEGREES)).alias("replaced"))
 
 
-@query("q_range", f"""{ENUM_SQL} SELECT count(*) AS rows, count_if(NOT balance BETWEEN 0 AND 9000) AS bad_balance,
-  count_if(NOT mutual_count BETWEEN 0 AND 1) AS bad_mutual_count FROM contacts""")
+@query("q_range", f"""{ENUM_SQL} SELECT count(*) AS rows, CAST(count_if(NOT balance BETWEEN 0 AND 9000) AS BIGINT) AS bad_balance,
+  CAST(count_if(NOT mutual_count BETWEEN 0 AND 1) AS BIGINT) AS bad_mutual_count FROM contacts""")
 def q_range(spark, sf_dir):
     from quillmetric.operators.quality import range_violations
     return range_violations(CONTACTS.spark(spark, sf_dir), {"balance": (0, 9000), "mutual_count": (0, 1)})
