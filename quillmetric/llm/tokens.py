@@ -16,7 +16,8 @@ import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 600_000
+LONGEST_KEPT = 64
 
 #: Fixed value: the splitting pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,7 +67,8 @@ class Encoder:
             found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
             if len(self.words) >= KEPT_CHUNKS:
                 self.words.clear()
-            self.words[word] = found
+            if len(word) <= LONGEST_KEPT:
+                self.words[word] = found
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -85,10 +87,15 @@ class Encoder:
         if len(kept) >= KEPT_CHUNKS:
             kept.clear()
             kept[""] = b""
+        found = []
         for c in chunks:
-            if c not in kept:
-                kept[c] = self._chunk(c)
-        return b"".join([kept[c] for c in chunks])
+            ids = kept.get(c)
+            if ids is None:
+                ids = self._chunk(c)
+                if len(c) <= LONGEST_KEPT:
+                    kept[c] = ids
+            found.append(ids)
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
