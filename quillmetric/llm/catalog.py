@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmetric.llm import packing, token_orc
+import corpus_pipeline
+from quillmetric.llm import lines, mixing, packing, quality, simhash, token_orc
 from quillmetric.llm.work import Workspace
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +31,45 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+# A line's first place is the least (doc_id, line number); documents without an id do not occur in the checked tables.
+LINE_SPREAD_SQL = r"""
+WITH split AS (SELECT doc_id, text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+placed AS (SELECT doc_id, site, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM split),
+long_lines AS (
+  SELECT doc_id, site, line_no, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM placed),
+judged AS (SELECT * FROM long_lines WHERE length(line) >= 16),
+spread AS (SELECT line, min({'doc_id': doc_id, 'line_no': line_no}) AS first_place FROM judged GROUP BY line HAVING count(DISTINCT site) >= 10),
+gone AS (
+  SELECT DISTINCT j.doc_id, j.line_no FROM judged j JOIN spread s USING (line)
+  WHERE NOT (j.doc_id = s.first_place.doc_id AND j.line_no = s.first_place.line_no)),
+kept AS (
+  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.line_no) FILTER (WHERE g.line_no IS NULL) AS text,
+         count(*) AS n_lines, count(g.line_no) AS n_removed
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.line_no = g.line_no GROUP BY p.doc_id)
+SELECT k.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed
+FROM kept k JOIN split s USING (doc_id)
+"""
+
+
+@query("op2_line_site_spread", LINE_SPREAD_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return lines.drop_boilerplate(docs, Workspace(spark)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op3_quality_trees")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"),
+                            table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query("op6_simhash_ball")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"), Workspace(spark))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), Workspace(spark))
@@ -40,3 +81,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work.new("tokens")
     token_orc.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return token_orc.token_index(spark, path, work)
+
+
+@query("op10_entropy_mix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), Workspace(spark))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -68,3 +68,11 @@ def running(df: DataFrame, value: str, order: Sequence[str], name: str, work: Wo
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table marked for broadcasting if it has at most ``rows`` rows; beyond that Spark joins it by shuffling."""
+    return F.broadcast(written) if written.count() <= rows else written
