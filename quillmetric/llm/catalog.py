@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmetric.llm import lines, mixing, packing, quality, simhash, token_orc
+from quillmetric.llm import audio, chat, lines, mixing, packing, quality, retrieval, secret_scan, simhash, token_orc
 from quillmetric.llm.work import Workspace
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+TOP_K_SQL = """
+WITH vectors AS (
+  SELECT vec_id, min([floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT coalesce(list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding]), false)
+  GROUP BY vec_id),
+products AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM products)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op1_norm_bucket_top_k", TOP_K_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return retrieval.top_k(embeddings, F.col("vec_id") % 100 == 0, Workspace(spark))
+
+
 # A line's first place is the least (doc_id, line number); documents without an id do not occur in the checked tables.
 LINE_SPREAD_SQL = r"""
 WITH split AS (SELECT doc_id, text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -64,6 +83,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                             table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+@query("op4_secret_worklist")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op5_audio_features")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark)
+    media, features = work.new("media"), work.new("features")
+    audio.store_media(table(spark, sf_dir, "documents", "doc_id", "text"), media)
+    audio.store_features(spark, media, features)
+    return audio.feature_rows(spark, features)
+
+
 @query("op6_simhash_ball")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents", "doc_id", "text"), Workspace(spark))
@@ -83,6 +116,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_index(spark, path, work)
 
 
+# Escaping adds one character per control string, or per control string and backslash where backslashes could be misread.
+CHAT_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, len(regexp_extract_all(text, '\[INST\]|\[/INST\]|<s>|</s>|\[ROLE:|\[/ROLE\]')) AS controls,
+         length(text) - length(replace(text, chr(92), '')) AS slashes,
+         contains(text, chr(92) || chr(92)) OR regexp_matches(text, '\\(\[INST\]|\[/INST\]|<s>|</s>|\[ROLE:|\[/ROLE\])')
+           OR (role = 'assistant' AND suffix(text, chr(92))) AS doubtful
+  FROM rows_),
+sized AS (
+  SELECT *, length(text) + controls + CASE WHEN doubtful THEN slashes ELSE 0 END
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 16 + length(role) END AS chars
+  FROM marked)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op9_chat_round_trip", CHAT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return chat.format_conversations(conversations, Workspace(spark))
+
+
 @query("op10_entropy_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), Workspace(spark))
