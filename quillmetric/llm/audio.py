@@ -26,7 +26,7 @@ HALF_TAPS = 8
 FRAME, HOP = 256, 128
 MELS = 20
 WINDOW_FRAMES = 16
-RISE, FALL = 0.5, -0.5
+RISE, FALL = 0.6, 0.4
 BLOCK_DOCS = 500
 
 MEDIA = "doc_id long, n_bytes long, media binary"
@@ -115,9 +115,11 @@ def log_mel(signal: np.ndarray, rate: int) -> np.ndarray:
 
 
 def active_segments(mel: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of frames that begin when the energy rises above RISE and end when it falls below FALL deviations from its mean."""
+    """Runs of frames that begin when the energy rises above RISE and end when it falls below FALL, between its quiet (0) and
+    its loud (1) level, the tenth and ninetieth percentile. Even energy has no segments."""
     energy = mel.mean(axis=1)
-    level = (energy - energy.mean()) / (energy.std() + 1e-9)
+    quiet, loud = np.quantile(energy, [0.1, 0.9])
+    level = (energy - quiet) / max(loud - quiet, 1e-6)
     mark = np.where(level > RISE, 1, np.where(level < FALL, -1, 0))
     last = np.maximum.accumulate(np.where(mark != 0, np.arange(len(mark)), -1))
     on = np.concatenate([[False], (last >= 0) & (mark[np.maximum(last, 0)] > 0), [False]])

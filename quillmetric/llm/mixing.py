@@ -67,11 +67,11 @@ def slopes(cells: DataFrame, targets: DataFrame, work: Workspace, limit: int = L
     Every step is one pass over the cells; the small table of sources is written after each, so nothing piles up.
     """
     moments = cells.groupBy("src", "no_src").agg(
-        (F.sum((F.col("size") * F.col("size") * F.col("n")).cast("decimal(38,0)"))
-         / F.sum((F.col("size") * F.col("n")).cast("decimal(38,0)"))).cast("double").alias("scale"))
-    share = F.col("target") / F.col("source_size")
+        F.try_divide(F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")),
+                     F.sum(F.col("size").cast("double") * F.col("n"))).alias("scale"))
+    share = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
     state = (targets.join(moments, ["src", "no_src"])
-             .withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+             .withColumn("scale", F.round(F.coalesce("scale", F.lit(1.0)), 3))
              .withColumn("saturated", F.coalesce(share >= limit * (1 - 1e-12), F.lit(True)))
              .withColumn("low", F.least(F.lit(0.0), F.col("scale") * F.log(share)))
              .withColumn("high", F.when(share > 1, F.col("scale") * F.log(F.lit(float(limit)))).otherwise(0.0))
@@ -88,16 +88,16 @@ def slopes(cells: DataFrame, targets: DataFrame, work: Workspace, limit: int = L
             break
         sums = (cells.join(small(state), ["src", "no_src"]).groupBy("src", "no_src")
                 .agg(_exact_sum(tokens).alias("reached"), _exact_sum(bend).alias("curve")))
-        moved = state.join(sums, ["src", "no_src"])
+        moved = state.filter("NOT saturated").join(sums, ["src", "no_src"])
         low = F.when(F.col("reached") < F.col("target"), F.col("slope")).otherwise(F.col("low"))
         high = F.when(F.col("reached") > F.col("target"), F.col("slope")).otherwise(F.col("high"))
-        newton = F.col("slope") - F.log(F.col("reached") / F.col("target")) * F.col("reached") / F.col("curve")
+        newton = F.col("slope") - F.try_divide(F.log(F.col("reached") / F.col("target")) * F.col("reached"), F.col("curve"))
         moved = moved.withColumn("low", low).withColumn("high", high).withColumn("newton", newton)
-        inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+        inside = F.coalesce((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.lit(False))
         off = F.abs(F.col("reached") / F.col("target") - 1)
         step = F.when(off <= TOLERANCE, F.col("slope")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
-        moved = moved.withColumn("off", off).withColumn("slope", F.when(F.col("saturated"), F.col("slope")).otherwise(step))
-        state = work.table(moved.select(*keep), "slopes")
+        moved = moved.withColumn("off", off).withColumn("slope", step)
+        state = work.table(moved.select(*keep).unionByName(state.filter("saturated")), "slopes")
     return state.drop("low", "high", "off")
 
 
@@ -105,7 +105,8 @@ def copies_per_cell(cells: DataFrame, solved: DataFrame, limit: int = LIMIT) ->
     """``src, no_src, size, n, source_size, target, copies``: whole copies of all n documents of a source and size.
 
     Expected copies are rounded up or down by a hash, without bias. Then single copies are added or taken away, largest
-    first, as far as they do not overshoot; each round at least halves what a source is off.
+    first, as far as they do not overshoot; each round at least halves what a source is off. In the end a source is off by
+    less than the size of its smallest document that could still be added or taken away.
     """
     rate = F.when(F.col("saturated"), F.lit(float(limit))).otherwise(
         F.least(F.lit(float(limit)), F.exp(F.col("slope") * F.col("size") / F.col("scale"))))
@@ -125,6 +126,13 @@ def copies_per_cell(cells: DataFrame, solved: DataFrame, limit: int = LIMIT) ->
         table = table.withColumn("change", F.when(F.col("fits") & (F.col("filled") <= F.abs("miss")), sign).otherwise(0))
         table = table.withColumn("copies", F.col("copies") + F.col("change")).withColumn(
             "miss", F.col("miss") - F.sum(F.col("change") * F.col("size")).over(whole))
+    # one last copy of the size that comes closest, if it brings the source nearer
+    room = F.when(F.col("miss") > 0, F.col("copies") < F.col("n") * limit).otherwise(F.col("copies") > 0)
+    rest = F.abs(F.col("size") - F.abs("miss"))
+    closest = F.min(F.when(room & (F.col("size") > 0) & (rest < F.abs("miss")), F.struct(rest, F.col("size")))).over(whole)
+    table = table.withColumn("closest", closest["size"])
+    last = F.when(room & (F.col("size") == F.col("closest")), F.signum(F.col("miss").cast("double")).cast("long")).otherwise(0)
+    table = table.withColumn("copies", F.col("copies") + last)
     return table.select("src", "no_src", "size", "n", "source_size", "target", "copies")
 
 
