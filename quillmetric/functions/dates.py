@@ -34,9 +34,12 @@ def days_before(today, n: int | Column) -> Column:
 
 def window_days(raw: Column) -> Column:
     """Day count kept in 1..90; anything that is not an integer gives the default."""
-    n = F.regexp_extract(raw, r"^\s*([+-]?\d{1,9})\s*$", 1).try_cast("int")
+    digits = F.regexp_extract(raw, r"^\s*([+-]?)0*(\d+)\s*$", 2)
+    # a count of many digits is beyond either limit, whatever its digits
+    size = F.when(F.length(digits) > 9, F.lit(DAYS_MAX)).otherwise(digits.try_cast("int"))
+    n = F.when(F.ltrim(raw).startswith("-"), F.lit(DAYS_MIN)).otherwise(size)
     # greatest and least skip nulls, so the default comes first
-    return F.greatest(F.least(F.coalesce(n, F.lit(DAYS_DEFAULT)), F.lit(DAYS_MAX)), F.lit(DAYS_MIN))
+    return F.greatest(F.least(F.coalesce(F.when(digits != "", n), F.lit(DAYS_DEFAULT)), F.lit(DAYS_MAX)), F.lit(DAYS_MIN))
 
 
 def effective_since(cursor: Column, today, days: Column) -> Column:

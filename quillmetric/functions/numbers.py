@@ -36,9 +36,10 @@ SALARY_RANGE = (
 
 
 def count_or_zero(value: Column) -> Column:
-    """Integer, with null and junk as 0."""
-    return F.coalesce(F.try_to_number(F.regexp_extract(value.cast("string"), r"^\s*([+-]?\d{1,18})\s*$", 1),
-                                      F.lit("S999999999999999999")).cast("bigint"), F.lit(0).cast("bigint"))
+    """Whole part of a number; null, junk and what no long holds are 0."""
+    number = F.regexp_extract(value.cast("string"), r"^\s*([+-]?\d+(?:\.\d*)?)\s*$", 1)
+    whole = F.regexp_extract(number, r"^[+-]?\d+", 0)
+    return F.coalesce(whole.try_cast("decimal(38,0)").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def _magnitude(suffix: Column) -> Column:

@@ -60,7 +60,7 @@ ALIASES = {
     "workflow": ("process", "pipeline"),
     "website": ("site", "web presence"),
 }
-CANONICAL_NOTE = r"(?is)<!--\s*canonical-terms\s*:\s*(.*?)-->"
+CANONICAL_NOTE = r"(?i)<!--\s*canonical-terms\s*:\s*(.*?)-->"
 NOMINAL = r"(?U)\b[A-Za-z]+(?:tion|ment|ance|ence|ity|ness|ship)\b"
 WORD = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\"“‘])"
@@ -248,7 +248,8 @@ def rule_columns(cfg: LintConfig) -> dict[str, Column]:
                     & source.rlike(_any_case(r"\b" + re.escape(term) + r"\b"))
                     & source.rlike(_any_case(r"\b" + re.escape(alias) + r"\b")))
             drift.append(_one(seen, finding("W013", F.lit(None), F.lit(
-                f"Possible synonym drift: canonical term '{term}' shifts to '{alias}'"), F.lit(alias))))
+                f"Possible synonym drift: canonical term '{term}' shifts to '{alias}'"),
+                F.regexp_extract(source, _any_case(r"\b(" + re.escape(alias) + r")\b"), 1))))
 
     claim_text = lambda p: F.concat(F.lit("Maximal promise: "), F.regexp_extract(p, _any_case(cfg.promise), 1))
     return {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmetric.functions import text
 from quillmetric.operators import lint
-from quillmetric.plans.registry import query
+from quillmetric.plans.registry import ORACLES, query
 from quillmetric.tables import table
 
 CFG = lint.LintConfig(
@@ -142,23 +142,20 @@ line_rule("c_w015", "W015", f"""{LINES_SQL} SELECT doc_id, 'W015' AS rule, line,
 line_rule("c_w016", "W016", f"""{LINES_SQL} SELECT doc_id, 'W016' AS rule, line,
   'Possible shame or psychological invalidation' AS message FROM vis WHERE {matches('stupid|worthless|loser|lazy')}""")
 
-COUNT_SQL = f"""{SENTS_SQL}, found AS (
-    SELECT 'W005' AS rule FROM vis WHERE contains(t, '!')
-    UNION ALL SELECT 'W006' FROM counted WHERE words > 45
-    UNION ALL SELECT 'W011' FROM vis WHERE {CLAIM_SQL}
-    UNION ALL SELECT 'W016' FROM vis WHERE {matches('stupid|worthless|loser|lazy')})"""
-COUNT_RULES = ("W005", "W006", "W011", "W016")
+# Every rule over every document; W013 counts the documents as they are, without a note of canonical terms.
+COUNTED = tuple(f"c_w{n:03d}" for n in range(1, 17) if n != 13)
+COUNT_SQL = "WITH found AS (" + " UNION ALL ".join(f"SELECT doc_id, rule FROM ({ORACLES[key]})" for key in COUNTED) + ")"
+SEVERITY_SQL = "CASE WHEN rule IN ('W007', 'W008', 'W009') THEN 'info' WHEN rule >= 'W011' THEN 'review' ELSE 'warning' END"
 
 
-@query("a_rulecount", f"""{COUNT_SQL} SELECT rule, CASE WHEN rule IN ('W005', 'W006') THEN 'warning' ELSE 'review' END
-  AS severity, count(*) AS findings FROM found GROUP BY ALL""")
+@query("a_rulecount", f"{COUNT_SQL} SELECT rule, {SEVERITY_SQL} AS severity, count(*) AS findings FROM found GROUP BY ALL")
 def a_rulecount(spark, sf_dir):
-    return lint.rule_counts(run_rule(spark, sf_dir, *COUNT_RULES))
+    return lint.rule_counts(run_rule(spark, sf_dir, *lint.SEVERITY))
 
 
 @query("k_findings", f"{COUNT_SQL} SELECT count(*) AS findings, false AS failed FROM found")
 def k_findings(spark, sf_dir):
-    return lint.findings_status(run_rule(spark, sf_dir, *COUNT_RULES))
+    return lint.findings_status(run_rule(spark, sf_dir, *lint.SEVERITY))
 
 
 FENCED = "replace(replace(text, '. ', '.' || chr(10)), ' is ', chr(10) || '```' || chr(10))"

@@ -10,7 +10,7 @@ from quillmetric.functions import numbers, people
 from quillmetric.operators import joins, outreach
 from quillmetric.plans.registry import query
 from quillmetric.functions.text import compute_once
-from quillmetric.tables import CONTACTS, RUN_DATE, STAGES, View, spread, table, with_sql
+from quillmetric.tables import CONTACTS, RUN_DATE, STAGES, View, table, with_sql
 
 TODAY = dt.date.fromisoformat(RUN_DATE)
 T = f"DATE '{RUN_DATE}'"
@@ -42,13 +42,13 @@ FACTS_SQL = f"""{with_sql(CONTACTS, STAGES)},
 
 
 def prepared(spark, sf_dir):
-    contacts = spread(CONTACTS.spark(spark, sf_dir)).select("contact_id", "name", "org", "relationship", "focus", "status",
+    contacts = CONTACTS.spark(spark, sf_dir).select("contact_id", "name", "org", "relationship", "focus", "status",
                                                     "next_action", "touch_date")
     return outreach.prepare(contacts, stages(spark, sf_dir), "contact_id", TODAY)
 
 
 def stages(spark, sf_dir):
-    return compute_once(spread(STAGES.spark(spark, sf_dir)).drop("state"), state=people.first_word_status(F.col("status")),
+    return compute_once(STAGES.spark(spark, sf_dir).drop("state"), state=people.first_word_status(F.col("status")),
                         score_value=numbers.score_text(F.col("score")))
 
 

@@ -215,10 +215,10 @@ def f_like(spark, sf_dir):
 
 
 @query("t_order", f"""{with_sql(CONTACTS)} SELECT contact_id, name, touch FROM (SELECT contact_id, name,
-  strftime(touch_date, '%Y-%m-%d') AS touch FROM contacts) ORDER BY touch DESC NULLS LAST, name LIMIT 100""")
+  strftime(touch_date, '%Y-%m-%d') AS touch FROM contacts) ORDER BY touch DESC NULLS LAST, name""")
 def t_order(spark, sf_dir):
     df = CONTACTS.spark(spark, sf_dir).select("contact_id", "name", F.col("touch_date").cast("string").alias("touch"))
-    return df.orderBy(F.desc_nulls_last("touch"), F.asc("name")).limit(100)
+    return df.orderBy(F.desc_nulls_last("touch"), F.asc("name"))
 
 
 @query("f_lookup", f"""{with_sql(TEXT_POSTS)}, req AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN post_id

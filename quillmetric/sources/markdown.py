@@ -157,7 +157,7 @@ def inventory(files: DataFrame, folder: Column, subfolders: Sequence[str] = ("sc
     """Per folder: number of files, lines, whether the main file and the usual subfolders are there."""
     lines = F.when(F.col("text") == "", 0).otherwise(
         F.size(split_lines(F.regexp_replace("text", r"(\r\n|\n|\r)$", ""))))
-    rest = F.substring("path", 1, 4096)
+    rest = F.col("path")
     return files.withColumn("folder", folder).groupBy("folder").agg(
         F.count(F.lit(1)).alias("files"), F.sum(lines).alias("lines"),
         F.bool_or(rest.endswith("/" + main_file)).alias("has_main"),
