@@ -75,13 +75,9 @@ def tokens(text: Column) -> Column:
 
 
 def pillar_tokens(pillars: str | None) -> list[str]:
-    """Token set of a comma-separated pillar parameter (a driver-side constant)."""
-    found: dict[str, None] = {}
-    for part in (pillars or "").split(","):
-        for word in re.sub(r"[^\w\s]", " ", part.lower()).split():
-            if word not in STOP_WORDS and len(word) > 1:
-                found[word] = None
-    return list(found)
+    """Token set of a comma-separated pillar parameter, by the same rule as the tokens of a text."""
+    from quillmetric.functions.constants import constant
+    return list(constant(tokens(F.lit((pillars or "").replace(",", " ")))))
 
 
 def relevance_raw(text: Column, pillars: Sequence[str]) -> Column:

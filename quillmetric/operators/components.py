@@ -1,0 +1,34 @@
+"""Connected components of an edge table, by rounds of minimum labels and their shortcuts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmetric.session import new_work_path
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node of ``edges(a, b)``; the root is the least node of its component.
+
+    Each round takes the least label among the neighbours and then the label of that label, so the rounds grow
+    with the logarithm of the longest path in most graphs. Labels are written to the shared folder after each round; no
+    edges leave the executors. A node linked to itself is a component of its own.
+    """
+    spark = edges.sparkSession
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        path = new_work_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    around = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
+    labels = written(around.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("root")), "labels")
+    while True:
+        near = around.join(labels.select(F.col("node").alias("v"), F.col("root").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
+        lower = labels.join(near, labels["node"] == near["u"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jumps = labels.select(F.col("node").alias("root"), F.col("root").alias("jump"))
+        stepped = written(lower.join(jumps, "root").select("node", "old", F.least("root", "jump").alias("root")), "labels")
+        labels = stepped.select("node", "root")
+        if stepped.filter("old <> root").isEmpty():
+            return labels
