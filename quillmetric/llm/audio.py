@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetric.llm.work import text_or_empty
+from quillmetric.llm.work import slices, text_or_empty
 
 PAD = 64
 RATE = 16_000
@@ -138,7 +138,7 @@ def store_media(docs: DataFrame, path: str) -> None:
     """Write ``doc_id, n_bytes, media`` (a WAV) for ``docs(doc_id, text)``; null texts are empty and give 64 zeros."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [to_wav(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())],

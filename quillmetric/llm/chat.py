@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetric.llm.work import Workspace
+from quillmetric.llm.work import Workspace, slices
 
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "[ROLE:", "[/ROLE]")
 _FRAMES = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>")}
@@ -116,7 +116,7 @@ def write_formatted(conversations: DataFrame, path: str) -> None:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             roles, texts = ([v or "" for v in batch.column(c).to_pylist()] for c in ("role", "text"))
             made = [render_identical(r, t) for r, t in zip(roles, texts)]
             masks = [(a, b) if r == "assistant" else (0, 0) for r, (_, a, b) in zip(roles, made)]
@@ -132,7 +132,7 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
     """The stored segments, parsed: role, text, the text under the loss mask (null where nothing is masked), length."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for segment, a, b in zip(*(batch.column(c).to_pylist() for c in ("segment", "loss_start", "loss_end"))):
                 (role, text, _, _), = parse(segment)

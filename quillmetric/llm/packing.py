@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmetric.llm.tokens import encoder, vocabulary_path
-from quillmetric.llm.work import Workspace, running, text_or_empty
+from quillmetric.llm.work import Workspace, running, slices, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
@@ -31,7 +31,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, v
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, end = encoder(location).encode, int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = to_ids(text) + end

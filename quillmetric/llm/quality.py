@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmetric.llm.boosting import Trees, fit
-from quillmetric.llm.work import text_or_empty
+from quillmetric.llm.work import SLICE_ROWS, slices, text_or_empty
 
 #: Labelled rows that the trees are fitted on, at most; which ones is decided by a hash of the doc_id.
 SAMPLE_ROWS = 30_000
@@ -82,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"),
                  pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))],
@@ -102,7 +102,7 @@ def score_column(trees: Trees, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        found = [statistics(t or "") for t in texts.to_pylist()]
+        found = [statistics(t or "") for start in range(0, len(texts), SLICE_ROWS) for t in texts[start:start + SLICE_ROWS].to_pylist()]
         return pa.array(trees.scores(np.array(found, dtype=np.float64).reshape(len(found), len(FEATURES))))
 
     return score(text)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmetric.llm.work import text_or_empty
+from quillmetric.llm.work import slices, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 
@@ -233,7 +233,7 @@ def find_secrets(docs: DataFrame, limit: int = LAYER_BYTES) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
         types = [pa.string() if f.endswith("string") else pa.int64() for f in FOUND.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 base = scan(text)

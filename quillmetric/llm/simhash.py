@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmetric.llm.components import components
-from quillmetric.llm.work import Workspace, small, text_or_empty
+from quillmetric.llm.work import Workspace, slices, small, text_or_empty
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fingerprint (long)`` of whole texts; null texts are empty and, like all texts without words, get zero."""
 
     def print_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([majority_bits(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()],
                               dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fingerprint"])
@@ -169,7 +169,7 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"),
@@ -178,7 +178,7 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
                 ["doc_id", "_k1", "_k2", "prints", "sketch"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             alike = [sketch_similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity
                      for x, y in zip(left, right)]

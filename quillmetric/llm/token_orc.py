@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmetric.llm.tokens import encoder, vocabulary_path
-from quillmetric.llm.work import Workspace, running_within, text_or_empty
+from quillmetric.llm.work import Workspace, running_within, slices, text_or_empty
 
 END_ID = 0
 STRIPE_BYTES = 16 * 1024 * 1024
@@ -35,16 +35,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, end, pos = encoder(location).encode, int(end_id).to_bytes(4, "little"), 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                piece = batch.slice(start, 1000)
-                stored = [to_ids(t) + end for t in piece.column("text").to_pylist()]
-                ends = np.cumsum([0] + [len(s) // 4 for s in stored]).astype(np.int32)
-                ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(stored))])
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("part"), pa.array(range(pos, pos + piece.num_rows), pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), ids)], ["doc_id", "part", "pos", "ids"])
-                pos += piece.num_rows
+        for batch in slices(batches):
+            stored = [to_ids(t) + end for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0] + [len(s) // 4 for s in stored]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(stored))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("part"), pa.array(range(pos, pos + batch.num_rows), pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), ids)], ["doc_id", "part", "pos", "ids"])
+            pos += batch.num_rows
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     tie = F.xxhash64("text")

@@ -1,14 +1,16 @@
 """Byte-level BPE ids by the tokenizers library, with the work shared between equal words.
 
 A text is cut before every space that another visible character follows. The tokenizer's own splitting pattern always
-has a boundary there, so the ids of a text are the ids of its chunks in a row. Chunks recur; their ids are kept in a
-bounded table per Python worker. Chunks and texts where the argument does not hold (runs of white space, control
+has a boundary there, so the ids of a text are the ids of its chunks in a row. Chunks recur; the ids of recent
+ones are kept in a bounded table per Python worker. Chunks and texts where the argument does not hold (runs of white space, control
 characters, letters outside the Latin blocks) go through ``Tokenizer.encode`` as they are.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +18,8 @@ import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 200_000
+KEPT_WORDS = 125_000
 LONGEST_KEPT = 64
 
 #: Fixed value: the splitting pattern of the byte-level vocabulary.
@@ -26,6 +29,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _UNSAFE_TEXT = re.compile(r" (?=\s|\Z)|\0")
 # chunks in which both pattern libraries agree on letters, digits and white space
 _PLAIN_CHUNK = re.compile(r"[\n\t\r\x20-\x7e\xa1-ɏ]*\Z")
+_LAST_PLAIN = "ɏ"
 _WORDS = regex.compile(SPLIT)
 
 
@@ -34,6 +38,25 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent(dict):
+    """Results of a function of a string, for the strings met of late: two generations of at most ``limit`` each."""
+
+    def __init__(self, function, limit: int) -> None:
+        super().__init__()
+        self.function, self.limit, self.older = function, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.limit:
+                self.older = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit values."""
 
@@ -42,8 +65,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
         self.model = self.tokenizer.model
         self.alphabet = self._byte_alphabet()
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.blank = self.alphabet[ord(" ")]
+        self.chunks = Recent(self._chunk, KEPT_CHUNKS)
+        self.words = Recent(self._word, KEPT_WORDS)
 
     @staticmethod
     def _byte_alphabet() -> dict[int, str]:
@@ -61,41 +85,30 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
+        if word.isascii() and word.isprintable():
+            letters = self.blank + word[1:] if word[0] == " " else word
+        else:
             letters = word.encode().decode("latin-1").translate(self.alphabet)
-            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
-            if len(self.words) >= KEPT_CHUNKS:
-                self.words.clear()
-            if len(word) <= LONGEST_KEPT:
-                self.words[word] = found
-        return found
+        ids = array("I", [t.id for t in self.model.tokenize(letters)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk and max(chunk) <= _LAST_PLAIN and chunk[0] == " ":
+            body = chunk[1:]
+            if body.isalpha():
+                return self.words[chunk]
+            if body[-1] in ".,!?;:" and body[:-1].isalpha():
+                return self.words[chunk[:-1]] + self.words[body[-1]]
         if _PLAIN_CHUNK.match(chunk):
-            return b"".join([self._word(w) for w in _WORDS.findall(chunk)])
+            return b"".join(map(self.words.__getitem__, _WORDS.findall(chunk)))
         return self._whole(chunk)
 
     def encode(self, text: str) -> bytes:
         if _UNSAFE_TEXT.search(text):
             return self._whole(text)
-        chunks, kept = text.replace(" ", "\0 ").split("\0"), self.chunks
-        try:
-            return b"".join([kept[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(kept) >= KEPT_CHUNKS:
-            kept.clear()
-            kept[""] = b""
-        found = []
-        for c in chunks:
-            ids = kept.get(c)
-            if ids is None:
-                ids = self._chunk(c)
-                if len(c) <= LONGEST_KEPT:
-                    kept[c] = ids
-            found.append(ids)
-        return b"".join(found)
+        return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 @lru_cache(maxsize=2)
