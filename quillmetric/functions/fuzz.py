@@ -94,8 +94,16 @@ def set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string against windows of the longer one, cut windows at both ends included."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    """Best ratio of the shorter string against windows of the longer one, cut windows at both ends included.
+
+    Of strings of equal length either may be the one that is cut; the better direction counts.
+    """
+    if len(a) == len(b):
+        return max(_best_window(a, b), _best_window(b, a))
+    return _best_window(a, b) if len(a) < len(b) else _best_window(b, a)
+
+
+def _best_window(short: str, long: str) -> float:
     if not short:
         return 100.0 if not long else 0.0
     if short in long:
@@ -105,10 +113,11 @@ def partial_ratio(a: str, b: str) -> float:
         best = _best_full_window(short, long)
     else:
         best = max(ratio(short, long[i:i + size]) for i in range(n - size + 1))
-    for k in range(1, size):
+    for k in range(size - 1, 0, -1):
         # a cut window of k characters cannot beat 200 k / (size + k)
-        if 200.0 * k / (size + k) > best:
-            best = max(best, ratio(short, long[:k]), ratio(short, long[n - k:]))
+        if 200.0 * k / (size + k) <= best:
+            break
+        best = max(best, ratio(short, long[:k]), ratio(short, long[n - k:]))
     return best
 
 

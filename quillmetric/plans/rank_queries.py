@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quillmetric.functions import people, text
 from quillmetric.operators import joins, merge, ranking
+from quillmetric.plans import fuzz_sql
 from quillmetric.plans.registry import query
-from quillmetric.tables import CONTACTS, NOW_MILLIS, TEXT_POSTS, table, with_sql
+from quillmetric.tables import CONTACTS, NOW_MILLIS, TEXT_POSTS, View, table, with_sql
 
 TARGETS = ranking.Targets(
     tier_a=("oure", "ndat", "org 75"), tier_b=("esat", "ndon", "of the"), tier_c=("ated", "ster", "thes"),
@@ -208,39 +209,103 @@ def t_posts(spark, sf_dir):
         F.col("topic"), F.col("who"), F.col("tier"), F.col("like_count"), F.col("comment_count"), F.col("repost_count")), 6).alias("priority"))
 
 
-# ---- rankings with computed similarity (no SQL form) ------------------------------
+# ---- rankings with computed similarity -------------------------------------------
 
-@query("j_roles")
+def _pairs(name, source, targets, candidates):
+    """CTE of all (target, candidate) pairs of each row; the query's own parameters are the targets."""
+    listed = ", ".join(f"'{t}'" for t in targets)
+    return f"{name} AS (SELECT id, a, unnest({candidates}) AS b FROM (SELECT *, unnest([{listed}]) AS a FROM {source}))"
+
+
+def _folded(parts, fold):
+    return f"list_transform({parts}, lambda s: {fold('s')})"
+
+
+ROLE_HEAD = "p_type || ' ' || p_name || ' at Sr Eng Org'"
+EXPANDED_HEAD = "replace(head, 'Sr Eng', 'senior engineer')"
+ROLES_SQL = f"""WITH heads AS (SELECT p_partkey AS id, {ROLE_HEAD} AS head FROM part),
+  {_pairs('pairs', 'heads', ['red widget', 'senior engineer', 'sr eng', 'blue gear'],
+          f"list_concat({_folded(fuzz_sql.segments('head'), fuzz_sql.plain)}, "
+          f"{_folded(fuzz_sql.segments(EXPANDED_HEAD), fuzz_sql.plain)})")},
+  {fuzz_sql.blended('found', 'pairs')} SELECT id AS p_partkey, score AS role_score FROM found"""
+
+
+@query("j_roles", ROLES_SQL)
 def j_roles(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
     head = F.concat_ws(" at ", F.concat_ws(" ", "p_type", "p_name"), F.lit("Sr Eng Org"))
     return ranking.with_role_score(df, ["red widget", "sr eng", "blue gear"], head).select("p_partkey", "role_score")
 
 
-@query("j_company")
+COMPANY_SQL = f"""WITH texts AS (SELECT p_partkey AS id, p_brand || ' at ' || p_name || ', Inc' AS t FROM part),
+  {_pairs('pairs', 'texts', ['red widget'], _folded(fuzz_sql.segments('t'), fuzz_sql.company))},
+  {fuzz_sql.blended('found', 'pairs', strict=True)} SELECT id AS p_partkey, score AS company_score FROM found"""
+
+
+@query("j_company", COMPANY_SQL)
 def j_company(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
     text_of = F.concat_ws(" at ", "p_brand", F.concat("p_name", F.lit(", Inc")))
     return ranking.with_company_score(df, "red widget", text_of).select("p_partkey", "company_score")
 
 
-@query("t_contacts_fuzzy")
+CONTACT_FUZZY_SQL = f"""{with_sql(CONTACTS)}, heads AS (SELECT contact_id AS id, *, focus || ' at ' || org AS head,
+    replace(focus || ' at ' || org, 'VP', 'vice president') AS full_head FROM contacts),
+  {_pairs('role_pairs', 'heads', ['vice president data', 'vp data', 'recruiter'],
+          f"list_concat({_folded(fuzz_sql.segments('head'), fuzz_sql.plain)}, {_folded(fuzz_sql.segments('full_head'), fuzz_sql.plain)})")},
+  {fuzz_sql.blended('roles', 'role_pairs')},
+  {_pairs('own_pairs', 'heads', ['org 17'], _folded(fuzz_sql.segments('org'), fuzz_sql.company))}, {fuzz_sql.blended('own', 'own_pairs', strict=True)},
+  {_pairs('head_pairs', 'heads', ['org 17'], _folded(fuzz_sql.segments('head'), fuzz_sql.company))}, {fuzz_sql.blended('top', 'head_pairs', strict=True)},
+  found AS (SELECT h.*, r.score AS role_score, CASE WHEN o.score < 50 THEN greatest(o.score, t.score) ELSE o.score END AS company_score
+    FROM heads h JOIN roles r USING (id) JOIN own o USING (id) JOIN top t USING (id))
+  SELECT contact_id, role_score, company_score, round_even(0.55::DOUBLE * role_score + 0.45::DOUBLE * company_score
+    + CASE WHEN regexp_matches(lower(head), 'head|vp|vice president|director|manager|lead|chief|founder|partner|principal|hiring') THEN 8 ELSE 0 END
+    + CASE degree WHEN '1st' THEN 3 WHEN '2nd' THEN 1.5 ELSE 0 END + least(mutual_count * 0.2::DOUBLE, 2), 2) AS priority
+  FROM found WHERE role_score >= 40 AND company_score >= 60"""
+
+
+@query("t_contacts_fuzzy", CONTACT_FUZZY_SQL)
 def t_contacts_fuzzy(spark, sf_dir):
     df = CONTACTS.spark(spark, sf_dir).selectExpr("contact_id", "focus || ' at ' || org AS headline", "org AS current_company",
                                                   "degree", "mutual_count")
     return ranking.rank_contacts(df, ["VP data", "recruiter"], "Org 17").select("contact_id", "role_score", "company_score", "priority")
 
 
-@query("t_jobs_fuzzy")
+JOBS_FUZZY_SQL = f"""WITH jobs AS (SELECT p_partkey AS id, * FROM part),
+  {_pairs('role_pairs', 'jobs', ['red widget', 'old gear'], _folded(fuzz_sql.segments('p_name'), fuzz_sql.plain))}, {fuzz_sql.blended('roles', 'role_pairs')},
+  {_pairs('firm_pairs', 'jobs', ['brand 17'], _folded(fuzz_sql.segments('p_brand'), fuzz_sql.company))}, {fuzz_sql.blended('firms', 'firm_pairs', strict=True)}
+  SELECT id AS p_partkey, r.score AS role_score, f.score AS company_score, r.score * 0.6::DOUBLE + f.score * 0.4::DOUBLE AS priority
+  FROM roles r JOIN firms f USING (id) WHERE r.score >= 40 AND f.score >= 60"""
+
+
+@query("t_jobs_fuzzy", JOBS_FUZZY_SQL)
 def t_jobs_fuzzy(spark, sf_dir):
     df = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name AS title", "p_brand AS company")
     return ranking.rank_jobs(df, ["red widget", "old gear"], "Brand#17").select("p_partkey", "role_score", "company_score", "priority")
 
 
-@query("t_posts_fuzzy")
+# Short posts, one per part, by the author of its brand.
+NOTES = View("notes", "part", {
+    "post_key": "p_partkey",
+    "text": "p_type || ' ' || p_name || ': news of the ' || p_name || ' #' || replace(p_name, ' ', '')",
+    "author_name": "'src' || (p_size % 20)",
+    "like_count": "CAST(p_partkey % 211 AS BIGINT)",
+    "comment_count": "CAST(p_size AS BIGINT)",
+    "repost_count": "CAST(p_partkey % 13 AS BIGINT)",
+})
+POSTS_FUZZY_SQL = f"""{with_sql(NOTES, CONTACTS)}, posts AS (SELECT post_key AS id, *, text || ' ' || replace(regexp_extract(text, '#(.*)$', 1), ' ', '') AS combined FROM notes),
+  {_pairs('topic_pairs', 'posts', ['red widget', 'old gear'], _folded(fuzz_sql.segments('combined'), fuzz_sql.plain))}, {fuzz_sql.blended('topics', 'topic_pairs')},
+  {_pairs('name_pairs', 'posts', ['src1', 'src12'], '[author_name]')}, {fuzz_sql.blended('names', 'name_pairs').replace('max(coalesce(s.score, 0)), 2)', 'max(coalesce(s.score, 0)), 9)')},
+  who AS (SELECT lower(author_alias) AS who, tier FROM contacts QUALIFY row_number() OVER (PARTITION BY lower(author_alias) ORDER BY contact_id DESC) = 1)
+  SELECT post_key, t.score AS topic_score, round_even(t.score * 0.6::DOUBLE + n.score * 0.4::DOUBLE
+    + CASE tier WHEN 'WARM' THEN 15 WHEN 'BRIDGE' THEN 8 WHEN 'COLD' THEN 2 ELSE 0 END
+    + least((like_count + 3 * comment_count + 5 * repost_count) * 0.02::DOUBLE, 10), 2) AS priority
+  FROM posts p JOIN topics t USING (id) JOIN names n USING (id) LEFT JOIN who w ON lower(p.author_name) = w.who WHERE t.score >= 40"""
+
+
+@query("t_posts_fuzzy", POSTS_FUZZY_SQL)
 def t_posts_fuzzy(spark, sf_dir):
-    df = joins.attach_author(TEXT_POSTS.spark(spark, sf_dir), CONTACTS.spark(spark, sf_dir), "author_alias", "author_name",
+    df = joins.attach_author(NOTES.spark(spark, sf_dir), CONTACTS.spark(spark, sf_dir), "author_alias", "author_name",
                              "contact_id", ["tier"])
     df = df.withColumn("hashtags", text.hashtags(F.col("text"), distinct=True))
-    return ranking.rank_topic_posts(df, ["the estion", "ndon"], ["src1", "src12"], min_topic=20.0).select(
-        "doc_id", "topic_score", "priority")
+    return ranking.rank_topic_posts(df, ["red widget", "old gear"], ["src1", "src12"]).select("post_key", "topic_score", "priority")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmetric.functions import dates, fuzz, numbers, people, text, urls
 from quillmetric.operators.mail import header, sender_domain
+from quillmetric.plans import fuzz_sql
 from quillmetric.plans.registry import query
 from quillmetric.tables import NOW_MILLIS, TEXT_POSTS, table, with_sql
 
@@ -305,10 +306,15 @@ def x_contrast(spark, sf_dir):
     return df.select("p_partkey", F.round(numbers.contrast(F.col("colour"), F.lit("rgb(255,255,255)")), 6).alias("ratio"))
 
 
-@query("x_fuzz")
+FUZZ_SQL = f"""WITH pairs AS (SELECT p_partkey AS id, {fuzz_sql.plain('p_name')} AS a, {fuzz_sql.plain("p_type || ' ' || p_name")} AS b FROM part),
+  {fuzz_sql.blended('found', 'pairs')}
+  SELECT id AS p_partkey, score AS similarity FROM found"""
+
+
+@query("x_fuzz", FUZZ_SQL)
 def x_fuzz(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
-    return df.select("p_partkey", F.round(fuzz.similarity(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 4).alias("similarity"))
+    return df.select("p_partkey", F.round(fuzz.similarity(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 2).alias("similarity"))
 
 
 @query("x_rollhash", """SELECT p_partkey, CAST(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(p_name, ''),
