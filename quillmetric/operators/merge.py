@@ -33,8 +33,12 @@ def collapse_near_duplicates(df: DataFrame, author: str | None, text: str, row_i
                              score: str) -> DataFrame:
     """Highest-scored row of each near-duplicate group; pass no author to compare across authors."""
     who = F.col(author) if author else F.lit("")
-    keyed = df.withColumn("_near", near_duplicate_key(who, F.col(text), F.col(row_id)))
-    return keep_first(keyed, ["_near"], [F.desc(score), F.col(row_id)]).drop("_near")
+    return keep_best_of(df.withColumn("_near", near_duplicate_key(who, F.col(text), F.col(row_id))), "_near", row_id, score).drop("_near")
+
+
+def keep_best_of(keyed: DataFrame, near: str, row_id: str, score: str) -> DataFrame:
+    """Highest-scored row of each value of ``near``; ties go to the smaller id."""
+    return keep_first(keyed, [near], [F.desc(score), F.col(row_id)])
 
 
 def _merged(policy: str, old: Column, new: Column, had_old: Column, has_new: Column) -> Column:

@@ -63,8 +63,8 @@ AUTHOR_SQL = f"""{KEYED_SQL}, who AS (SELECT lower(author_alias) AS who, tier, c
     LEFT JOIN who w ON lower(k.author_name) = w.who)"""
 
 
-def linked(spark, sf_dir):
-    df = joins.attach_author(keyed(spark, sf_dir), CONTACTS.spark(spark, sf_dir), "author_alias", "author_name",
+def linked(spark, sf_dir, posts=None):
+    df = joins.attach_author(posts or keyed(spark, sf_dir), CONTACTS.spark(spark, sf_dir), "author_alias", "author_name",
                              "contact_id", ["tier", "company"])
     return df.withColumn("employer_key", people.clean_company(F.col("company")))
 
@@ -88,9 +88,9 @@ def j_warmth(spark, sf_dir):
 QUEUED_SQL = "SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0"
 
 
-def unqueued(spark, sf_dir):
+def unqueued(spark, sf_dir, posts=None):
     queued = table(spark, sf_dir, "labels").filter("toxic = 1 OR quality = 0").select("doc_id")
-    return joins.without_queued(linked(spark, sf_dir), queued, "doc_id")
+    return joins.without_queued(linked(spark, sf_dir, posts), queued, "doc_id")
 
 
 @query("j_queued", f"{AUTHOR_SQL} SELECT doc_id, cluster FROM linked WHERE doc_id NOT IN ({QUEUED_SQL})")
@@ -112,9 +112,9 @@ SCORED_SQL = f"""{AUTHOR_SQL}, fits AS (SELECT l.*, c.creator_fit,
 
 
 def scored(spark, sf_dir):
-    df = unqueued(spark, sf_dir)
-    fits = ranking.creator_fit(keyed(spark, sf_dir)).select("author_name", "creator_fit")
-    return ranking.with_engagement_score(df.join(fits, "author_name", "left"), NOW_MILLIS, TARGETS)
+    posts = ranking.reduced(TEXT_POSTS.spark(spark, sf_dir), TARGETS)
+    fits = ranking.creator_fit(posts).select("author_name", "creator_fit")
+    return ranking.with_engagement_score(unqueued(spark, sf_dir, posts).join(fits, "author_name", "left"), NOW_MILLIS, TARGETS)
 
 
 @query("t_engage", f"{SCORED_SQL} SELECT doc_id, round(score_raw, 6) AS score, round(age_hours, 6) AS age_hours FROM scored")
@@ -122,22 +122,22 @@ def t_engage(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", F.round("score_raw", 6).alias("score"), F.round("age_hours", 6).alias("age_hours"))
 
 
-@query("f_rankgate", f"{SCORED_SQL} SELECT doc_id, cluster FROM scored WHERE score_raw > 0 AND score_raw >= 35 AND age_hours <= 168")
+@query("f_rankgate", f"{SCORED_SQL} SELECT doc_id, cluster FROM scored WHERE score_raw > 0 AND round_even(score_raw, 2) >= 35 AND age_hours <= 168")
 def f_rankgate(spark, sf_dir):
-    return ranking.worth_answering(scored(spark, sf_dir), 35.0, 7, score="score_raw").select("doc_id", "cluster")
+    return ranking.worth_answering(scored(spark, sf_dir), 35.0, 7).select("doc_id", "cluster")
 
 
-GATED_SQL = f"""{SCORED_SQL}, near AS (SELECT *, round(score_raw, 6) AS s6, author_type = 'company' AS is_page, CASE WHEN trim(text) = '' THEN 'id:' || doc_id
+GATED_SQL = f"""{SCORED_SQL}, near AS (SELECT *, round_even(score_raw, 2) AS s2, author_type = 'company' AS is_page, CASE WHEN trim(text) = '' THEN 'id:' || doc_id
       ELSE substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 120) END AS body
-    FROM scored WHERE score_raw > 0 AND score_raw >= 35 AND age_hours <= 168),
-  gated AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY author_name, body ORDER BY s6 DESC, doc_id) = 1),
-  ordered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s6 DESC, doc_id) AS pos FROM gated)"""
+    FROM scored WHERE score_raw > 0 AND round_even(score_raw, 2) >= 35 AND age_hours <= 168),
+  gated AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY author_name, body ORDER BY s2 DESC, doc_id) = 1),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s2 DESC, doc_id) AS pos FROM gated)"""
 
 
 def gated(spark, sf_dir):
-    kept = ranking.worth_answering(scored(spark, sf_dir), 35.0, 7, score="score_raw").withColumn("s6", F.round("score_raw", 6))
-    kept = merge.collapse_near_duplicates(kept, "author_name", "text", "doc_id", "s6")
-    return kept.select("doc_id", "lang", "s6", "author_name", "cluster", (F.col("author_type") == "company").alias("is_page"))
+    kept = ranking.worth_answering(scored(spark, sf_dir), 35.0, 7)
+    kept = merge.keep_best_of(kept, "near", "doc_id", "score")
+    return kept.select("doc_id", "lang", "score", "author_name", "cluster", (F.col("author_type") == "company").alias("is_page"))
 
 
 def _fold_sql(top, per_author, per_page, per_cluster):
@@ -160,14 +160,14 @@ def _fold_sql(top, per_author, per_page, per_cluster):
 
 @query("t_diverse", f"""{_fold_sql(6, 2, 2, 2)} SELECT lang, CAST(generate_subscripts(ids, 1) AS INT) AS rank, unnest(ids) AS doc_id FROM done""")
 def t_diverse(spark, sf_dir):
-    return ranking.diverse_top(gated(spark, sf_dir), ["lang"], "s6", "doc_id", "author_name", "cluster", "is_page",
+    return ranking.diverse_top(gated(spark, sf_dir), ["lang"], "score", "doc_id", "author_name", "cluster", "is_page",
                                top=6, per_author=2, per_page=2, per_cluster=2).select("lang", "rank", "doc_id")
 
 
 @query("t_diverse_fill", f"""{_fold_sql(15, 2, 1, 2)}, f AS (SELECT lang, list_concat(ids, passed)[1:15] AS ids FROM done)
   SELECT lang, CAST(generate_subscripts(ids, 1) AS INT) AS rank, unnest(ids) AS doc_id FROM f""")
 def t_diverse_fill(spark, sf_dir):
-    return ranking.diverse_top(gated(spark, sf_dir), ["lang"], "s6", "doc_id", "author_name", "cluster", "is_page",
+    return ranking.diverse_top(gated(spark, sf_dir), ["lang"], "score", "doc_id", "author_name", "cluster", "is_page",
                                top=15, per_author=2, per_page=1, per_cluster=2, fill_back=True).select("lang", "rank", "doc_id")
 
 
