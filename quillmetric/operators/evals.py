@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmetric.functions.text import squeeze
+from quillmetric.session import new_work_path
 
 # Rating weights, decision bands and the bracket pattern of unfilled placeholders.
 OPPORTUNITY_WEIGHTS = {"fit": 6, "access": 5, "interest": 4, "terms": 3, "timing": 2}
@@ -53,38 +52,72 @@ def rubric_summary(results: DataFrame, output_id: str = "output_id") -> DataFram
 
 # ---- model comparison ----------------------------------------------------------
 
-def _frontier(points: np.ndarray) -> np.ndarray:
-    """Indices of rows no other row beats; columns are 'smaller is better'."""
-    order = np.lexsort(points.T[::-1])
-    kept: list[int] = []
-    front = np.empty((0, points.shape[1]))
-    for i in order:
-        p = points[i]
-        # rows earlier in this order can beat p, later ones cannot
-        beaten = len(front) and bool((np.all(front <= p, axis=1) & np.any(front < p, axis=1)).any())
-        if not beaten:
-            kept.append(int(i))
-            front = np.vstack([front, p])
-    return np.array(sorted(kept), dtype=int)
+#: Cells per measure, and cells of the grid over all measures but one.
+MOST_CELLS, GRID_CELLS = 32, 100_000
+
+
+def _edges_passed(edges: Column, value: Column, high: bool) -> Column:
+    return F.size(F.filter(edges, lambda edge: edge > value if high else edge < value))
+
+
+def _cells(measures: Sequence[tuple[str, bool]], points: DataFrame) -> DataFrame:
+    """The points with a cell number per measure, ``_c0`` and so on: a smaller number is a strictly better value."""
+    others = max(1, len(measures) - 1)
+    cells = max(2, min(MOST_CELLS, int(GRID_CELLS ** (1 / others))))
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    row = points.agg(*[F.percentile_approx(c, shares, 1000).alias(c) for c, _ in measures]).first()  # a few edges per measure
+    for j, (c, high) in enumerate(measures):
+        edges = F.array(*[F.lit(e) for e in sorted(set(row[c] or []))])
+        points = points.withColumn(f"_c{j}", F.when(F.col(c).isNotNull(), _edges_passed(edges, F.col(c), high)))
+    return points
+
+
+def _beside_better_cells(points: DataFrame, n: int) -> DataFrame:
+    """Points that have no point in a cell that is better on every measure; each step is a running minimum over a small grid."""
+    *axes, last = [f"_c{j}" for j in range(n)]
+    cells = points.select(*axes, last).distinct()
+    if not axes:
+        best = cells.agg(F.min(last).alias("_best"))
+        return points.join(best, (F.col(last) <= F.col("_best")) | F.col(last).isNull(), "left_semi")
+    size = cells.agg(F.max(F.greatest(F.lit(0), *axes))).first()[0] or 0
+    grid = points.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(size))).alias(axes[0]))
+    for axis in axes[1:]:
+        grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(size))))
+    grid = grid.join(cells.groupBy(*axes).agg(F.min(last).alias("_best")), axes, "left")
+    for axis in axes:
+        rest = [x for x in axes if x != axis]
+        before = Window.partitionBy(*rest or [F.lit(0)]).orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
+        grid = grid.withColumn("_best", F.min("_best").over(before))
+    known = points.join(grid, axes, "left")
+    return known.filter(F.col("_best").isNull() | F.col(last).isNull() | (F.col("_best") >= F.col(last))).drop("_best")
 
 
 def pareto(models: DataFrame, better_high: Sequence[str], better_low: Sequence[str]) -> DataFrame:
-    """Models no other model beats on every measure.
+    """Models no other model beats: at least as good on every measure and better on one. Values compare in their own types.
 
-    Every partition first reduces itself to its own frontier, so the last step sees frontier rows only.
+    Equal points are one point. A grid of quantile cells drops points with another point in a cell that is better on every
+    measure. Any other point that beats a point shares a cell with it on some measure, so per measure an anti-join inside
+    equal cells finds it; no step sees all points at once. Models with a null measure are neither beaten nor beat others.
     """
-    def reduce_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for frame in frames:
-            best = frame if best is None else pd.concat([best, frame], ignore_index=True)
-            points = np.column_stack([-best[c].to_numpy(float) for c in better_high]
-                                     + [best[c].to_numpy(float) for c in better_low])
-            best = best.iloc[_frontier(points)].reset_index(drop=True)
-        if best is not None:
-            yield best
-
-    local = models.mapInPandas(reduce_batches, models.schema)
-    return local.repartition(1).mapInPandas(reduce_batches, models.schema)
+    measures = [(c, True) for c in better_high] + [(c, False) for c in better_low]
+    names = [c for c, _ in measures]
+    points = _cells(measures, models.select(*names).distinct())
+    path = new_work_path(models.sparkSession, "frontier")
+    _beside_better_cells(points, len(names)).write.parquet(path)
+    left = models.sparkSession.read.schema(points.schema).parquet(path)
+    rivals = left.select(*[F.col(c).alias(f"_r_{i}") for i, c in enumerate([*names, *[f"_c{j}" for j in range(len(names))]])])
+    for j in range(len(names)):
+        no_worse, better = F.lit(True), F.lit(False)
+        for i, (c, high) in enumerate(measures):
+            mine, theirs = F.col(c), F.col(f"_r_{i}")
+            no_worse = no_worse & (theirs >= mine if high else theirs <= mine)
+            better = better | (theirs > mine if high else theirs < mine)
+        left = left.join(rivals, (F.col(f"_c{j}") == F.col(f"_r_{len(names) + j}")) & no_worse & better, "left_anti")
+    same = F.lit(True)
+    front = left.select(*[F.col(c).alias(f"_f_{i}") for i, c in enumerate(names)])
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_f_{i}"))
+    return models.join(front, same, "left_semi")
 
 
 def tier_inversions(runs: DataFrame, scenario: str, tier: str, passed: str, frontier: str) -> DataFrame:

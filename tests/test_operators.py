@@ -167,6 +167,23 @@ def test_containment_equals_nested_loop(spark):
     assert got == sorted((h, n) for h, x in hays for n, y in needles if y in x)
 
 
+def test_frontier_equals_all_comparisons(spark):
+    rng = random.Random(8)
+    even = [(i, rng.randint(0, 40), rng.randint(0, 40), rng.randint(0, 40)) for i in range(400)]
+    opposed = [(i, x, 1000 - x + rng.randint(0, 3), rng.randint(0, 5)) for i, x in enumerate(rng.sample(range(1000), 300))]
+    close = [(1, 2 ** 53, 1, 1), (2, 2 ** 53 + 1, 1, 1), (3, 2 ** 53, 0, 1), (4, 2 ** 53, 1, 1), (5, None, 0, 0)]
+    for data in (even, opposed, close, []):
+        df = spark.createDataFrame(data, "m int, p long, l long, c long")
+
+        def beats(q, r):
+            if None in q or None in r:
+                return False
+            return q[1] >= r[1] and q[2] <= r[2] and q[3] <= r[3] and q[1:] != r[1:]
+
+        assert rows(evals.pareto(df, ["p"], ["l", "c"]), "m") == sorted((r[0],) for r in data if not any(beats(q, r) for q in data))
+        assert rows(evals.pareto(df, [], ["l"]), "m") == sorted((r[0],) for r in data if not any(q[2] < r[2] for q in data))
+
+
 def test_overlay_copies_equal_plain_rule(spark):
     rng = random.Random(4)
     nodes = [(s, i, rng.choice(["text", "button"]), rng.choice(["a", "b"]), float(rng.randint(0, 6)), float(rng.randint(0, 6)),

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillmetric.functions import dates, fuzz, numbers, people, text, urls
+from quillmetric.operators import documents
 
 
 def value(spark, raw, build, kind="string"):
@@ -152,3 +153,33 @@ def test_best_similarity_is_the_maximum(spark):
     df = spark.createDataFrame(rows, "c array<string>")
     for row in df.select("c", fuzz.best_similarity(targets, F.col("c")).alias("s")).collect():
         assert row["s"] == round(max(fuzz.pair_score(t, c) for t in targets for c in row["c"]), 2)
+
+
+def test_part_similarity_is_symmetric_and_has_no_border():
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    assert abs(fuzz.partial_ratio("abcd", "axbc") - 600 / 7) < 1e-9
+    for n, m in [(4, 4), (9, 9), (63, 63), (64, 64), (62, 70), (63, 70), (64, 70), (65, 70), (20, 255), (20, 256), (20, 257), (256, 257)]:
+        a, b = word(n), word(m)
+        assert abs(fuzz.partial_ratio(a, b) - fuzz.partial_ratio(b, a)) < 1e-9
+        assert fuzz.common_subsequence(a, b) == _slow_lcs(a, b)
+        short, long = (a, b) if n <= m else (b, a)
+        ways = [(short, long)] + ([(long, short)] if n == m else [])
+        best = max(200.0 * _slow_lcs(s, w) / (len(s) + len(w)) for s, t in ways
+                   for w in [t[i:i + len(s)] for i in range(len(t) - len(s) + 1)] + [t[:k] for k in range(1, len(s), 7)])
+        assert fuzz.partial_ratio(a, b) >= best - 1e-9
+        if n <= 9:
+            full = max(200.0 * _slow_lcs(s, w) / (len(s) + len(w)) for s, t in ways for w in
+                       [t[i:i + len(s)] for i in range(len(t) - len(s) + 1)] + [t[:k] for k in range(1, len(s))] + [t[-k:] for k in range(1, len(s))])
+            assert abs(fuzz.partial_ratio(a, b) - full) < 1e-9
+
+
+def test_counts_days_and_hidden_text(spark):
+    texts = ["12.0", "1234567890123456789", "99999999999999999999", " -7 ", "1.9", "x", "", None, "+5", "1e3", "9999999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(numbers.count_or_zero(F.col("t")), dates.window_days(F.col("t"))).collect()]
+    assert [g[0] for g in got] == [12, 1234567890123456789, 0, -7, 1, 0, 0, 0, 5, 0, 9999999999]
+    assert [g[1] for g in got] == [7, 90, 90, 1, 7, 7, 7, 7, 5, 7, 90]
+    docs = ["a\n```py\nx <!-- y\n```\nb <!-- c\n``` -->d", "\ue000 kept", "~~~\nopen to the end", "``\nshort", "````\n```\nin\n````\nout", "<!-- x"]
+    seen = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "t string").select(documents.visible(F.col("t"))).collect()]
+    assert seen == ["a\n\n\n\nb \nd", "\ue000 kept", "\n", "``\nshort", "\n\n\n\nout", ""]
