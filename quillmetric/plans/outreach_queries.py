@@ -74,14 +74,15 @@ def f_due(spark, sf_dir):
     return outreach.due(prepared(spark, sf_dir)).select("contact_id", "touch_type")
 
 
-@query("t_dm", f"""{FACTS_SQL} SELECT name, touch_type, CAST(score AS INT) AS score,
-  org || ' is ' || CASE WHEN has_rows THEN upper(shown[1]) || shown[2:] ELSE 'not in the pipeline' END || '; ' || degree || ' degree'
+WHY_SQL = """org || ' is ' || CASE WHEN has_rows THEN upper(shown[1]) || shown[2:] ELSE 'not in the pipeline' END || '; ' || degree || ' degree'
     || CASE WHEN degree = '2nd' THEN ' via Ann Lee' ELSE '' END || '; ' || CASE touch_type
       WHEN 'first_touch' THEN 'no prior touch, first touch due' WHEN 'send_drafted' THEN 'a draft is waiting to be sent'
       WHEN 'warm_follow_up' THEN 'they replied, follow up' ELSE
         coalesce(bdays || ' business days since last touch, ', 'last touch unknown, ') || CASE touch_type WHEN 'nudge_1' THEN 'nudge 1 due'
-          WHEN 'nudge_2' THEN 'nudge 2 due' ELSE 'escalate to the department hiring manager or archive' END END AS reason
-  FROM scored WHERE is_due""")
+          WHEN 'nudge_2' THEN 'nudge 2 due' ELSE 'escalate to the department hiring manager or archive' END END"""
+
+
+@query("t_dm", f"{FACTS_SQL} SELECT name, touch_type, CAST(score AS INT) AS score, {WHY_SQL} AS reason FROM scored WHERE is_due")
 def t_dm(spark, sf_dir):
     df = outreach.due(prepared(spark, sf_dir))
     return df.select("name", "touch_type", "score", outreach.reason(F.col("org")).alias("reason")).orderBy(F.desc("score"), "name")
@@ -97,18 +98,29 @@ ITEMS = View("items", "orders", {
                          "ELSE replace('Customer#' || (1000000000 + o_custkey), '#1', '#') END",
     "draft_content": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'draft ' || o_orderkey END",
 })
+# Some contacts share their name with the next one.
+SHARED = ("CASE WHEN contact_id % 25 = 3 THEN 'Customer#' || lpad(CAST(contact_id + 1 AS STRING), 9, '0') ELSE name END",
+          "CASE WHEN contact_id % 25 = 3 THEN 'Customer#' || lpad(CAST(contact_id + 1 AS VARCHAR), 9, '0') ELSE name END")
 QUEUE_SQL = f"""{FACTS_SQL}, {ITEMS.sql}, wanted AS (SELECT lower(trim(counterparty_name)) AS who, *, trim(counterparty_name) AS shown_name FROM items
     WHERE target_type = 'dm' AND status IN ('approved', 'drafted')
     QUALIFY row_number() OVER (PARTITION BY lower(trim(counterparty_name)) ORDER BY CASE status WHEN 'approved' THEN 0 ELSE 1 END, position) = 1),
-  merged AS (SELECT coalesce(s.name, w.shown_name) AS name, coalesce(s.org, 'unknown') AS organization,
-      CASE WHEN w.status = 'approved' THEN 'send_approved' WHEN w.who IS NOT NULL THEN 'review_queued' ELSE s.touch_type END AS touch_type,
-      CAST(CASE WHEN w.status = 'approved' THEN 100 WHEN s.is_due THEN s.score ELSE coalesce(s.draft_score, 30) END AS INT) AS score,
-      CASE WHEN w.who IS NOT NULL THEN coalesce(w.draft_content, '') END AS draft
-    FROM scored s FULL JOIN wanted w ON lower(s.name) = w.who WHERE w.who IS NOT NULL OR s.is_due)"""
+  people AS (SELECT *, {SHARED[1]} AS full_name, {WHY_SQL} AS why FROM scored),
+  met AS (SELECT p.*, w.who, w.status AS item_status, w.draft_content, w.shown_name FROM people p FULL JOIN wanted w ON lower(p.full_name) = w.who
+    WHERE w.who IS NOT NULL OR p.is_due),
+  one AS (SELECT * FROM met WHERE who IS NULL UNION ALL (SELECT * FROM met WHERE who IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY who ORDER BY coalesce(is_due, false) DESC, CASE WHEN is_due THEN score END, contact_id DESC) = 1)),
+  merged AS (SELECT coalesce(full_name, shown_name) AS name, coalesce(org, 'unknown') AS organization,
+      CASE WHEN item_status = 'approved' THEN 'send_approved' WHEN who IS NOT NULL THEN 'review_queued' ELSE touch_type END AS touch_type,
+      CAST(CASE WHEN item_status = 'approved' THEN 100 WHEN is_due THEN score ELSE coalesce(draft_score, 30) END AS INT) AS score,
+      CASE WHEN who IS NOT NULL THEN coalesce(draft_content, '') END AS draft,
+      CASE WHEN item_status = 'approved' THEN 'an approved draft waits to be sent' WHEN who IS NOT NULL THEN 'a draft waits for a decision' ELSE why END AS reason,
+      CASE WHEN item_status = 'approved' THEN 'read it once more, then send it' WHEN who IS NOT NULL THEN 'approve it or reject it' END AS angle
+    FROM one)"""
 
 
 def queued(spark, sf_dir):
-    return outreach.apply_queue(prepared(spark, sf_dir), ITEMS.spark(spark, sf_dir))
+    people_rows = prepared(spark, sf_dir).withColumn("name", F.expr(SHARED[0]))
+    return outreach.apply_queue(people_rows, ITEMS.spark(spark, sf_dir))
 
 
 @query("j_queue", f"{QUEUE_SQL} SELECT * FROM merged")
