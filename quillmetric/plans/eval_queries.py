@@ -322,37 +322,37 @@ def applications(spark, sf_dir):
     return documents.prepare_applications(docs, "o_orderkey")
 
 
-@query("c_apphead", """SELECT o_orderkey, 'required heading must use level two: Cover Letter' AS error FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT o_orderkey, 'missing required heading: Cover Letter' FROM orders WHERE o_orderkey % 3 = 2
-  UNION ALL SELECT o_orderkey, 'missing required field: Status' FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 9 <> 0
-  UNION ALL SELECT o_orderkey, 'top-level singleton metadata must appear exactly once: Status' FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 9 = 0""")
+@query("c_apphead", """SELECT o_orderkey, 'heading_level: Cover Letter' AS error FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 'heading_missing: Cover Letter' FROM orders WHERE o_orderkey % 3 = 2
+  UNION ALL SELECT o_orderkey, 'field_missing: Status' FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 9 <> 0
+  UNION ALL SELECT o_orderkey, 'field_repeated: Status' FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 9 = 0""")
 def c_apphead(spark, sf_dir):
     return documents.heading_errors(applications(spark, sf_dir), "o_orderkey")
 
 
-@query("c_appscore", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'Opportunity score must be a whole number from 20–100 or a provisional range'
-  WHEN 3 THEN 'provisional Opportunity score must use 20–100 bounds and an exact midpoint' ELSE 'Opportunity score must use an approved exact or provisional format' END AS error FROM orders WHERE o_orderkey % 5 IN (1, 3, 4)""")
+@query("c_appscore", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'score_out_of_range'
+  WHEN 3 THEN 'score_range_invalid' ELSE 'score_format' END AS error FROM orders WHERE o_orderkey % 5 IN (1, 3, 4)""")
 def c_appscore(spark, sf_dir):
     return documents.score_errors(applications(spark, sf_dir), "o_orderkey")
 
 
-@query("c_appplace", """SELECT o_orderkey, 'unresolved marker in application' AS error FROM orders WHERE o_orderkey % 7 IN (1, 2)
-  UNION ALL SELECT o_orderkey, 'unresolved placeholder in target role' FROM orders WHERE o_orderkey % 6 = 0""")
+@query("c_appplace", """SELECT o_orderkey, 'open_marker' AS error FROM orders WHERE o_orderkey % 7 IN (1, 2)
+  UNION ALL SELECT o_orderkey, 'open_field: target role' FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0""")
 def c_appplace(spark, sf_dir):
     return documents.placeholder_errors(applications(spark, sf_dir), "o_orderkey")
 
 
-@query("c_approle", """SELECT o_orderkey, 'role must have exactly three parts' AS error FROM orders
-  UNION ALL SELECT o_orderkey, 'role must use level three: Lead' FROM orders WHERE o_orderkey % 4 = 1
-  UNION ALL SELECT o_orderkey, 'role has wrong dates: Lead' FROM orders WHERE o_orderkey % 8 >= 4""")
+@query("c_approle", """SELECT o_orderkey, 'role_parts' AS error FROM orders
+  UNION ALL SELECT o_orderkey, 'role_level: Lead' FROM orders WHERE o_orderkey % 4 = 1
+  UNION ALL SELECT o_orderkey, 'role_dates: Lead' FROM orders WHERE o_orderkey % 8 >= 4""")
 def c_approle(spark, sf_dir):
     return documents.role_errors(applications(spark, sf_dir), "o_orderkey")
 
 
 @query("c_appready", """WITH r AS (SELECT * FROM orders WHERE o_orderkey % 4 <> 0)
-  SELECT o_orderkey, 'Ready application has incomplete Cover Letter' AS error FROM r WHERE o_orderkey % 3 <> 1
-  UNION ALL SELECT o_orderkey, 'Ready application requires a non-placeholder user-verified Human moment record' FROM r WHERE o_orderkey % 3 <> 1
-  UNION ALL SELECT o_orderkey, 'Ready application has an empty Application Log' FROM r WHERE o_orderkey % 10 = 0""")
+  SELECT o_orderkey, 'ready_without_letter' AS error FROM r WHERE o_orderkey % 3 <> 1
+  UNION ALL SELECT o_orderkey, 'ready_without_moment' FROM r WHERE o_orderkey % 3 <> 1
+  UNION ALL SELECT o_orderkey, 'ready_without_log' FROM r WHERE o_orderkey % 10 = 0""")
 def c_appready(spark, sf_dir):
     return documents.ready_errors(applications(spark, sf_dir), "o_orderkey")
 
