@@ -8,7 +8,7 @@ from quillmetric.operators import targets
 from quillmetric.plans.eval_queries import STREAK_SQL
 from quillmetric.plans.registry import query
 from quillmetric.session import new_work_path
-from quillmetric.streaming import jobs
+from quillmetric.streaming import jobs, stateful
 from quillmetric.streaming.store import VersionedTable
 from quillmetric.tables import STAGES, table, with_sql
 
@@ -18,6 +18,19 @@ def stream(spark, sf_dir, name):
     return jobs.file_stream(spark, sf_dir, f"{name}.parquet", schema)
 
 
+BATCHES = 3
+
+
+def in_batches(spark, sf_dir, work, run):
+    """Feed the events in order of their ids, a third at a time, to ``run(stream)``: each third is one micro-batch."""
+    events = table(spark, sf_dir, "events")
+    top = events.agg(F.max("event_id").alias("top")).first()["top"] or 0
+    size = top // BATCHES + 1
+    for n in range(BATCHES):
+        events.filter((F.col("event_id") >= n * size) & (F.col("event_id") < (n + 1) * size)).write.mode("append").parquet(f"{work}/in")
+        run(jobs.file_stream(spark, f"{work}/in", "*.parquet", events.schema))
+
+
 @query("r_listen", "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen FROM events")
 def r_listen(spark, sf_dir):
     work = new_work_path(spark, "listen")
@@ -52,33 +65,45 @@ def a_authors(spark, sf_dir):
 
 
 @query("r_upsert", """SELECT user_id, event_type AS last_type, event_id AS last_id, f.first_id FROM events
-  JOIN (SELECT user_id, max(event_id) AS m, max(event_id) AS first_id FROM events GROUP BY 1) f USING (user_id) WHERE event_id = m""")
+  JOIN (SELECT user_id, max(event_id) AS m, min(event_id) AS first_id FROM events GROUP BY 1) f USING (user_id) WHERE event_id = m""")
 def r_upsert(spark, sf_dir):
     work = new_work_path(spark, "upsert")
-    store = VersionedTable(spark, f"{work}/table", "user_id bigint, last_type string, last_id bigint, first_id bigint")
-    rows = stream(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("last_type"), F.col("event_id").alias("last_id"),
-                                                  F.col("event_id").alias("first_id"))
-    jobs.upsert_stream(rows, "user_id", {"last_type": "new", "last_id": "new", "first_id": "old"}, "last_id", f"{work}/checkpoint", store)
-    return store.latest()
+
+    def run(events):
+        rows = events.select("user_id", F.col("event_type").alias("last_type"), F.col("event_id").alias("last_id"),
+                             F.col("event_id").alias("first_id"))
+        merged = stateful.merged_stream(rows, "user_id", {"last_type": "new", "last_id": "new", "first_id": "old"}, "last_id")
+        stateful.log_changes(merged, f"{work}/log", f"{work}/checkpoint")
+
+    in_batches(spark, sf_dir, work, run)
+    return stateful.latest_rows(spark, f"{work}/log", "user_id")
 
 
 @query("r_checkpoint", """WITH m AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'urn' || user_id ELSE 'u' || user_id END AS urn FROM events)
   SELECT urn, arg_max(event_type, event_id) AS last_type FROM m GROUP BY 1""")
 def r_checkpoint(spark, sf_dir):
     work = new_work_path(spark, "flush")
-    store = VersionedTable(spark, f"{work}/table", "urn string, last_type string")
-    rows = stream(spark, sf_dir, "events").selectExpr("'u' || user_id AS urn", "event_type AS last_type", "event_id AS seq")
     ids = table(spark, sf_dir, "events", "user_id").distinct().filter("user_id % 2 = 0").selectExpr("'u' || user_id AS handle", "'urn' || user_id AS member")
-    jobs.upsert_stream(rows, "urn", {"last_type": "new_else_old"}, "seq", f"{work}/checkpoint", store, ids, "handle", "member")
-    return store.latest()
+
+    def run(events):
+        rows = events.selectExpr("'u' || user_id AS urn", "event_type AS last_type", "event_id AS seq")
+        merged = stateful.merged_stream(rows, "urn", {"last_type": "new_else_old"}, "seq", ids, "handle", "member")
+        stateful.log_changes(merged, f"{work}/log", f"{work}/checkpoint")
+
+    in_batches(spark, sf_dir, work, run)
+    return stateful.latest_rows(spark, f"{work}/log", "urn")
 
 
 @query("r_breaker", f"{STREAK_SQL} SELECT event_id, session_id, streak, streak >= 2 AS deny_next FROM s")
 def r_breaker(spark, sf_dir):
     work = new_work_path(spark, "breaker")
-    state = VersionedTable(spark, f"{work}/state", "session_id bigint, open_failures int")
-    rows = stream(spark, sf_dir, "events").selectExpr("event_id", "user_id AS session_id", "ts", "event_type IN ('error', 'signup') AS failed")
-    jobs.breaker_stream(rows, ["session_id"], "ts", "event_id", "failed", F.date_trunc("day", "ts"), f"{work}/checkpoint", state, f"{work}/out")
+
+    def run(events):
+        rows = events.selectExpr("event_id", "user_id AS session_id", "ts", "event_type IN ('error', 'signup') AS failed")
+        decided = stateful.breaker_stream(rows, ["session_id"], "ts", "event_id", "failed")
+        jobs.run_to_end(decided, f"{work}/out", f"{work}/checkpoint")
+
+    in_batches(spark, sf_dir, work, run)
     return spark.read.parquet(f"{work}/out").select("event_id", "session_id", "streak", "deny_next")
 
 

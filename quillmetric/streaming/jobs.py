@@ -1,18 +1,16 @@
-"""Streaming jobs: capture with de-duplication, running counts, checkpointed upsert, failure breaker.
+"""Streaming jobs: capture with de-duplication, running counts, late rows.
 
-State lives in Spark's own operators or in versioned tables in the shared folder. Stateful work per
-batch reuses the batch operators, so each stream equals its batch twin.
+State lives in Spark's own operators; totals of a few rows lie in versioned tables in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillmetric.operators import merge, telemetry
 from quillmetric.streaming.store import VersionedTable
 
 # Capture windows and allowed lateness.
@@ -81,36 +79,3 @@ def running_counts(stream: DataFrame, ids: Mapping[str, Column], checkpoint: str
         table.write(table.before(number).unionByName(added).groupBy("kind").agg(F.sum("total").alias("total")), number)
 
     _each_batch(fresh, checkpoint, handle)
-
-
-def upsert_stream(stream: DataFrame, key: str, policies: Mapping[str, str], seq: str, checkpoint: str, table: VersionedTable,
-                  id_map: DataFrame | None = None, map_key: str | None = None, map_value: str | None = None) -> None:
-    """Merge every batch into a keyed table; an id map that arrives late is applied before the write."""
-    def handle(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if id_map is not None:
-            known = id_map.select(F.col(map_key).alias(key), F.col(map_value).alias("_mapped"))
-            rows = rows.join(known, key, "left").withColumn(key, F.coalesce("_mapped", key)).drop("_mapped")
-        table.write(merge.upsert(table.before(number), rows, key, policies, seq), number)
-
-    _each_batch(stream, checkpoint, handle)
-
-
-def breaker_stream(stream: DataFrame, keys: Sequence[str], order: str, row_id: str, failed: str, chunk: Column, checkpoint: str,
-                   table: VersionedTable, out: str, at: int = telemetry.BREAK_AT) -> None:
-    """Consecutive failures per session across batches; decisions go to ``out``, open failures to ``table``.
-
-    Batches follow the order of the events. Inside a batch the chunked scan of the batch operator
-    does the work, so a busy session is no single task's.
-    """
-    def handle(batch: DataFrame, number: int) -> None:
-        carried = table.before(number)
-        here = telemetry.failure_streaks(batch, keys, order, row_id, failed, chunk)
-        done = telemetry.with_breaker(telemetry.continue_streaks(here, carried, keys), at)
-        done.drop("no_success_yet").write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
-        written = batch.sparkSession.read.parquet(f"{out.rstrip('/')}/batch={number}")
-        ends = telemetry.open_streaks(written, keys, order, row_id)
-        kept = carried.join(ends.select(*keys), list(keys), "left_anti")
-        table.write(kept.unionByName(ends), number)
-
-    _each_batch(stream, checkpoint, handle)

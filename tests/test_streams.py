@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmetric.operators import telemetry
 from quillmetric.session import new_work_path
-from quillmetric.streaming import jobs
+from quillmetric.streaming import jobs, stateful
 from quillmetric.streaming.store import VersionedTable
 
 SCHEMA = "id bigint, who string, ts timestamp, failed boolean"
@@ -33,22 +33,23 @@ def files(spark, tmp_path, parts=3):
 def test_breaker_survives_batches(spark, tmp_path):
     data, stream = files(spark, tmp_path)
     work = new_work_path(spark, "t")
-    state = VersionedTable(spark, f"{work}/state", "who string, open_failures int")
-    jobs.breaker_stream(stream, ["who"], "ts", "id", "failed", F.date_trunc("hour", "ts"), f"{work}/cp", state, f"{work}/out")
-    assert len(state.versions()) == 3
-    got = {r["id"]: r["streak"] for r in spark.read.parquet(f"{work}/out").collect()}
+    jobs.run_to_end(stateful.breaker_stream(stream, ["who"], "ts", "id", "failed"), f"{work}/out", f"{work}/cp")
+    rows = spark.read.parquet(f"{work}/out").collect()
     twin = telemetry.failure_streaks(spark.createDataFrame(data, SCHEMA), ["who"], "ts", "id", "failed", F.date_trunc("hour", "ts"))
-    assert got == {r["id"]: r["streak"] for r in twin.collect()}
+    assert {r["id"]: r["streak"] for r in rows} == {r["id"]: r["streak"] for r in twin.collect()} and len(rows) == 90
+    assert all(r["deny_next"] == (r["streak"] >= telemetry.BREAK_AT) for r in rows)
 
 
 def test_upsert_and_counts_across_batches(spark, tmp_path):
     data, stream = files(spark, tmp_path)
     work = new_work_path(spark, "t")
-    store = VersionedTable(spark, f"{work}/table", "who string, id bigint, first bigint")
-    rows = stream.select("who", "id", F.col("id").alias("first"))
-    jobs.upsert_stream(rows, "who", {"id": "new", "first": "min"}, "id", f"{work}/cp", store)
-    last = {w: max(i for i, who, _t, _f in data if who == w) for w in ("a", "b")}
-    assert {r["who"]: r["id"] for r in store.latest().collect()} == last
+    rows = stream.selectExpr("who", "id", "id AS first", "CASE WHEN id % 7 = 0 THEN id END AS known")
+    merged = stateful.merged_stream(rows.withColumn("seq", F.col("id")), "who", {"id": "new", "first": "old", "known": "new_else_old"}, "seq")
+    stateful.log_changes(merged, f"{work}/log", f"{work}/cp")
+    ids = {w: [i for i, who, _t, _f in data if who == w] for w in ("a", "b")}
+    assert sorted(tuple(r) for r in stateful.latest_rows(spark, f"{work}/log", "who").collect()) == sorted(
+        (w, max(v), min(v), max(i for i in v if i % 7 == 0)) for w, v in ids.items())
+    assert spark.read.parquet(f"{work}/log").select("batch").distinct().count() == 3
     totals = VersionedTable(spark, f"{work}/totals", "kind string, total bigint")
     jobs.running_counts(stream, {"posts": F.col("id"), "authors": F.col("who")}, f"{work}/cp2", totals)
     assert {r["kind"]: r["total"] for r in totals.latest().collect()} == {"posts": 90, "authors": 2}
