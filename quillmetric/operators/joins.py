@@ -168,26 +168,34 @@ def containment_pairs(hays: DataFrame, hay_id: str, hay: str, needles: DataFrame
     sizes = F.array_distinct(F.concat(*[_grams(F.col(hay), s) for s in range(1, size + 1)]))
     hay_grams = hays.select(F.col(hay_id), F.col(hay).alias("_hay"), F.explode(sizes).alias("_gram"))
     freq = hay_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
-    own = F.when(F.length(needle) < size, F.array(F.col(needle))).otherwise(F.array_distinct(_grams(F.col(needle), size)))
-    needle_grams = needles.select(F.col(needle_id), F.col(needle).alias("_needle"), F.explode(own).alias("_gram"))
-    rarest = (needle_grams.join(freq, "_gram").groupBy(needle_id, "_needle")
-              .agg(F.min(F.struct("_freq", "_gram")).alias("_best"), F.count(F.lit(1)).alias("_seen"))
-              .select(needle_id, "_needle", F.col("_best._gram").alias("_gram")))
-    return (hay_grams.join(rarest, "_gram").filter(F.contains("_hay", "_needle"))
-            .select(hay_id, needle_id).distinct())
+    needle_grams = needles.select(F.col(needle_id), F.col(needle).alias("_needle"), F.explode(own_grams(F.col(needle), size)).alias("_gram"))
+    met = (needle_grams.join(freq, "_gram").groupBy(needle_id, "_needle")
+           .agg(F.min(F.struct("_freq", "_gram")).alias("_best"), F.count(F.lit(1)).alias("_seen")))
+    # a needle with a gram that no text has is inside none
+    rarest = met.filter(F.col("_seen") == F.size(own_grams(F.col("_needle"), size))).select(
+        needle_id, "_needle", F.col("_best._gram").alias("_gram"))
+    return hay_grams.join(rarest, "_gram").filter(F.contains("_hay", "_needle")).select(hay_id, needle_id)
+
+
+def own_grams(needle: Column, size: int) -> Column:
+    return F.when(F.length(needle) < size, F.array(needle)).otherwise(F.array_distinct(_grams(needle, size)))
 
 
 def first_detail(contacts: DataFrame, details: DataFrame, contact_id: str, name: str, detail_id: str,
                  title: str) -> DataFrame:
     """First detail record (by id) whose title holds the contact's name or the other way round.
 
-    Group headings (two people in one title) are left out.
+    Group headings (two people in one title) are left out. Equal names and equal titles meet once; a title stands for its
+    smallest id.
     """
-    names = contacts.select(contact_id, F.lower(name).alias("_name"))
-    titles = details.select(detail_id, F.lower(title).alias("_title")).filter(~F.col("_title").rlike(" & | and "))
-    inside_name = containment_pairs(names, contact_id, "_name", titles, detail_id, "_title")
-    inside_title = containment_pairs(titles, detail_id, "_title", names, contact_id, "_name").select(contact_id, detail_id)
-    return inside_name.unionByName(inside_title).groupBy(contact_id).agg(F.min(detail_id).alias(detail_id))
+    people = contacts.select(contact_id, F.lower(name).alias("_name"))
+    names = people.select("_name").distinct().withColumn("_n", F.col("_name"))
+    titles = (details.select(F.lower(title).alias("_title"), detail_id).filter(~F.col("_title").rlike(" & | and "))
+              .groupBy("_title").agg(F.min(detail_id).alias(detail_id)))
+    inside_name = containment_pairs(names, "_n", "_name", titles, detail_id, "_title")
+    inside_title = containment_pairs(titles, detail_id, "_title", names, "_n", "_name").select("_n", detail_id)
+    best = inside_name.unionByName(inside_title).groupBy("_n").agg(F.min(detail_id).alias(detail_id))
+    return people.join(best, F.col("_name") == F.col("_n")).select(contact_id, detail_id)
 
 
 # ---- history -----------------------------------------------------------------
@@ -195,17 +203,19 @@ def first_detail(contacts: DataFrame, details: DataFrame, contact_id: str, name:
 def check_history(claims: DataFrame, history: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
     """Verdict per claim: 'match', 'conflict' with the sorted expected values, or 'missing'.
 
-    The expected values of a key are folded to their distinct set before the join.
+    A match is an equality join on key and value. Expected values are listed for keys in conflict only.
     """
     value = F.concat_ws(" | ", *[F.col(a) for a in attributes])
-    known = history.select(F.lower(key).alias("_key"), value.alias("_v")).distinct().groupBy("_key").agg(
-        F.array_sort(F.collect_list("_v")).alias("_expected"))
-    joined = claims.withColumn("_key", F.lower(key)).join(known, "_key", "left")
-    verdict = (F.when(F.col("_expected").isNull(), "missing")
-               .when(F.array_contains("_expected", value), "match").otherwise("conflict"))
-    return (joined.withColumn("verdict", verdict)
-            .withColumn("expected", F.when(F.col("verdict") == "conflict", F.array_join("_expected", "; ")))
-            .drop("_key", "_expected"))
+    known = history.select(F.lower(key).alias("_key"), value.alias("_v")).distinct()
+    asked = claims.withColumn("_key", F.lower(key)).withColumn("_v", value)
+    judged = (asked.join(known.withColumn("_same", F.lit(True)), ["_key", "_v"], "left")
+              .join(known.select("_key").distinct().withColumn("_there", F.lit(True)), "_key", "left")
+              .withColumn("verdict", F.when(F.col("_same"), "match").when(F.col("_there"), "conflict").otherwise("missing")))
+    disputed = judged.filter("verdict = 'conflict'")
+    expected = (known.join(disputed.select("_key").distinct(), "_key", "left_semi").groupBy("_key")
+                .agg(F.array_join(F.array_sort(F.collect_list("_v")), "; ").alias("expected")))
+    settled = judged.filter("verdict <> 'conflict'").withColumn("expected", F.lit(None).cast("string"))
+    return disputed.join(expected, "_key").unionByName(settled).drop("_key", "_v", "_same", "_there")
 
 
 # ---- keyword alignment ---------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmetric.functions.text import compute_once
+
 # Points, category floors, path weights and breadth bonus.
 ANCHOR, PEER = 75, 45
 
@@ -46,33 +48,32 @@ def proximity(q1: Column, q2: Column, q3: Column, n_paths: Column, total: Column
 
 
 def assess(contacts: DataFrame) -> DataFrame:
-    """warmth_degree 7-1, tier and action of contacts with degree, proximity, best_name and access flags.
+    """warmth_degree 7-1, tier, action and rationale of contacts with degree, proximity, best_name and access flags.
 
-    Needs degree, is_friend, is_teammate, open_profile, verified_email, proximity, best_name, name.
+    Action and rationale are short codes, with the name, score or channel they depend on after a colon. Needs degree,
+    is_friend, is_teammate, open_profile, verified_email, proximity, best_name.
     """
     first, second = F.col("degree") == "1st", F.col("degree") == "2nd"
     score, named = F.col("proximity"), F.col("best_name")
-    open_way, reachable = F.col("open_profile"), F.col("open_profile") | F.col("verified_email")
+    channel = F.when(F.col("open_profile"), "open_profile").otherwise("email")
+
+    def code(name: str, value: Column | None = None) -> Column:
+        return F.lit(name) if value is None else F.concat(F.lit(name + ": "), F.coalesce(value.cast("string"), F.lit("-")))
+
     rules = [
-        (F.col("is_friend") | (first & F.col("is_teammate")), 7, "WARM",
-         F.lit("Personal 1-on-1 outreach (SMS/call/casual DM). Direct referral or routing ask.")),
-        (first, 6, "WARM", F.lit("LinkedIn Inbox direct message (1-2 paragraphs). Context restoration + update on focus.")),
-        (second & (score >= ANCHOR), 6, "WARM", F.concat(
-            F.lit("Request double-opt-in warm introduction from "), F.coalesce(named, F.lit("mutual leader")), F.lit("."))),
-        (second & (score >= PEER), 5, "BRIDGE", F.concat(
-            F.lit("200-char connection note explicitly naming "), F.coalesce(named, F.lit("shared domain peer")), F.lit("."))),
-        (second, 4, "BRIDGE", F.lit("200-char connection note focused on company/role challenge. Treat mutuals as secondary.")),
-        (reachable, 3, "COLD", F.concat(
-            F.lit("Deploy 3-touch Opportunity-Linked Sequence via "),
-            F.when(open_way, "Free InMail (Open Profile)").otherwise("Verified Corporate Email"),
-            F.lit(" (Trigger -> Artifact -> Route)."))),
-        (F.col("degree").isin("3rd+", "Unknown"), 2, "FROZEN", F.lit(
-            "Halt outreach. Discover 1st/2nd-degree peers or recruiters at company before using InMail credit.")),
+        (F.col("is_friend") | (first & F.col("is_teammate")), 7, "WARM", code("personal_message"), code("knows_personally")),
+        (first, 6, "WARM", code("direct_message"), code("connected")),
+        (second & (score >= ANCHOR), 6, "WARM", code("ask_introduction", named), code("anchor_mutual", named)),
+        (second & (score >= PEER), 5, "BRIDGE", code("note_naming", named), code("peer_mutuals", score)),
+        (second, 4, "BRIDGE", code("note_on_work"), code("loose_mutuals", score)),
+        (F.col("open_profile") | F.col("verified_email"), 3, "COLD", code("sequence_by", channel), code("direct_path", channel)),
+        (F.col("degree").isin("3rd+", "Unknown"), 2, "FROZEN", code("hold"), code("no_path")),
     ]
-    degree, tier = F.lit(1), F.lit("FROZEN")
-    action: Column = F.lit("Do not contact. Archive or monitor for organizational triggers.")
-    for test, n, name, text in reversed(rules):
-        degree = F.when(test, n).otherwise(degree)
-        tier = F.when(test, name).otherwise(tier)
-        action = F.when(test, text).otherwise(action)
-    return contacts.withColumns({"warmth_degree": degree, "contact_tier": tier, "action": action})
+    verdict = _verdict(1, "FROZEN", code("archive"), code("dead_end"))
+    for test, *parts in reversed(rules):
+        verdict = F.when(test, _verdict(*parts)).otherwise(verdict)
+    return compute_once(contacts, _verdict=verdict).select("*", "_verdict.*").drop("_verdict")
+
+
+def _verdict(degree: int, tier: str, action: Column, rationale: Column) -> Column:
+    return F.struct(F.lit(degree).alias("warmth_degree"), F.lit(tier).alias("contact_tier"), action.alias("action"), rationale.alias("rationale"))

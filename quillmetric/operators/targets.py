@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmetric.functions.people import clean_company
@@ -45,7 +45,8 @@ def profile_terms(documents: DataFrame, key: str, text: str = "text") -> DataFra
 def tiered_terms(terms: DataFrame, key: str, stop: Sequence[str] = STOP_TERMS, products: Sequence[str] = PRODUCT_NAMES) -> DataFrame:
     """(key, tier, term, pos): role titles and platforms in tier b, the rest in tier c, stop terms left out.
 
-    Titles also count without their seniority word. Of repeated terms the first position stays.
+    Titles also count without their seniority word, and as they are written in ``role_titles``. A profile with titles
+    also looks for "hiring", and for "nextjs" where it names next.js. Of repeated terms the first position stays.
     """
     low = F.lower("term")
     bare = F.regexp_replace(low, SENIORITY, "")
@@ -59,7 +60,13 @@ def tiered_terms(terms: DataFrame, key: str, stop: Sequence[str] = STOP_TERMS, p
         F.when(tier.isNotNull(), F.struct(tier.alias("tier"), low.alias("term"))),
         F.when((F.col("kind") == "title") & (bare != low) & (bare != ""), F.struct(F.lit("tier_b").alias("tier"), bare.alias("term"))),
         F.when(platform, F.struct(F.lit("platform_terms").alias("tier"), low.alias("term")))))
-    rows = terms.select(key, "pos", F.explode(entries).alias("e")).select(key, "e.tier", "e.term", "pos")
+    titled = F.max(F.when(F.col("kind") == "title", 1)).over(Window.partitionBy(key)).isNotNull()
+    always = F.array_compact(F.array(
+        F.when(F.col("kind") == "title", F.struct(F.lit("tier_c").alias("tier"), F.lit("hiring").alias("term"))),
+        F.when((tier == "tier_c") & (low == "next.js"), F.struct(F.lit("tier_c").alias("tier"), F.lit("nextjs").alias("term"))),
+        F.when(F.col("kind") == "title", F.struct(F.lit("role_titles").alias("tier"), F.col("term").alias("term")))))
+    rows = terms.withColumn("_titled", titled).filter("_titled").select(key, "pos", F.explode(F.concat(entries, always)).alias("e")).select(
+        key, "e.tier", "e.term", "pos")
     kept = rows.filter(~F.col("term").isin(*stop)) if stop else rows
     return kept.groupBy(key, "tier", "term").agg(F.min("pos").alias("pos"))
 

@@ -224,13 +224,17 @@ def a_proximity(spark, sf_dir):
     return warm(spark, sf_dir).select("contact_id", F.coalesce("n_paths", F.lit(0)).cast("bigint").alias("n_paths"), "proximity")
 
 
-@query("a_tier", f"""{PATH_SQL}, t AS (SELECT contact_id, best_name, CASE WHEN o_custkey % 11 = 0 OR (o_orderstatus = 'F' AND o_custkey % 3 = 0) THEN 7 WHEN o_orderstatus = 'F' THEN 6
+@query("a_tier", f"""{PATH_SQL}, t AS (SELECT *, CASE WHEN o_custkey % 11 = 0 OR (o_orderstatus = 'F' AND o_custkey % 3 = 0) THEN 7 WHEN o_orderstatus = 'F' THEN 6
     WHEN o_orderstatus = 'O' AND proximity >= 75 THEN 6 WHEN o_orderstatus = 'O' AND proximity >= 45 THEN 5 WHEN o_orderstatus = 'O' THEN 4
-    WHEN o_custkey % 5 = 0 OR o_custkey % 7 = 0 THEN 3 ELSE 2 END AS warmth_degree FROM p)
+    WHEN o_custkey % 5 = 0 OR o_custkey % 7 = 0 THEN 3 ELSE 2 END AS warmth_degree,
+    CASE WHEN o_custkey % 5 = 0 THEN 'open_profile' ELSE 'email' END AS channel FROM p)
   SELECT contact_id, CAST(warmth_degree AS INT) AS warmth_degree, CASE WHEN warmth_degree >= 6 THEN 'WARM' WHEN warmth_degree >= 4 THEN 'BRIDGE' WHEN warmth_degree = 3 THEN 'COLD' ELSE 'FROZEN' END AS contact_tier,
-    best_name FROM t""")
+    best_name, CASE warmth_degree WHEN 7 THEN 'personal_message' WHEN 6 THEN CASE WHEN o_orderstatus = 'F' THEN 'direct_message' ELSE 'ask_introduction: ' || best_name END
+      WHEN 5 THEN 'note_naming: ' || best_name WHEN 4 THEN 'note_on_work' WHEN 3 THEN 'sequence_by: ' || channel ELSE 'hold' END AS action,
+    CASE warmth_degree WHEN 7 THEN 'knows_personally' WHEN 6 THEN CASE WHEN o_orderstatus = 'F' THEN 'connected' ELSE 'anchor_mutual: ' || best_name END
+      WHEN 5 THEN 'peer_mutuals: ' || proximity WHEN 4 THEN 'loose_mutuals: ' || proximity WHEN 3 THEN 'direct_path: ' || channel ELSE 'no_path' END AS rationale FROM t""")
 def a_tier(spark, sf_dir):
-    return proximity.assess(warm(spark, sf_dir)).select("contact_id", "warmth_degree", "contact_tier", "best_name")
+    return proximity.assess(warm(spark, sf_dir)).select("contact_id", "warmth_degree", "contact_tier", "best_name", "action", "rationale")
 
 
 # ---- layout ----------------------------------------------------------------------------------

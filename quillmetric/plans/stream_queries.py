@@ -111,7 +111,8 @@ PROFILE = ("'# CV\\n**Senior Web Lead | Data ' || c_custkey || '**\\n### **Staff
            "- **Web Engineering:** GraphQL, Edge' || (c_custkey % 5) || '\\n- **Other:** nothing'")
 TARGET_SQL = """WITH c AS (SELECT c_custkey AS k FROM customer), t AS (
     SELECT k, 'tier_b' AS tier, term FROM c, LATERAL (SELECT unnest(['senior web lead', 'web lead', 'data ' || k, 'staff engineer', 'engineer', 'sanity', 'cms' || k, 'hubspot']) AS term) u
-    UNION ALL SELECT k, 'tier_c', term FROM c, LATERAL (SELECT unnest(['a/b testing', 'edge' || (k % 5)]) AS term) u
+    UNION ALL SELECT k, 'tier_c', term FROM c, LATERAL (SELECT unnest(['a/b testing', 'edge' || (k % 5), 'hiring']) AS term) u
+    UNION ALL SELECT k, 'role_titles', term FROM c, LATERAL (SELECT unnest(['Senior Web Lead', 'Data ' || k, 'Staff Engineer']) AS term) u
     UNION ALL SELECT k, 'platform_terms', term FROM c, LATERAL (SELECT unnest(['sanity', 'cms' || k, 'hubspot']) AS term) u)"""
 
 
