@@ -79,8 +79,10 @@ class ExactComplements:
                 return (a, *rest)
         return None
 
-    def find(self, gap: int) -> tuple[int, ...] | None:
-        return self.single(gap) or self.pair(gap) or self.triple(gap)
+    def find(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """The fewest lengths, ``most`` at most, that fill the gap."""
+        looks = (self.single, self.pair, self.triple)[:most]
+        return next((found for look in looks if (found := look(gap))), None)
 
     def take(self, pattern: tuple[int, ...]) -> int:
         """Consume the pattern as often as its lengths last."""
@@ -94,17 +96,26 @@ def plan_patterns(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tu
     """Patterns of lengths with how often each is used; together they use every piece once.
 
     ``counts[n]`` pieces have length n. Long pieces first: each looks for one, two or three pieces that fill its gap
-    exactly. What remains goes, longest first, into the fullest open sequence that still takes it.
+    exactly. What remains goes, longest first, into the fullest open sequence that still takes it. Small pieces that fill gaps in
+    threes are missed later where they are rare, so the plan is also made with pairs and with singles at most, and for
+    long pieces only; the plan with the fewest sequences counts.
     """
+    plans = [_exact_then_best_fit(counts, capacity, most, shortest)
+             for most in (3, 2, 1) for shortest in (1, capacity // 2, 3 * capacity // 4)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _exact_then_best_fit(counts: np.ndarray, capacity: int, most: int, shortest: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan whose exact fillings have up to ``most`` pieces beside one of at least ``shortest``."""
     left, plan = counts.astype(np.int64).copy(), []
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     index = ExactComplements(left)
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, shortest - 1, -1):
         while left[length] > 0:
             left[length] -= 1
-            rest = index.find(capacity - length)
+            rest = index.find(capacity - length, most)
             left[length] += 1
             if rest is None:
                 break
