@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quillmetric.functions import text
 from quillmetric.operators import lint
 from quillmetric.plans.registry import ORACLES, query
+from quillmetric.session import new_work_path
+from quillmetric.sources import sinks
 from quillmetric.tables import table
 
 CFG = lint.LintConfig(
@@ -155,7 +157,9 @@ def a_rulecount(spark, sf_dir):
 
 @query("k_findings", f"{COUNT_SQL} SELECT count(*) AS findings, false AS failed FROM found")
 def k_findings(spark, sf_dir):
-    return lint.findings_status(run_rule(spark, sf_dir, *lint.SEVERITY))
+    out = new_work_path(spark, "findings")
+    failed = sinks.write_findings(run_rule(spark, sf_dir, *lint.SEVERITY), out)
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("findings")).withColumn("failed", F.lit(failed))
 
 
 FENCED = "replace(replace(text, '. ', '.' || chr(10)), ' is ', chr(10) || '```' || chr(10))"

@@ -167,6 +167,25 @@ def x_relevance(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.round(raw, 6).alias("relevance"))
 
 
+# Posts of documents; the transcript of a post is the text of the document before it, known for the top posts of a source.
+TRANSCRIPT_SQL = f"""WITH posts AS (SELECT doc_id, source, text, n_chars, 'https://v/' || doc_id AS url FROM documents),
+  top AS (SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5),
+  spoken AS (SELECT 'https://v/' || (doc_id + 1) AS url, text AS transcript FROM documents WHERE doc_id % 2 = 0),
+  heard AS (SELECT p.doc_id, p.text || CASE WHEN s.transcript IS NULL THEN ' ' ELSE ' ' || s.transcript END AS text FROM posts p
+    LEFT JOIN top t ON p.doc_id = t.doc_id LEFT JOIN spoken s ON t.url = s.url)
+  SELECT doc_id, round_even({RELEVANCE_SQL}, 2) AS relevance FROM (
+  SELECT doc_id, len(t) AS n, len(list_intersect(t, {PILLAR_LIST_SQL})) AS shared FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM heard))"""
+
+
+@query("j_transcript", TRANSCRIPT_SQL)
+def j_transcript(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text", "n_chars")
+    linked = docs.withColumn("url", F.expr("'https://v/' || doc_id"))
+    spoken = docs.filter("doc_id % 2 = 0").selectExpr("'https://v/' || (doc_id + 1) AS url", "text AS transcript")
+    heard = eng.attach_by_url(linked, spoken, 5, ["source"], "n_chars", "doc_id")
+    return eng.rescored(heard, text.pillar_tokens(PILLARS)).select("doc_id", "relevance")
+
+
 @query("u_intersect", f"""SELECT doc_id, len(list_intersect(t, {PILLAR_LIST_SQL})) > 0 AS overlaps
   FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)""")
 def u_intersect(spark, sf_dir):

@@ -35,6 +35,20 @@ def s_ledger(spark, sf_dir):
     return ledger.parse_entries(lines).select("event_id", "category", F.col("stepIdx").alias("step"), "command")
 
 
+@query("s_ledger_files", f"""SELECT event_id AS timestamp, event_type AS category, k AS step, 'run ' || user_id AS command FROM {EV}
+  WHERE event_id % 10 > 1""")
+def s_ledger_files(spark, sf_dir):
+    """Two ledgers that exist, with blank and broken lines, and one that does not."""
+    work = new_work_path(spark, "ledgers")
+    lines = events(spark, sf_dir).selectExpr(
+        "event_id", "CASE event_id % 10 WHEN 0 THEN '  ' WHEN 1 THEN '{\"category\": broken' ELSE ' ' || to_json(named_struct("
+        "'timestamp', event_id, 'category', event_type, 'stepIdx', k, 'command', 'run ' || user_id)) END AS value")
+    for n in range(2):
+        lines.filter(F.col("event_id") % 2 == n).select("value").write.text(f"{work}/ledger-{n}")
+    found = ledger.read_ledgers(spark, [f"{work}/ledger-0", f"{work}/gone", f"{work}/ledger-1"])
+    return found.select("timestamp", "category", F.col("stepIdx").alias("step"), "command")
+
+
 X_ITEM = ("CASE WHEN event_id % 11 = 0 THEN '{\"noResults\": true}' WHEN event_id % 11 = 1 THEN '{\"error\": \"gone\"}' WHEN event_id % 11 = 2 "
           "THEN '[1]' ELSE to_json(named_struct('fullText', CASE WHEN k % 2 = 0 THEN '' ELSE 'full ' || k END, 'text', 'short ' || k, 'url', 'u' || event_id, "
           "'author', named_struct('userName', 'h' || user_id), 'createdAt', date_format(ts, 'E MMM dd') || ' 16:15:01 +0000 ' || date_format(ts, 'yyyy'), "
@@ -117,6 +131,19 @@ def w_position(spark, sf_dir):
     return json_posts.ranked_posts(docs).select("event_id", "rank")
 
 
+QUEUE = ("CASE o_orderkey % 3 WHEN 0 THEN to_json(named_struct('items', {0})) WHEN 1 THEN to_json(named_struct('actions', {0})) ELSE to_json({0}) END")
+QUEUE_ITEMS = ("array(named_struct('target_type', 'dm', 'action_type', 'message', 'status', o_orderpriority, 'counterparty_name', 'C' || o_orderkey, "
+               "'draft_content', 'hello'), named_struct('target_type', 'post', 'action_type', 'comment', 'status', o_orderstatus, "
+               "'counterparty_name', 'P' || o_orderkey, 'draft_content', CAST(NULL AS STRING)))")
+
+
+@query("s_queue", """SELECT 'dm' AS target_type, 'message' AS action_type, o_orderpriority AS status, 'C' || o_orderkey AS counterparty_name, 'hello' AS draft_content FROM orders
+  UNION ALL SELECT 'post', 'comment', o_orderstatus, 'P' || o_orderkey, NULL FROM orders""")
+def s_queue(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{QUEUE.format(QUEUE_ITEMS)} AS value")
+    return json_posts.queue_items(docs).drop("position")
+
+
 @query("s_logprefix", f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN k ELSE likes END AS n FROM {EV}")
 def s_logprefix(spark, sf_dir):
     docs = events(spark, sf_dir).selectExpr(
@@ -354,10 +381,19 @@ def k_audit(spark, sf_dir):
     return out.select("part", "n")
 
 
-@query("k_feed", f"""{with_sql(POSTS)} SELECT platform, count(*) AS posts, CAST(sum({TOTAL_SQL}) AS BIGINT) AS sort_values FROM posts GROUP BY 1""")
+@query("k_feed", f"""{with_sql(POSTS)}, kept AS (SELECT count(DISTINCT platform) AS p, count(*) AS n, count(DISTINCT (platform, handle)) AS a FROM posts)
+  SELECT platform, count(*) AS posts, CAST(sum({TOTAL_SQL}) AS BIGINT) AS sort_values, any_value(p) AS platform_count, any_value(n) AS post_count,
+    any_value(a) AS tracked_accounts, 'kept' AS idea FROM posts, kept GROUP BY 1""")
 def k_feed(spark, sf_dir):
+    """Posts and meta of a feed are replaced, twice; an idea written in between is still there."""
     based = eng.with_baseline(posts(spark, sf_dir)).withColumns({
         "position": F.col("event_id"), "text": F.lit("post"), "url": F.lit(""), "author": F.lit(""), "relevance": F.lit(0.5)})
     meta = eng.feed_meta(based.withColumn("post_key", F.col("event_id")))
-    paths = sinks.write_feed(eng.feed_posts(based), meta, new_work_path(spark, "feed"))
-    return spark.read.parquet(paths["posts"]).groupBy("platform").agg(F.count(F.lit(1)).alias("posts"), F.sum("sort_value").alias("sort_values"))
+    out = new_work_path(spark, "feed")
+    sinks.write_feed(eng.feed_posts(based).limit(0), meta, out)
+    spark.range(1).selectExpr("'i1' AS id", "'kept' AS text").write.parquet(f"{out}/ideas")
+    paths = sinks.write_feed(eng.feed_posts(based), meta, out)
+    beside = spark.read.parquet(paths["meta"]).select("platform_count", "post_count", "tracked_accounts").join(
+        sinks.read_ideas(spark, out).select(F.col("text").alias("idea")))  # one row each
+    per = spark.read.parquet(paths["posts"]).groupBy("platform").agg(F.count(F.lit(1)).alias("posts"), F.sum("sort_value").alias("sort_values"))
+    return per.join(beside)

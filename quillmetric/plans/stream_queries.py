@@ -59,6 +59,24 @@ def r_heartbeat(spark, sf_dir):
     return totals.latest()
 
 
+# Every 50th event is stamped a month back: later than the lateness allows, except in the first batch, where nothing came before.
+LATE = "CASE WHEN event_id % 50 = 7 THEN CAST(ts AS TIMESTAMP) - INTERVAL 30 DAYS ELSE CAST(ts AS TIMESTAMP) END"
+
+
+@query("r_late", """WITH top AS (SELECT max(event_id) // 3 + 1 AS size FROM events)
+  SELECT CASE WHEN event_id % 50 = 7 AND event_id >= size THEN 'late' ELSE 'on time' END AS side, count(*) AS rows FROM events, top GROUP BY 1""")
+def r_late(spark, sf_dir):
+    work = new_work_path(spark, "late")
+    newest = VersionedTable(spark, f"{work}/newest", "newest timestamp")
+
+    def to(side):
+        return lambda rows, number: rows.write.mode("overwrite").parquet(f"{work}/out/side={side}/batch={number}")
+
+    in_batches(spark, sf_dir, work, lambda events: jobs.split_late(
+        events.withColumn("ts", F.expr(LATE)), "ts", f"{work}/checkpoint", newest, to("on time"), to("late"), "3 days"))
+    return spark.read.parquet(f"{work}/out").groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("a_authors", """SELECT CAST(count(DISTINCT (event_type, user_id)) AS BIGINT) AS authors FROM events""")
 def a_authors(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_type", "user_id").agg(F.count_distinct(F.struct("event_type", "user_id")).alias("authors"))

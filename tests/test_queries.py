@@ -1,17 +1,13 @@
-"""Every registered query against its SQL at the smallest scale (a sample of areas; check.py runs them all)."""
+"""Every query of the library with SQL against it at the smallest scale, all columns."""
 
 import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from quillmetric.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SAMPLE = ("a_baseline", "w_topn", "a_feedmeta", "x_relevance", "c_w007", "c_w011", "a_rulecount", "j_upsert", "j_provenance",
-          "j_keywords", "t_engage", "t_diverse", "t_dm", "j_queue", "t_orgcap", "j_detail", "s_mdtable", "s_html", "f_hold", "a_bytes",
-          "a_rubric", "a_pareto", "w_streak", "a_tier", "j_overlap", "c_apphead", "r_breaker", "a_targets")
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
@@ -20,12 +16,12 @@ def con(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, sf_dir, con, name):
-    df = queries()[name](spark, sf_dir)
+    df = catalog.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
-    result = con.execute(oracle_sql()[name])
+    result = con.execute(catalog.ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     want = sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in result.fetchall())
