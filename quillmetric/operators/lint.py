@@ -179,10 +179,19 @@ def first_even_run(lengths: Column, run: int, spread: int) -> Column:
     return bind(lengths, search)
 
 
+# What to do about a finding, by rule.
+SUGGESTIONS = {
+    "W001": "use a plain word", "W002": "say it directly", "W003": "begin with the point", "W004": "use fewer dashes", "W005": "end with a full stop",
+    "W006": "split the sentence", "W007": "vary the sentence length", "W008": "split the paragraph", "W009": "use verbs", "W010": "show it or drop it",
+    "W011": "add evidence", "W012": "say what kind of claim it is", "W013": "keep one term", "W014": "move the answer up", "W015": "promise less",
+    "W016": "address the work, not the reader",
+}
+
+
 def finding(rule: str, line: Column, message: Column, text: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"),
                     line.cast("int").alias("line"), message.alias("message"),
-                    F.substring(text, 1, TEXT_LIMIT).alias("text"))
+                    F.substring(text, 1, TEXT_LIMIT).alias("text"), F.lit(SUGGESTIONS[rule]).alias("suggestion"))
 
 
 def _per_line(lines: Column, rule: str, test, message) -> Column:
@@ -248,61 +257,59 @@ def rule_columns(cfg: LintConfig) -> dict[str, Column]:
                     & source.rlike(_any_case(r"\b" + re.escape(term) + r"\b"))
                     & source.rlike(_any_case(r"\b" + re.escape(alias) + r"\b")))
             drift.append(_one(seen, finding("W013", F.lit(None), F.lit(
-                f"Possible synonym drift: canonical term '{term}' shifts to '{alias}'"),
+                f"shifting term: {term} to {alias}"),
                 F.regexp_extract(source, _any_case(r"\b(" + re.escape(alias) + r")\b"), 1))))
 
-    claim_text = lambda p: F.concat(F.lit("Maximal promise: "), F.regexp_extract(p, _any_case(cfg.promise), 1))
+    claim_text = lambda p: F.concat(F.lit("large promise: "), F.regexp_extract(p, _any_case(cfg.promise), 1))
     return {
-        "W001": F.concat(*_term_hits(lines, "W001", "Banned or inflated vocabulary", cfg.banned_words, True)),
-        "W002": F.concat(*_term_hits(lines, "W002", "Banned cliché or rhetorical construction",
+        "W001": F.concat(*_term_hits(lines, "W001", "inflated word", cfg.banned_words, True)),
+        "W002": F.concat(*_term_hits(lines, "W002", "worn phrase",
                                      cfg.banned_phrases, False)),
         "W003": _one(F.coalesce(first["text"].rlike(opener), F.lit(False)), finding(
-            "W003", first["line"], F.lit("Throat-clearing opening"), first["text"])),
+            "W003", first["line"], F.lit("slow opening"), first["text"])),
         "W004": _one(dashes > cfg.max_dashes, finding(
-            "W004", F.lit(None), F.concat(F.lit(f"Em-dash usage exceeds {cfg.max_dashes} ("),
-                                          dashes.cast("string"), F.lit(" found)")), none)),
+            "W004", F.lit(None), F.concat(F.lit("dashes: "), dashes.cast("string")), none)),
         "W005": _per_line(lines, "W005", lambda t: F.contains(t, F.lit("!")),
-                          lambda _t: F.lit("Exclamation point in ordinary prose")),
+                          lambda _t: F.lit("exclamation mark")),
         "W006": F.transform(F.filter(sents, lambda s: s["words"] > cfg.max_sentence_words),
                             lambda s: finding("W006", s["line"], F.concat(
-                                F.lit("Sentence is "), s["words"].cast("string"),
-                                F.lit(f" words; review above {cfg.max_sentence_words}")), s["text"])),
+                                F.lit("long sentence: "), s["words"].cast("string")), s["text"])),
         "W007": _one(run_at.isNotNull(), finding(
             "W007", F.get(run, F.lit(cfg.cadence_run - 1))["line"],
-            F.lit("Five consecutive sentences have near-uniform length"),
+            F.lit("even sentence lengths"),
             F.array_join(F.transform(run, lambda s: s["text"]), " | "))),
         "W008": F.transform(
             F.filter(paras, lambda p: (p["words"] > cfg.max_paragraph_words) & (p["lines"] <= 1) & ~p["listed"]),
             lambda p: finding("W008", p["line"], F.concat(
-                F.lit("Paragraph is "), p["words"].cast("string"), F.lit(" words without a structural break")),
+                F.lit("long paragraph: "), p["words"].cast("string")),
                 p["text"])),
         "W009": F.transform(
             F.filter(paras, lambda p: (p["words"] >= cfg.min_nominal_words) & (nominals(p) >= cfg.min_nominals)
                      & (nominals(p) / F.greatest(p["words"], F.lit(1)) > cfg.nominal_share)),
             lambda p: finding("W009", p["line"], F.concat(
-                F.lit("High nominalization density ("), nominals(p).cast("string"), F.lit(" candidates)")),
+                F.lit("many abstract nouns: "), nominals(p).cast("string")),
                 p["text"])),
-        "W010": F.concat(*_term_hits(lines, "W010", "Unsupported hype adjective", cfg.hype_words, True)),
-        "W011": _pattern_rule(lines, "W011", "Strong claim has no nearby evidence marker",
+        "W010": F.concat(*_term_hits(lines, "W010", "hype word", cfg.hype_words, True)),
+        "W011": _pattern_rule(lines, "W011", "claim without evidence",
                               hit=cfg.claim, unless=(cfg.evidence,)),
-        "W012": _pattern_rule(lines, "W012", "Material claim is not labeled by claim type",
+        "W012": _pattern_rule(lines, "W012", "claim without label",
                               hit=cfg.claim, unless=(cfg.evidence, cfg.claim_label)),
         "W013": F.concat(*drift) if drift else F.array().cast(FINDINGS_TYPE),
         "W014": _one(late_thesis, finding(
             "W014", F.get(later, F.lit(0))["line"],
-            F.lit("Thesis or primary answer may appear after the opening 20 percent"),
+            F.lit("late thesis"),
             F.get(later, F.lit(0))["text"])),
         "W015": _per_line(lines, "W015", lambda t: t.rlike(_any_case(cfg.promise)), claim_text),
-        "W016": _pattern_rule(lines, "W016", "Possible shame or psychological invalidation", hit=cfg.shame),
+        "W016": _pattern_rule(lines, "W016", "shaming word", hit=cfg.shame),
     }
 
 
-FINDINGS_TYPE = "array<struct<rule:string,severity:string,line:int,message:string,text:string>>"
+FINDINGS_TYPE = "array<struct<rule:string,severity:string,line:int,message:string,text:string,suggestion:string>>"
 
 
 def lint(documents: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[str] | None = None,
          cfg: LintConfig | None = None) -> DataFrame:
-    """Findings of the chosen rules, one row each: key, rule, severity, line, message, text."""
+    """Findings of the chosen rules, one row each: key, rule, severity, line, message, text, suggestion."""
     cfg = cfg or LintConfig()
     chosen = list(rules or SEVERITY)
     lines = prose_lines(F.col("source_text"))

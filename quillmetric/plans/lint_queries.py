@@ -53,33 +53,37 @@ def run_rule(spark, sf_dir, *rules):
     return lint.lint(docs, rules=rules, cfg=CFG)
 
 
+SEVERITY_SQL = "CASE WHEN rule IN ('W007', 'W008', 'W009') THEN 'info' WHEN rule >= 'W011' THEN 'review' ELSE 'warning' END"
+ADVICE_SQL = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{advice}'" for rule, advice in lint.SUGGESTIONS.items()) + " END"
+
+
 def line_rule(key, rule, sql):
-    @query(key, sql)
+    @query(key, f"SELECT *, {SEVERITY_SQL} AS severity, {ADVICE_SQL} AS suggestion FROM ({sql})")
     def run(spark, sf_dir):
-        return run_rule(spark, sf_dir, rule).select("doc_id", "rule", "line", "message")
+        return run_rule(spark, sf_dir, rule).select("doc_id", "rule", "severity", "line", "message", "suggestion")
     return run
 
 
-line_rule("c_w001", "W001", words_sql("W001", "Banned or inflated vocabulary", CFG.banned_words))
+line_rule("c_w001", "W001", words_sql("W001", "inflated word", CFG.banned_words))
 line_rule("c_w002", "W002", f"""{LINES_SQL}, terms(term) AS (VALUES ('of the'), ('in the'))
-  SELECT doc_id, 'W002' AS rule, line, 'Banned cliché or rhetorical construction: ' || term AS message
+  SELECT doc_id, 'W002' AS rule, line, 'worn phrase: ' || term AS message
   FROM vis, terms WHERE contains(lower(t), term)""")
 line_rule("c_w003", "W003", f"""{LINES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rn FROM vis)
-  SELECT doc_id, 'W003' AS rule, line, 'Throat-clearing opening' AS message FROM f
+  SELECT doc_id, 'W003' AS rule, line, 'slow opening' AS message FROM f
   WHERE rn = 1 AND regexp_matches(lower(t), '^(is and|the|la){EDGE_R}')""")
 line_rule("c_w004", "W004", """SELECT doc_id, 'W004' AS rule, CAST(NULL AS INT) AS line,
-  'Em-dash usage exceeds 2 (' || (length(text) - length(replace(replace(text, '|', ''), '%', ''))) || ' found)' AS message
+  'dashes: ' || (length(text) - length(replace(replace(text, '|', ''), '%', ''))) AS message
   FROM documents WHERE length(text) - length(replace(replace(text, '|', ''), '%', '')) > 2""")
 line_rule("c_w005", "W005", f"""{LINES_SQL} SELECT doc_id, 'W005' AS rule, line,
-  'Exclamation point in ordinary prose' AS message FROM vis WHERE contains(t, '!')""")
+  'exclamation mark' AS message FROM vis WHERE contains(t, '!')""")
 line_rule("c_w006", "W006", f"""{SENTS_SQL} SELECT doc_id, 'W006' AS rule, line,
-  'Sentence is ' || words || ' words; review above 45' AS message FROM counted WHERE words > 45""")
+  'long sentence: ' || words AS message FROM counted WHERE words > 45""")
 CADENCE_SQL = f"""{SENTS_SQL}, w AS (SELECT doc_id, line, pos,
     max(words) OVER r - min(words) OVER r AS spread, count(*) OVER r AS n FROM counted
     WINDOW r AS (PARTITION BY doc_id ORDER BY line, pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
   f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, pos) AS rn FROM w WHERE n = 5 AND spread <= 5)"""
 line_rule("c_w007", "W007", f"""{CADENCE_SQL} SELECT doc_id, 'W007' AS rule, line,
-  'Five consecutive sentences have near-uniform length' AS message FROM f WHERE rn = 1""")
+  'even sentence lengths' AS message FROM f WHERE rn = 1""")
 
 
 @query("w_cadence", f"{CADENCE_SQL} SELECT doc_id, line AS last_line FROM f WHERE rn = 1")
@@ -94,17 +98,17 @@ PARA_SQL = f"""{LINES_SQL}, paras AS (SELECT doc_id, CAST(min(line) AS INT) AS l
     len(list_filter(string_split_regex(p, '[^\\pL\\pM\\pN_]+'),
       lambda w: regexp_full_match(w, '[A-Za-z]+(tion|ment|ance|ence|ity|ness|ship)'))) AS noms FROM paras)"""
 line_rule("c_w008", "W008", f"""{PARA_SQL} SELECT doc_id, 'W008' AS rule, line,
-  'Paragraph is ' || words || ' words without a structural break' AS message FROM pw JOIN documents USING (doc_id)
+  'long paragraph: ' || words AS message FROM pw JOIN documents USING (doc_id)
   WHERE words > 120 AND n_lines = 1 AND NOT regexp_matches(text, '(?m)^\\s*([-*+]|\\d+[.)])\\s+')""")
 line_rule("c_w009", "W009", f"""{PARA_SQL} SELECT doc_id, 'W009' AS rule, line,
-  'High nominalization density (' || noms || ' candidates)' AS message FROM pw
+  'many abstract nouns: ' || noms AS message FROM pw
   WHERE words >= 40 AND noms >= 5 AND noms / words > 0.08""")
-line_rule("c_w010", "W010", words_sql("W010", "Unsupported hype adjective", CFG.hype_words))
+line_rule("c_w010", "W010", words_sql("W010", "hype word", CFG.hype_words))
 CLAIM_SQL = f"{matches('estion|ndat|ated')} AND NOT (regexp_matches(t, '\\d') OR {matches('ntea')} OR {matches('the')})"
 line_rule("c_w011", "W011", f"""{LINES_SQL} SELECT doc_id, 'W011' AS rule, line,
-  'Strong claim has no nearby evidence marker' AS message FROM vis WHERE {CLAIM_SQL}""")
+  'claim without evidence' AS message FROM vis WHERE {CLAIM_SQL}""")
 line_rule("c_w012", "W012", f"""{LINES_SQL} SELECT doc_id, 'W012' AS rule, line,
-  'Material claim is not labeled by claim type' AS message FROM vis WHERE {CLAIM_SQL} AND NOT {matches('atou|of')}""")
+  'claim without label' AS message FROM vis WHERE {CLAIM_SQL} AND NOT {matches('atou|of')}""")
 
 NOTED_SQL = """(SELECT doc_id, '<!-- canonical-terms: ' || CASE WHEN doc_id % 2 = 0 THEN 'Founder, website' ELSE 'workflow' END
   || ' -->' || chr(10) || replace(replace(replace(text, ' of ', ' founder '), ' is ', ' entrepreneur '), ' in ', ' process ')
@@ -115,7 +119,7 @@ NOTED_SQL = """(SELECT doc_id, '<!-- canonical-terms: ' || CASE WHEN doc_id % 2
     ('founder', 'business owner', 0), ('website', 'site', 0), ('website', 'web presence', 0),
     ('workflow', 'process', 1), ('workflow', 'pipeline', 1))
   SELECT doc_id, 'W013' AS rule, CAST(NULL AS INT) AS line,
-    'Possible synonym drift: canonical term ''' || term || ''' shifts to ''' || alias || '''' AS message
+    'shifting term: ' || term || ' to ' || alias AS message
   FROM d, a WHERE doc_id % 2 = part AND regexp_matches(lower(text), '{EDGE_L}' || term || '{EDGE_R}')
     AND regexp_matches(lower(text), '{EDGE_L}' || alias || '{EDGE_R}')""")
 def c_w013(spark, sf_dir):
@@ -131,7 +135,7 @@ OPENING_SQL = f"""{LINES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY d
     bool_or(is_open AND {matches('whon|enst')}) AS thesis,
     bool_or(NOT is_open AND {matches('estion|ndat|ated')}) AS claim FROM side GROUP BY doc_id)"""
 line_rule("c_w014", "W014", f"""{OPENING_SQL} SELECT doc_id, 'W014' AS rule, line,
-  'Thesis or primary answer may appear after the opening 20 percent' AS message FROM f WHERE claim AND NOT thesis""")
+  'late thesis' AS message FROM f WHERE claim AND NOT thesis""")
 
 
 @query("w_opening", f"{OPENING_SQL} SELECT doc_id, line AS first_later_line FROM f WHERE claim AND NOT thesis")
@@ -139,15 +143,15 @@ def w_opening(spark, sf_dir):
     return run_rule(spark, sf_dir, "W014").select("doc_id", F.col("line").alias("first_later_line"))
 
 
-line_rule("c_w015", "W015", f"""{LINES_SQL} SELECT doc_id, 'W015' AS rule, line, 'Maximal promise: '
+line_rule("c_w015", "W015", f"""{LINES_SQL} SELECT doc_id, 'W015' AS rule, line, 'large promise: '
   || regexp_extract(t, '(?i){EDGE_L}(stes|athe){EDGE_R}', 2) AS message FROM vis WHERE {matches('stes|athe')}""")
 line_rule("c_w016", "W016", f"""{LINES_SQL} SELECT doc_id, 'W016' AS rule, line,
-  'Possible shame or psychological invalidation' AS message FROM vis WHERE {matches('stupid|worthless|loser|lazy')}""")
+  'shaming word' AS message FROM vis WHERE {matches('stupid|worthless|loser|lazy')}""")
 
 # Every rule over every document; W013 counts the documents as they are, without a note of canonical terms.
 COUNTED = tuple(f"c_w{n:03d}" for n in range(1, 17) if n != 13)
 COUNT_SQL = "WITH found AS (" + " UNION ALL ".join(f"SELECT doc_id, rule FROM ({ORACLES[key]})" for key in COUNTED) + ")"
-SEVERITY_SQL = "CASE WHEN rule IN ('W007', 'W008', 'W009') THEN 'info' WHEN rule >= 'W011' THEN 'review' ELSE 'warning' END"
+
 
 
 @query("a_rulecount", f"{COUNT_SQL} SELECT rule, {SEVERITY_SQL} AS severity, count(*) AS findings FROM found GROUP BY ALL")
