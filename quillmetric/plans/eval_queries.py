@@ -307,11 +307,22 @@ def c_features(spark, sf_dir):
     return documents.features(readmes(spark, sf_dir), "doc_id").select("doc_id", "chars", "lines", "code_blocks", "has_diagram", "headings")
 
 
-@query("a_readme", """SELECT doc_id, CAST(10 + CASE WHEN regexp_matches('**' || substr(replace(text, chr(10), ' '), 1, 30) || '**', '^[*]{2}[^*]{10,}[*]{2}') THEN 5 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END AS INT) AS hero, CAST(15 AS INT) AS quickstart,
-    CAST(CASE WHEN doc_id % 4 = 0 THEN 10 ELSE 0 END AS INT) AS visuals, CAST(CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END AS INT) AS trust,
-    CAST(CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 15 ELSE 0 END AS INT) AS penalties FROM documents""")
+README_SQL = """WITH t AS (SELECT *, regexp_matches('**' || substr(replace(text, chr(10), ' '), 1, 30) || '**', '^[*]{2}[^*]{10,}[*]{2}') AS tagline FROM documents),
+  c AS (SELECT doc_id, tagline, 10 + CASE WHEN tagline THEN 5 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END AS hero, 15 AS quickstart,
+    CASE WHEN doc_id % 4 = 0 THEN 10 ELSE 0 END AS visuals, 0 AS craft, CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END AS trust,
+    CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 15 ELSE 0 END AS penalties FROM t),
+  r AS (SELECT *, CAST(round_even((hero + quickstart + visuals + craft + trust) * 100.0::DOUBLE / 90, 0) AS INT) AS raw_score,
+    array_to_string(list_filter([CASE WHEN NOT tagline THEN 'hero.tagline' END, CASE WHEN doc_id % 2 = 1 THEN 'hero.badges' END, 'hero.quick_links',
+      'quickstart.two_code_blocks', CASE WHEN doc_id % 4 <> 0 THEN 'visuals.architecture' END, 'visuals.card_table', 'visuals.icons', 'craft.themes', 'craft.alerts',
+      'craft.accordions', 'craft.tables', CASE WHEN doc_id % 4 <> 0 THEN 'trust.license' END, CASE WHEN doc_id % 3 = 0 THEN 'guardrail.dimensions' END,
+      CASE WHEN doc_id % 5 = 0 THEN 'guardrail.placeholders' END], lambda x: x IS NOT NULL), '|') AS recommendations FROM c)
+  SELECT doc_id, hero::INT AS hero, quickstart::INT AS quickstart, visuals::INT AS visuals, craft::INT AS craft, trust::INT AS trust, penalties::INT AS penalties,
+    raw_score, CAST(greatest(0, least(100, raw_score - penalties)) AS INT) AS total_score, recommendations FROM r"""
+
+
+@query("a_readme", README_SQL)
 def a_readme(spark, sf_dir):
-    return documents.audit_readmes(readmes(spark, sf_dir), "doc_id").select("doc_id", "hero", "quickstart", "visuals", "trust", "penalties")
+    return documents.audit_readmes(readmes(spark, sf_dir), "doc_id").withColumn("recommendations", F.array_join("recommendations", "|"))
 
 
 APP = ("'- Target role: ' || CASE WHEN o_orderkey % 6 = 0 THEN 'TBD' ELSE 'Web  Lead ' || (o_custkey % 40) END || '\\n- Company: Org ' || (o_orderkey % 300) || '\\n' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '- Status: Ready\\n' END || "
