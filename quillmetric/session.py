@@ -43,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_work_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends, as lazy results may read it until then."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    folder = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)  # only what exists can be marked
+    return f"{folder}/data"
