@@ -77,16 +77,17 @@ def variants(fingerprint: Column, reach: int, bits: int = BITS) -> Column:
 def meeting_pairs(prints: DataFrame, node: str, radius: int = RADIUS) -> DataFrame:
     """Different pairs ``a, b`` of nodes that meet in a variant, for ``prints(view, fingerprint, <node>)``; radius even.
 
-    All fingerprints that meet in a variant are within the radius of each other. They are chained in order of fingerprint and
-    node, and only neighbours in the chain become pairs: nothing is lost from what they connect, no group is paired out.
+    All fingerprints that meet in a variant are within the radius of each other. Their nodes are chained in order, and only
+    neighbours in the chain become pairs: nothing is lost from what they connect, no group is paired out. A row of the
+    shuffle is a node and a meeting place: the variant, shifted by a constant of its view, so that one view's variants stay apart.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
-    met = prints.select("view", node, "fingerprint", F.explode(variants(F.col("fingerprint"), radius // 2)).alias("variant"))
-    order = ["fingerprint"] if node == "fingerprint" else ["fingerprint", node]
-    chain = Window.partitionBy("view", "variant").orderBy(*order)
-    pairs = met.select(F.lag(node).over(chain).alias("x"), F.col(node).alias("y")).filter(F.col("x").isNotNull())
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    variant = F.explode(variants(F.col("fingerprint"), radius // 2)).alias("variant")
+    met = prints.select("view", F.col(node).alias("node"), variant).select(F.col("variant").bitwiseXOR(F.xxhash64("view")).alias("place"), "node")
+    chain = Window.partitionBy("place").orderBy("node")
+    pairs = met.select(F.lag("node").over(chain).alias("a"), F.col("node").alias("b")).filter(F.col("a").isNotNull())
+    return pairs.filter("a <> b").distinct()
 
 
 def linked_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
