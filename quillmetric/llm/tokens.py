@@ -18,15 +18,13 @@ import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-KEPT_CHUNKS = 200_000
-KEPT_WORDS = 125_000
+KEPT_CHUNKS = 300_000
+KEPT_WORDS = 150_000
 LONGEST_KEPT = 64
 
 #: Fixed value: the splitting pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# a space that another white-space character or the end follows, or the mark that is used for cutting
-_UNSAFE_TEXT = re.compile(r" (?=\s|\Z)|\0")
 # chunks in which both pattern libraries agree on letters, digits and white space
 _PLAIN_CHUNK = re.compile(r"[\n\t\r\x20-\x7e\xa1-ɏ]*\Z")
 _LAST_PLAIN = "ɏ"
@@ -38,6 +36,10 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _RunOfBlanks(Exception):
+    """White space follows a blank, or nothing does: the text cannot be cut there."""
+
+
 class Recent(dict):
     """Results of a function of a string, for the strings met of late: two generations of at most ``limit`` each."""
 
@@ -66,7 +68,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.alphabet = self._byte_alphabet()
         self.blank = self.alphabet[ord(" ")]
-        self.chunks = Recent(self._chunk, KEPT_CHUNKS)
+        self.chunks = Recent(self._after_blank, KEPT_CHUNKS)
         self.words = Recent(self._word, KEPT_WORDS)
 
     @staticmethod
@@ -94,21 +96,34 @@ class Encoder:
             ids.byteswap()
         return ids.tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk and max(chunk) <= _LAST_PLAIN and chunk[0] == " ":
-            body = chunk[1:]
-            if body.isalpha():
-                return self.words[chunk]
-            if body[-1] in ".,!?;:" and body[:-1].isalpha():
-                return self.words[chunk[:-1]] + self.words[body[-1]]
+    def _after_blank(self, chunk: str) -> bytes:
+        """Ids of a blank and what follows it up to the next blank."""
+        if not chunk or chunk[0].isspace():
+            raise _RunOfBlanks
+        if max(chunk) <= _LAST_PLAIN:
+            if chunk.isalpha():
+                return self.words[" " + chunk]
+            if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+                return self.words[" " + chunk[:-1]] + self.words[chunk[-1]]
+        return self._any(" " + chunk)
+
+    def _any(self, chunk: str) -> bytes:
         if _PLAIN_CHUNK.match(chunk):
             return b"".join(map(self.words.__getitem__, _WORDS.findall(chunk)))
         return self._whole(chunk)
 
+    def forget(self) -> None:
+        """Give up what is known of recent words, so that other work in this Python worker has the memory."""
+        for known in (self.chunks, self.words):
+            known.clear()
+            known.older = {}
+
     def encode(self, text: str) -> bytes:
-        if _UNSAFE_TEXT.search(text):
+        first, *chunks = text.split(" ")
+        try:
+            return self._any(first) + b"".join(map(self.chunks.__getitem__, chunks))
+        except _RunOfBlanks:
             return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 @lru_cache(maxsize=2)
