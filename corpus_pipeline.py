@@ -40,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their sequence and offset."""
-    return packing.pack_documents(docs, Workspace(spark))
+    return packing.pack_documents(docs, Workspace(spark), release=True)
 
 
 STAGES = [

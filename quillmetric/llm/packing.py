@@ -25,12 +25,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """Token pieces of ``docs(doc_id, text)``: a document longer than ``capacity`` is cut, its remainder comes first."""
+def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None,
+              release: bool = False) -> DataFrame:
+    """Token pieces of ``docs(doc_id, text)``: a document longer than ``capacity`` is cut, its remainder comes first.
+
+    With ``release`` a task forgets the words it has met when it ends, for jobs whose other steps need the memory.
+    """
     location = vocabulary or vocabulary_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, end = encoder(location).encode, int(end_id).to_bytes(4, "little")
+        shared, end = encoder(location), int(end_id).to_bytes(4, "little")
+        to_ids = shared.encode
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -44,6 +49,8 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, v
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if release:
+            shared.forget()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
             .mapInArrow(cut, PIECES))
@@ -190,6 +197,6 @@ def pack(pieces: DataFrame, work: Workspace, capacity: int = CAPACITY) -> DataFr
 
 
 def pack_documents(docs: DataFrame, work: Workspace, capacity: int = CAPACITY, end_id: int = END_ID,
-                   vocabulary: str | None = None) -> DataFrame:
+                   vocabulary: str | None = None, release: bool = False) -> DataFrame:
     """Tokenize, cut and pack ``docs(doc_id, text)``; null texts are empty and still give their end id."""
-    return pack(pieces_of(docs, capacity, end_id, vocabulary), work, capacity)
+    return pack(pieces_of(docs, capacity, end_id, vocabulary, release), work, capacity)

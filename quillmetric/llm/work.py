@@ -19,20 +19,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 class Workspace:
     """A folder for tables that cut lineage; every executor reaches it, so a lost executor costs no recomputation.
 
-    The folder lies below ``spark.checkpoint.dir`` or below ``root``. It goes when ``drop()`` is called, at the
-    latest when the driver's JVM ends: results that are still lazy may read it until then.
+    The folder lies below ``spark.checkpoint.dir``, or is ``root``. It goes when ``drop()`` is called; one below the setting
+    goes at the latest when the driver's JVM ends, as results that are still lazy may read it until then.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.path = new_work_path(spark, "llm") if root is None else root.rstrip("/")
         self._count = 0
-        self._fs().deleteOnExit(self._hadoop_path())
 
     def _hadoop_path(self):
         return self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
