@@ -78,7 +78,8 @@ def meeting_pairs(prints: DataFrame, node: str, radius: int = RADIUS) -> DataFra
     """Different pairs ``a, b`` of nodes that meet in a variant, for ``prints(view, fingerprint, <node>)``; radius even.
 
     All fingerprints that meet in a variant are within the radius of each other. Their nodes are chained in order, and only
-    neighbours in the chain become pairs: nothing is lost from what they connect, no group is paired out. A row of the
+    neighbours in the chain become pairs: no group is paired out. Where being within the radius is the link itself, nothing is lost
+    from what they connect; where it only makes candidates, ``pairs_apart`` has the pairs that a failed neighbour leaves open. A row of the
     shuffle is a node and a meeting place: the variant, shifted by a constant of its view, so that one view's variants stay apart.
     """
     if radius % 2:
@@ -153,6 +154,29 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float
     return np.count_nonzero(both <= union[-1]) / len(union)
 
 
+def pairs_apart(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All different pairs ``a, b`` of nodes with different roots within two bits in a view, for
+    ``members(node, root, shingles, prints, view, fingerprint)``, but for those whose numbers of shingles alone rule the similarity out.
+
+    Near fingerprints are found on their different values; only where those have several roots do their nodes meet.
+    """
+    key = ["view", "fingerprint"]
+    values = members.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    met = values.withColumn("variant", F.explode(variants(F.col("fingerprint"), RADIUS // 2)))
+    other = met.withColumnsRenamed({"fingerprint": "near", "low": "low2", "high": "high2"})
+    near = (met.join(other, ["view", "variant"]).filter("fingerprint <= near AND least(low, low2) <> greatest(high, high2)")
+            .select(*key, "near").distinct())
+    left = members.withColumnsRenamed({"node": "a", "root": "root_a", "shingles": "size_a", "prints": "prints_a"})
+    right = members.withColumnsRenamed({"node": "b", "root": "root_b", "shingles": "size_b", "prints": "prints_b", "fingerprint": "near"})
+    # a hair below the limit, as the product is rounded
+    sizes = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (similarity - 1e-9)
+    once = (F.col("fingerprint") < F.col("near")) | (F.col("a") < F.col("b"))
+    within = F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS)
+    first = F.array_position(within, True) == F.col("view") + 1  # a pair is made in its first view only
+    met = near.join(left, key).join(right, ["view", "near"]).filter((F.col("root_a") != F.col("root_b")) & sizes & once & first)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def text_keys(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` (empty for null), two 64-bit hashes of the text, which together stand for it, and the whole row."""
     text = text_or_empty()
@@ -166,17 +190,20 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
     ``copies`` (rows that have it) and ``root`` (the same for all texts linked to it).
 
     Texts are candidates when one of their word fingerprints is within two bits; candidates link when their sets of five-word
-    shingles have a Jaccard similarity of ``similarity`` or more.
+    shingles have a Jaccard similarity of ``similarity`` or more. Neighbours in the chains are compared first. Where a
+    chain still has several groups, all its candidates of different groups are compared, so no link is left out.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
+            hashes = [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"),
                  pa.array([word_prints(t, views) for t in texts], pa.list_(pa.int64())),
+                 pa.array([len(h) for h in hashes], pa.int64()),
                  pa.array([shingle_sketch(t).tobytes() for t in texts], pa.binary())],
-                ["doc_id", "_k1", "_k2", "prints", "sketch"])
+                ["doc_id", "_k1", "_k2", "prints", "shingles", "sketch"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -186,21 +213,36 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     rows = text_keys(docs.select("doc_id", "text")).drop("_row")
-    described = rows.mapInArrow(describe, "doc_id long, _k1 long, _k2 long, prints array<long>, sketch binary")
+    described = rows.mapInArrow(describe, "doc_id long, _k1 long, _k2 long, prints array<long>, shingles long, sketch binary")
     texts = work.table(described.groupBy("_k1", "_k2").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("prints").alias("prints"),
-        F.first("sketch").alias("sketch"))
+        F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()), "texts")  # numbered once, in the written table
     prints = texts.select("node", F.posexplode("prints").alias("view", "fingerprint"))
     sketches = texts.select("node", "sketch")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        sketched = (pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "left"}), "a")
+                    .join(sketches.withColumnsRenamed({"node": "b", "sketch": "right"}), "b"))
+        return sketched.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        roots = texts.select("node").join(components(edges, work), "node", "left")
+        return work.table(roots.select("node", F.coalesce("root", "node").alias("root")), "roots")
+
     pairs = work.table(meeting_pairs(prints, "node"), "pairs")
-    sketched = (pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "left"}), "a")
-                .join(sketches.withColumnsRenamed({"node": "b", "sketch": "right"}), "b"))
-    edges = sketched.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
-    roots = components(edges, work)
-    rooted = texts.join(roots, "node", "left").select(
-        "_k1", "_k2", "least", "copies", F.coalesce("root", "node").alias("root"))
-    return work.table(rooted, "groups")
+    edges = work.table(alike(pairs), "alike")
+    roots = grouped(edges)
+    # every group at a meeting place of several groups is next to another one in its chain
+    apart = (pairs.join(roots.withColumnsRenamed({"node": "a", "root": "root_a"}), "a")
+             .join(roots.withColumnsRenamed({"node": "b", "root": "root_b"}), "b").filter("root_a <> root_b"))
+    unsure = work.table(apart.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct(), "unsure")
+    if not unsure.isEmpty():
+        members = roots.join(small(unsure), "root").join(texts.select("node", "shingles", "prints"), "node")
+        members = members.select("node", "root", "shingles", "prints", F.posexplode("prints").alias("view", "fingerprint"))
+        left_out = work.table(pairs_apart(work.table(members, "members"), similarity), "left-out")
+        roots = grouped(edges.unionByName(alike(left_out)))
+    return work.table(texts.select("_k1", "_k2", "least", "copies", "node").join(roots, "node").drop("node"), "groups")
 
 
 def one_of_each(docs: DataFrame, work: Workspace, views: int = VIEWS, similarity: float = SIMILARITY) -> DataFrame:

@@ -118,3 +118,22 @@ def test_sketch_similarity():
     x, y = np.unique(np.concatenate([a, b])), np.unique(a)
     assert simhash.sketch_similarity(x, y) == len(y) / len(x)
     assert simhash.sketch_similarity(x[:0], y[:0]) == 1.0 and simhash.sketch_similarity(x, y[:0]) == 0.0
+
+
+def test_same_words_in_many_orders(spark, work):
+    """Texts of the same words share all fingerprints; near copies among them are found whatever lies between."""
+    rng, texts = random.Random(11), []
+    words = [f"w{k}" for k in range(60)]
+    for _ in range(8):
+        rng.shuffle(words)
+        for first, last in ((0, 1), (1, 0)), ((0, 1), (0, 1)), ((1, 0), (1, 0)), ((1, 0), (0, 1)):
+            texts.append(" ".join([words[first[0]], words[first[1]], *words[2:-2], words[-2 + last[0]], words[-2 + last[1]]]))
+    rng.shuffle(texts)
+    sets = [set(tuple(t.split()[i:i + 5]) for i in range(56)) for t in texts]
+    want = {frozenset(j for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)) for x in sets}
+    assert sorted(map(len, want)) == [4] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    groups = {}
+    for r in simhash.near_classes(docs, work).collect():
+        groups.setdefault(r.root, set()).add(r.least)
+    assert set(map(frozenset, groups.values())) == want
