@@ -121,6 +121,8 @@ VIEWS = 4
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
 SKETCH = 256
+CLEAR = 6
+_SETS = 32
 
 
 def word_prints(text: str, views: int = VIEWS) -> list[int]:
@@ -177,6 +179,30 @@ def pairs_apart(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def sketch_verdict(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, size: int = SKETCH) -> bool | None:
+    """Whether the similarity reaches the limit, or None where the sketches cannot tell.
+
+    Sets below ``size`` are all there: only 32-bit hashes that coincide could move them by a shingle or two. Of larger ones the
+    estimate counts as clear when it is ``CLEAR`` standard errors away from the limit.
+    """
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if len(a) < size and len(b) < size:
+        margin = 2 / (len(a) + len(b))
+        size = 2 * size
+    else:
+        margin = CLEAR * (similarity * (1 - similarity) / size) ** 0.5
+    estimate = sketch_similarity(a, b, size)
+    return estimate > similarity if abs(estimate - similarity) > margin else None
+
+
+def alike_sets(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sets without repeats have a Jaccard similarity of ``similarity`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return not union or both / union >= similarity  # a division is rounded to the nearest, as the limit is
+
+
 def text_keys(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` (empty for null), two 64-bit hashes of the text, which together stand for it, and the whole row."""
     text = text_or_empty()
@@ -191,7 +217,8 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
 
     Texts are candidates when one of their word fingerprints is within two bits; candidates link when their sets of five-word
     shingles have a Jaccard similarity of ``similarity`` or more. Neighbours in the chains are compared first. Where a
-    chain still has several groups, all its candidates of different groups are compared, so no link is left out.
+    chain still has several groups, all its candidates of different groups are compared, so no link is left out. Sketches decide
+    clear cases, the whole sets all others.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +235,20 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            alike = [sketch_similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity
-                     for x, y in zip(left, right)]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            verdicts = [sketch_verdict(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity)
+                        for x, y in zip(left, right)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(verdicts, pa.bool_())], ["a", "b", "alike"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, _SETS):
+            sets = [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, _SETS):
+            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+            met = [alike_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(left, right)]
+            yield batch.select(["a", "b"]).filter(pa.array(met, pa.bool_()))
 
     rows = text_keys(docs.select("doc_id", "text")).drop("_row")
     described = rows.mapInArrow(describe, "doc_id long, _k1 long, _k2 long, prints array<long>, shingles long, sketch binary")
@@ -221,10 +259,23 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
     prints = texts.select("node", F.posexplode("prints").alias("view", "fingerprint"))
     sketches = texts.select("node", "sketch")
 
+    def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        sides = (pairs.join(table.withColumnsRenamed({"node": "a", value: "left"}), "a")
+                 .join(table.withColumnsRenamed({"node": "b", value: "right"}), "b"))
+        return sides.select("a", "b", "left", "right")
+
     def alike(pairs: DataFrame) -> DataFrame:
-        sketched = (pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "left"}), "a")
-                    .join(sketches.withColumnsRenamed({"node": "b", "sketch": "right"}), "b"))
-        return sketched.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+        told = work.table(with_both(pairs, sketches, "sketch").mapInArrow(verify, "a long, b long, alike boolean"), "verdicts")
+        sure, unclear = told.filter("alike").select("a", "b"), told.filter("alike IS NULL").select("a", "b")
+        if unclear.isEmpty():
+            return sure
+        nodes = unclear.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = small(work.table(texts.join(nodes, "node").select("node", "_k1", "_k2", "least"), "unclear"))
+        # one of the rows that have the text: of equal ones, any
+        found = rows.join(wanted, ["_k1", "_k2"]).filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
+        sets = work.table(found.mapInArrow(gather, "node long, hashes binary").dropDuplicates(["node"]), "hashes")
+        exact = with_both(unclear, sets, "hashes").mapInArrow(compare, "a long, b long")
+        return sure.unionByName(exact)
 
     def grouped(edges: DataFrame) -> DataFrame:
         roots = texts.select("node").join(components(edges, work), "node", "left")

@@ -137,3 +137,27 @@ def test_same_words_in_many_orders(spark, work):
     for r in simhash.near_classes(docs, work).collect():
         groups.setdefault(r.root, set()).add(r.least)
     assert set(map(frozenset, groups.values())) == want
+
+
+def test_long_texts_at_the_limit(spark, work):
+    """Sets of many shingles next to the limit are decided by the whole sets."""
+    rng, rows, want = random.Random(17), [], set()
+    for pair in range(24):
+        words = [f"p{pair}w{k}" for k in range(1004)]
+        other, step = list(words), 9
+        alike = pair % 2 == 0
+        # every lone change costs five shingles of a thousand on both sides: 22 leave 890 / 1110, 23 leave 885 / 1115
+        for k in range(22 if alike else 23):
+            other[20 + step * 4 * k % 980] = f"p{pair}x{k}"
+        sets = [{tuple(t[i:i + 5]) for i in range(1000)} for t in (words, other)]
+        assert (len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])) == alike
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        want |= {2 * pair} if alike else {2 * pair, 2 * pair + 1}
+    prints = {i: simhash.word_prints(t) for i, t in rows}
+    met = [p for p in range(24) if any(((x ^ y) % 2 ** 64).bit_count() <= 2 for x, y in zip(prints[2 * p], prints[2 * p + 1]))]
+    want |= {2 * p + 1 for p in range(24) if p not in met}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs, work).collect()} == want
+    sketches = {i: simhash.shingle_sketch(t) for i, t in rows}
+    assert all(simhash.sketch_verdict(sketches[2 * p], sketches[2 * p + 1]) is None for p in range(24))
+    assert len(met) > 0
