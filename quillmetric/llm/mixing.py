@@ -136,6 +136,11 @@ def copies_per_cell(cells: DataFrame, solved: DataFrame, limit: int = LIMIT) ->
     return table.select("src", "no_src", "size", "n", "source_size", "target", "copies")
 
 
+def _below_bucket(tie: str) -> Column:
+    """The bits of a hash below those of its bucket, as a number that is never negative."""
+    return F.shiftrightunsigned(F.shiftleft(tie, 12), 1)
+
+
 def _extra_documents(sized: DataFrame, cells: DataFrame, work: Workspace) -> DataFrame:
     """Per cell whose copies do not divide evenly, the hash up to which documents get one copy more.
 
@@ -152,7 +157,7 @@ def _extra_documents(sized: DataFrame, cells: DataFrame, work: Workspace) -> Dat
     summed = counts.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0)))
     border = summed.filter((F.col("before") < F.col("extra")) & (F.col("before") + F.col("here") >= F.col("extra")))
     ranked = inside.join(border.select(*key, "bucket", "before"), [*key, "bucket"]).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.shiftleft("tie", 12), "tie")) + F.col("before"))
+        "rank", F.row_number().over(Window.partitionBy(*key).orderBy(_below_bucket("tie"), "tie")) + F.col("before"))
     # hashes compare as unsigned: by bucket, then by the bits below it
     last = ranked.filter(F.col("rank") == F.col("extra"))
     return last.select(*key, F.col("bucket").alias("last_bucket"), F.col("tie").alias("last_tie"))
@@ -171,8 +176,7 @@ def mix_plan(docs: DataFrame, work: Workspace, limit: int = LIMIT) -> tuple[Data
 
 def taken_copies() -> Column:
     """Copies of a sized document that is joined with its cell of the plan."""
-    low = F.shiftrightunsigned(F.shiftleft("tie", 12), 1)
-    last_low = F.shiftrightunsigned(F.shiftleft("last_tie", 12), 1)
+    low, last_low = _below_bucket("tie"), _below_bucket("last_tie")
     bucket = F.shiftrightunsigned(F.col("tie"), 52)
     more = (bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (low <= last_low))
     return F.floor(F.col("copies") / F.col("n")).cast("long") + F.coalesce(more, F.lit(False)).cast("long")

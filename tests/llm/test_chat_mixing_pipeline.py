@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmetric.llm import chat, lines, mixing, quality
@@ -163,3 +164,13 @@ def test_pipeline(spark, documents, sf_dir, work):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 1024
+
+
+def test_copies_of_a_hot_cell_are_the_plan(spark, work):
+    """All documents of a cell have one size, so the border of the extra copies falls among many of a bucket."""
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("three words here").alias("text"),
+                                       F.when(F.col("id") % 5 < 3, "a").otherwise("b").alias("source"))
+    sized, plan = mixing.mix_plan(docs, work)
+    got = {r.src: (r.taken, r.copies) for r in sized.join(plan, ["src", "no_src", "size"]).groupBy("src").agg(
+        F.sum(mixing.taken_copies()).alias("taken"), F.first("copies").alias("copies")).collect()}
+    assert len(got) == 2 and all(taken == copies for taken, copies in got.values()) and any(copies % 20_000 for _, copies in got.values())
