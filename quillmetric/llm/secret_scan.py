@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
@@ -36,6 +37,7 @@ LEAST_VALUE = 8
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WIDE = re.compile(r"(?:[\x01-\x7f]\x00){4,}|(?:\x00[\x01-\x7f]){4,}")
 _UNPRINTABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _TO_STANDARD = str.maketrans("-_", "+/")
 
@@ -64,6 +66,7 @@ class Layer:
     text: str
     starts: list[int] | None = None
     ends: list[int] | None = None
+    readable: bool = True
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -115,6 +118,24 @@ def _letters_of_bytes(raw: bytes, width: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def _byte_letter(error: UnicodeDecodeError) -> tuple[str, int]:
+    return error.object[error.start:error.end].decode("latin-1"), error.end
+
+
+codecs.register_error("quillmetric-bytes", _byte_letter)
+
+
+def _text(raw: bytes) -> tuple[str, bool]:
+    """The text of all bytes, what is no UTF-8 byte by byte, and whether it reads as plain text."""
+    text = raw.decode("utf-8", "quillmetric-bytes")
+    return text, bool(text) and not _UNPRINTABLE.search(text) and text.encode("utf-8", "surrogatepass") == raw
+
+
+def _wide(run: str) -> list[tuple[str, int, int]]:
+    """Letters of a run of UTF-16, in either order of bytes; each comes from two letters of the run."""
+    return [(letter, 2 * k, 2 * k + 2) for k, letter in enumerate(run.replace("\0", ""))]
+
+
 def _url(run: str) -> list[tuple[str, int, int]]:
     return _letters_of_bytes(bytes.fromhex(run.replace("%", "")), 3)
 
@@ -156,7 +177,7 @@ def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool]:
 
 
 def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
-    """A layer for every base64 run that holds readable text, plain or compressed; None for an oversized one."""
+    """A layer for every base64 run, plain or compressed; None for an oversized one."""
     for m in _BASE64.finditer(layer.text):
         run = m.group().rstrip("=").translate(_TO_STANDARD)
         if len(run) % 4 == 1:
@@ -174,30 +195,24 @@ def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
                 break
             seen.add(raw)
             raw, packed = plain, True
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if not text or _UNPRINTABLE.search(text):
-            continue
+        text, readable = _text(raw)
         if packed:
             start, end = layer.origin(m.start(), m.end())
-            yield Layer(text, [start] * len(text), [end] * len(text))
+            yield Layer(text, [start] * len(text), [end] * len(text), readable)
             continue
-        starts, ends, byte = [], [], 0
-        for letter in text:
-            last = byte + len(letter.encode()) - 1
-            a, b = layer.origin(m.start() + byte // 3 * 4, min(m.start() + last // 3 * 4 + 4, m.end()))
+        letters, starts, ends = [], [], []
+        for letter, first, after in _letters_of_bytes(raw, 1):
+            a, b = layer.origin(m.start() + first // 3 * 4, min(m.start() + (after - 1) // 3 * 4 + 4, m.end()))
+            letters.append(letter)
             starts.append(a)
             ends.append(b)
-            byte = last + 1
-        yield Layer(text, starts, ends)
+        yield Layer("".join(letters), starts, ends, readable)
 
 
 def unwrap(text: str, limit: int = LAYER_BYTES) -> tuple[set[tuple[int, int, int]], int, int]:
-    """Spans of secrets in decoded layers, the number of those layers, and how many were oversized."""
+    """Spans of secrets in decoded layers, the number of layers that read as text or hold one, and how many were oversized."""
     found: set[tuple[int, int, int]] = set()
-    waiting, seen, oversized = deque([Layer(text)]), set(), 0
+    waiting, seen, layers, oversized = deque([Layer(text)]), set(), 0, 0
     while waiting:
         layer = waiting.popleft()
         if layer.starts is not None:
@@ -205,9 +220,13 @@ def unwrap(text: str, limit: int = LAYER_BYTES) -> tuple[set[tuple[int, int, int
             if key in seen:  # the same text from the same place: a cycle or another order of decoding
                 continue
             seen.add(key)
-            for start, kind, end in scan(layer.text):
+            spans = scan(layer.text)
+            layers += layer.readable or bool(spans)
+            for start, kind, end in spans:
                 a, b = layer.origin(start, end)
                 found.add((a, kind, b))
+        if "\0" in layer.text:
+            waiting.append(_replaced(layer, _WIDE, _wide))
         if "%" in layer.text:
             waiting.append(_replaced(layer, _URL, _url))
         if "\\" in layer.text or "&#" in layer.text:
@@ -216,7 +235,7 @@ def unwrap(text: str, limit: int = LAYER_BYTES) -> tuple[set[tuple[int, int, int
             waiting.append(inner)
             oversized += inner is None
         waiting = deque(x for x in waiting if x is not None)
-    return found, len(seen), oversized
+    return found, layers, oversized
 
 
 def _joined(spans) -> str:
@@ -227,7 +246,7 @@ def find_secrets(docs: DataFrame, limit: int = LAYER_BYTES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: counts and digest of plain secrets, and all spans with those of decoded layers.
 
     Offsets count code points, ends are exclusive. Null texts are empty. Spans found several times, by different orders of decoding,
-    are listed once. ``n_layers``: decoded layers; ``n_oversized``: compressed runs beyond ``limit`` bytes, which stay closed.
+    are listed once. ``n_layers``: decoded layers that read as text or hold a secret; other bytes are scanned as well, what is no UTF-8 byte by byte; ``n_oversized``: compressed runs beyond ``limit`` bytes, which stay closed.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -144,3 +146,22 @@ def test_media_round_trip(spark, edges, no_docs, documents, work):
     audio.store_media(no_docs, none)
     audio.store_features(spark, none, nothing)
     assert audio.feature_rows(spark, nothing).count() == 0
+
+
+def _tar(text):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as archive:
+        entry = tarfile.TarInfo("notes.txt")
+        entry.size = len(text.encode())
+        archive.addfile(entry, io.BytesIO(text.encode()))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("raw", [
+    f"run {SECRET} now".encode("utf-16-le"), f"run {SECRET} now".encode("utf-16-be"), f"run {SECRET} now".encode("utf-16"),
+    _tar(SECRET), f"größe {SECRET}".encode("latin-1"), f"\x1b[31m{SECRET}\x1b[0m".encode(), SECRET.encode() + b"\xff" * 3,
+    f"\x1b {ENCODERS['base64'](SECRET)}".encode(), gzip.compress(SECRET.encode("utf-16"))])
+def test_bytes_that_are_no_plain_text(raw):
+    coded = base64.b64encode(raw).decode()
+    found, layers, _ = secret_scan.unwrap(f"é {coded} z")
+    assert found and layers >= 1 and all(k == 0 and 2 <= a < b <= 2 + len(coded) for a, k, b in found)
