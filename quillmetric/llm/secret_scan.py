@@ -8,7 +8,6 @@ each find is reported as a span of the document.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -17,8 +16,9 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +37,21 @@ LEAST_VALUE = 8
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+_URL_BYTES = re.compile(r"[A-Za-z0-9_.~!*'()+/-]*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()+/-])*")
+_X_BYTES = re.compile(r"(?:[\x20-\x5b\x5d-\x7e]|\\(?:x[0-9A-Fa-f]{2}|[\\'\"abfnrtv0]))+")
+_URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})()|.")
+_X_BYTE = re.compile(r"\\(?:x([0-9A-Fa-f]{2})|(.))|.")
+_X_LETTERS = dict(zip("abfnrtv0", b"\x07\x08\x0c\n\r\t\x0b\0"))
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|[\x08\x18\x28\x38\x48\x58\x68\x78](?=[\x00-\xff])")
 _WIDE = re.compile(r"(?:[\x01-\x7f]\x00){4,}|(?:\x00[\x01-\x7f]){4,}")
 _UNPRINTABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _TO_STANDARD = str.maketrans("-_", "+/")
 
 #: A compressed layer may grow to so many bytes; a larger one is counted as oversized and not unwrapped.
 LAYER_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 1024 * 1024
 
 FOUND = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
          "n_layers long, n_oversized long")
@@ -157,56 +166,144 @@ def _unicode(run: str) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, len(run))] if code < 0x110000 else None
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """Decompressed bytes if ``raw`` is a whole gzip, zlib, bzip2 or xz stream, and whether it was too large."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        stream = zlib.decompressobj(wbits=47)
-    elif raw[:3] == b"BZh":
-        stream = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        stream = lzma.LZMADecompressor()
-    else:
-        return None, False
-    try:
-        plain = stream.decompress(raw, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None, False
-    if len(plain) > limit:
-        return None, True
-    return (plain, False) if stream.eof else (None, False)
+def _stream(raw: bytes, at: int):
+    """A decompressor if gzip, zlib, bzip2 or xz data may begin there."""
+    if raw[at] == 0x1F:
+        return zlib.decompressobj(wbits=47)
+    if raw[at] == 0x42:
+        return bz2.BZ2Decompressor()
+    if raw[at] == 0xFD:
+        return lzma.LZMADecompressor()
+    return zlib.decompressobj() if (raw[at] * 256 + raw[at + 1]) % 31 == 0 and not raw[at + 1] & 0x20 else None
 
 
-def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
-    """A layer for every base64 run, plain or compressed; None for an oversized one."""
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").translate(_TO_STANDARD)
-        if len(run) % 4 == 1:
-            continue
+def _plain_blocks(raw: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
+    """Blocks of decompressed bytes from there on, members in a row as one; with the last whole member comes the place where it ends.
+
+    Data that stop short or break give what comes before.
+    """
+    stream, fed, first = _stream(raw, at), at, True
+    while stream is not None:
         try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
+            while not stream.eof:
+                data = getattr(stream, "unconsumed_tail", b"")
+                if not data and getattr(stream, "needs_input", True):
+                    data = raw[fed:fed + BLOCK_BYTES]
+                    fed += len(data)
+                    if not data:
+                        break
+                block = stream.decompress(data, BLOCK_BYTES)
+                if block:
+                    yield block, None
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        if not stream.eof:
+            return
+        fed -= len(stream.unused_data)
+        yield b"", fed
+        while raw[fed:fed + 1] == b"\0":  # padding between members
+            fed += 1
+        stream = _stream(raw, fed) if _PACKED.match(raw, fed) else None
+
+
+def _packed_layers(raw: bytes, origin: Callable[[int, int], tuple[int, int]], limit: int) -> Iterator[Layer | None]:
+    """A layer for all compressed data that begin anywhere in the bytes, and for those inside; None for an oversized one.
+    ``origin``: the span of the document that some of the bytes come from."""
+    waiting, seen = [(raw, None)], set()
+    while waiting:
+        raw, outer = waiting.pop()
+        digest = hashlib.sha256(raw).digest()
+        if digest in seen:  # a stream that holds itself
             continue
-        packed, seen = False, set()
-        while True:
-            plain, oversized = _inflate(raw, limit)
+        seen.add(digest)
+        at = 0
+        while m := _PACKED.search(raw, at):
+            at = m.start() + 1
+            if _stream(raw, m.start()) is None:
+                continue
+            blocks, size, oversized, whole, stop = [], 0, False, False, len(raw)
+            for block, end in _plain_blocks(raw, m.start()):
+                if end is not None:
+                    at, whole, stop = end, True, end
+                size += len(block)
+                blocks.append(block)
+                if size > limit:
+                    oversized = True
+                    break
             if oversized:
                 yield None
-            if plain is None or raw in seen:  # a stream that holds itself
-                break
-            seen.add(raw)
-            raw, packed = plain, True
-        text, readable = _text(raw)
-        if packed:
-            start, end = layer.origin(m.start(), m.end())
-            yield Layer(text, [start] * len(text), [end] * len(text), readable)
-            continue
-        letters, starts, ends = [], [], []
-        for letter, first, after in _letters_of_bytes(raw, 1):
-            a, b = layer.origin(m.start() + first // 3 * 4, min(m.start() + (after - 1) // 3 * 4 + 4, m.end()))
-            letters.append(letter)
-            starts.append(a)
-            ends.append(b)
-        yield Layer("".join(letters), starts, ends, readable)
+                continue
+            plain = b"".join(blocks)
+            if not plain:
+                continue
+            place = outer or origin(m.start(), stop)
+            waiting.append((plain, place))
+            text, readable = _text(plain)
+            yield Layer(text, [place[0]] * len(text), [place[1]] * len(text), readable and whole)
+
+
+def _escaped_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
+    """Layers of compressed data that are spelt in URL or byte escapes, letters that need none among them."""
+    found = []
+    if "%" in layer.text:
+        found += [(m, _URL_BYTE) for m in _URL_BYTES.finditer(layer.text)]
+    if "\\x" in layer.text:
+        found += [(m, _X_BYTE) for m in _X_BYTES.finditer(layer.text) if "\\x" in m.group()]
+    for m, unit in found:
+        raw, places = bytearray(), [m.start()]
+        pluses = []
+        for x in unit.finditer(m.group()):
+            if x[0] == "+":
+                pluses.append(len(raw))
+            raw.append(int(x[1], 16) if x[1] else _X_LETTERS.get(x[2], ord(x[2])) if x[2] else ord(x[0]))
+            places.append(m.start() + x.end())
+        readings = [bytes(raw)]
+        if unit is _URL_BYTE and pluses:  # a plus stands for itself or for a blank
+            for k in pluses:
+                raw[k] = 0x20
+            readings.append(bytes(raw))
+        for data in readings:
+            yield from _packed_layers(data, lambda a, b: layer.origin(places[a], places[b]), limit)
+
+
+def _base64_runs(text: str) -> Iterator[tuple[str, list[int] | range]]:
+    """Base64 letters and their places, those of the padding last: every run of a line, and every run that goes on over line ends."""
+    for m in _BASE64.finditer(text):
+        yield m.group().rstrip("="), range(m.start(), m.end())
+    if "\n" in text or "\\n" in text:
+        for m in _WRAPPED.finditer(text):
+            letters, places, at = [], [], m.start()
+            for gap in _BREAK.finditer(text, m.start(), m.end()):
+                letters.append(text[at:gap.start()])
+                places.extend(range(at, gap.start()))
+                at = gap.end()
+            yield "".join(letters) + text[at:m.end()].rstrip("="), places + list(range(at, m.end()))
+
+
+def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
+    """Layers for every base64 run, plain or compressed, begun at each of four letters, as a prefix may belong to the run;
+    None for an oversized one."""
+    for whole, places in _base64_runs(layer.text):
+        whole = whole.translate(_TO_STANDARD)
+        for skip in range(4):
+            run = whole[skip:]
+            run = run[:-1] if len(run) % 4 == 1 else run
+            raw = base64.b64decode(run + "=" * (-len(run) % 4))
+            if not raw:
+                continue
+
+            def origin(first: int, after: int) -> tuple[int, int]:
+                return layer.origin(places[skip + first // 3 * 4], places[min(skip + (after - 1) // 3 * 4 + 4, len(places)) - 1] + 1)
+
+            yield from _packed_layers(raw, origin, limit)
+            readable = _text(raw)[1]
+            letters, starts, ends = [], [], []
+            for letter, first, after in _letters_of_bytes(raw, 1):
+                a, b = origin(first, after)
+                letters.append(letter)
+                starts.append(a)
+                ends.append(b)
+            yield Layer("".join(letters), starts, ends, readable)
 
 
 def unwrap(text: str, limit: int = LAYER_BYTES) -> tuple[set[tuple[int, int, int]], int, int]:
@@ -231,7 +328,7 @@ def unwrap(text: str, limit: int = LAYER_BYTES) -> tuple[set[tuple[int, int, int
             waiting.append(_replaced(layer, _URL, _url))
         if "\\" in layer.text or "&#" in layer.text:
             waiting.append(_replaced(layer, _UNICODE, _unicode))
-        for inner in _base64_layers(layer, limit):
+        for inner in chain(_base64_layers(layer, limit), _escaped_layers(layer, limit)):
             waiting.append(inner)
             oversized += inner is None
         waiting = deque(x for x in waiting if x is not None)

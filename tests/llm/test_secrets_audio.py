@@ -165,3 +165,28 @@ def test_bytes_that_are_no_plain_text(raw):
     coded = base64.b64encode(raw).decode()
     found, layers, _ = secret_scan.unwrap(f"é {coded} z")
     assert found and layers >= 1 and all(k == 0 and 2 <= a < b <= 2 + len(coded) for a, k, b in found)
+
+
+def _bytes_escaped(raw):
+    return "".join(f"\\x{b:02x}" for b in raw)
+
+
+NOISE = "".join(hashlib.sha256(str(k).encode()).hexdigest()[:31] + "\n" for k in range(40))
+
+
+@pytest.mark.parametrize("coded", [
+    base64.encodebytes(f"{'x' * 50} {SECRET} and more".encode()).decode(),
+    base64.encodebytes(f"{'x' * 50} {SECRET} and more".encode()).decode().replace("\n", "\\n"),
+    *(base64.encodebytes(pack((NOISE + SECRET).encode())).decode().replace("\n", "\r\n ") for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)),
+    *("abc/_"[:k] + ENCODERS["base64"](SECRET) for k in range(1, 6)),
+    *("key_/-"[:k] + ENCODERS[kind](SECRET) for k in (1, 2, 3, 6) for kind in ("gzip", "zlib", "bzip2", "xz")),
+    *(_bytes_escaped(pack(SECRET.encode())) for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)),
+    *("".join(f"%{b:02x}" for b in pack(SECRET.encode())) for pack in (gzip.compress, bz2.compress)),
+    urllib.parse.quote(gzip.compress(SECRET.encode())), urllib.parse.quote_plus(zlib.compress(SECRET.encode())),
+    repr(zlib.compress((NOISE + SECRET).encode())),
+    base64.b64encode(gzip.compress(b"first member") + gzip.compress(SECRET.encode())).decode(),
+    base64.b64encode(bz2.compress(SECRET[:14].encode()) + bz2.compress(SECRET[14:].encode())).decode()])
+def test_forms_of_layers(coded):
+    text = f"é é {coded} z"
+    found = secret_scan.unwrap(text)[0]
+    assert any(k == 0 and 4 <= a < b <= 4 + len(coded) for a, k, b in found)
