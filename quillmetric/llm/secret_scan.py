@@ -49,8 +49,10 @@ _WIDE = re.compile(r"(?:[\x01-\x7f]\x00){4,}|(?:\x00[\x01-\x7f]){4,}")
 _UNPRINTABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _TO_STANDARD = str.maketrans("-_", "+/")
 
-#: A compressed layer may grow to so many bytes; a larger one is counted as oversized and not unwrapped.
+#: A compressed layer may grow to so many bytes; a larger one is counted as oversized and goes through in windows.
 LAYER_BYTES = 64 * 1024 * 1024
+#: Windows take so many new bytes after as many of those before.
+WINDOW_BYTES = 4 * 1024 * 1024
 BLOCK_BYTES = 1024 * 1024
 
 FOUND = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
@@ -70,14 +72,19 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Layer:
-    """A decoded text; letter k comes from ``starts[k]`` to ``ends[k]`` of the document. Without them it is the document."""
+    """A decoded text; letter k comes from ``starts[k]`` to ``ends[k]`` of the document, or all letters from ``span``.
+    Without either it is the document."""
 
     text: str
     starts: list[int] | None = None
     ends: list[int] | None = None
     readable: bool = True
+    span: tuple[int, int] | None = None
+    window: bool = False
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if self.span is not None:
+            return self.span
         if self.starts is None:
             return start, end
         return self.starts[start], self.ends[end - 1]
@@ -93,6 +100,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
     def copy(a: int, b: int) -> None:
         letters.append(layer.text[a:b])
+        if layer.span is not None:
+            return
         starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
         ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
 
@@ -110,6 +119,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not changed:
         return None
     copy(at, len(layer.text))
+    if layer.span is not None:
+        return Layer("".join(letters), span=layer.span)
     return Layer("".join(letters), starts, ends)
 
 
@@ -206,10 +217,30 @@ def _plain_blocks(raw: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
         stream = _stream(raw, fed) if _PACKED.match(raw, fed) else None
 
 
-def _packed_layers(raw: bytes, origin: Callable[[int, int], tuple[int, int]], limit: int) -> Iterator[Layer | None]:
-    """A layer for all compressed data that begin anywhere in the bytes, and for those inside; None for an oversized one.
-    ``origin``: the span of the document that some of the bytes come from."""
-    waiting, seen = [(raw, None)], set()
+def _windows(kept: list[bytes], blocks: Iterator[tuple[bytes, int | None]], size: int) -> Iterator[tuple[bytes, int | None]]:
+    """The bytes of the kept and the further blocks in windows that begin with ``size`` bytes of the one before, and where whole members end."""
+    before, new = b"", bytearray()
+    for block, end in chain(((k, None) for k in kept), blocks):
+        new += block
+        while len(new) >= size:
+            window = before + new[:size]
+            yield window, None
+            before, new = window[-size:], new[size:]
+        if end is not None:
+            yield b"", end
+    if new:
+        yield before + bytes(new), None
+
+
+def _packed_layers(raw: bytes, origin: Callable[[int, int], tuple[int, int]], limit: int | None,
+                   outer: tuple[int, int] | None = None, seen: set[bytes] | None = None) -> Iterator[Layer | None]:
+    """A layer for all compressed data that begin anywhere in the bytes, and for those inside. An oversized one gives None and, unless
+    the caller set the limit, its windows.
+
+    ``origin``: the span of the document that some of the bytes come from; ``outer``: the span of all of them.
+    """
+    waiting, seen = [(raw, outer)], set() if seen is None else seen
+    most = LAYER_BYTES if limit is None else limit
     while waiting:
         raw, outer = waiting.pop()
         digest = hashlib.sha256(raw).digest()
@@ -219,30 +250,39 @@ def _packed_layers(raw: bytes, origin: Callable[[int, int], tuple[int, int]], li
         at = 0
         while m := _PACKED.search(raw, at):
             at = m.start() + 1
-            if _stream(raw, m.start()) is None:
+            if len(raw) < at + 1 or _stream(raw, m.start()) is None:
                 continue
-            blocks, size, oversized, whole, stop = [], 0, False, False, len(raw)
-            for block, end in _plain_blocks(raw, m.start()):
+            kept, size, whole, stop = [], 0, False, len(raw)
+            blocks = _plain_blocks(raw, m.start())
+            for block, end in blocks:
                 if end is not None:
                     at, whole, stop = end, True, end
                 size += len(block)
-                blocks.append(block)
-                if size > limit:
-                    oversized = True
+                kept.append(block)
+                if size > most:
                     break
-            if oversized:
+            if size > most:
                 yield None
+                if limit is not None:
+                    continue
+                place = outer or origin(m.start(), len(raw))
+                for window, end in _windows(kept, blocks, WINDOW_BYTES):
+                    if end is not None:
+                        at = end
+                        continue
+                    yield Layer(_text(window)[0], readable=False, span=place, window=True)
+                    yield from _packed_layers(window, origin, limit, place, seen)
                 continue
-            plain = b"".join(blocks)
+            plain = b"".join(kept)
             if not plain:
                 continue
             place = outer or origin(m.start(), stop)
             waiting.append((plain, place))
             text, readable = _text(plain)
-            yield Layer(text, [place[0]] * len(text), [place[1]] * len(text), readable and whole)
+            yield Layer(text, readable=readable and whole, span=place)
 
 
-def _escaped_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
+def _escaped_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
     """Layers of compressed data that are spelt in URL or byte escapes, letters that need none among them."""
     found = []
     if "%" in layer.text:
@@ -280,7 +320,7 @@ def _base64_runs(text: str) -> Iterator[tuple[str, list[int] | range]]:
             yield "".join(letters) + text[at:m.end()].rstrip("="), places + list(range(at, m.end()))
 
 
-def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
+def _base64_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
     """Layers for every base64 run, plain or compressed, begun at each of four letters, as a prefix may belong to the run;
     None for an oversized one."""
     for whole, places in _base64_runs(layer.text):
@@ -296,7 +336,10 @@ def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
                 return layer.origin(places[skip + first // 3 * 4], places[min(skip + (after - 1) // 3 * 4 + 4, len(places)) - 1] + 1)
 
             yield from _packed_layers(raw, origin, limit)
-            readable = _text(raw)[1]
+            text, readable = _text(raw)
+            if layer.span is not None:
+                yield Layer(text, readable=readable, span=layer.span)
+                continue
             letters, starts, ends = [], [], []
             for letter, first, after in _letters_of_bytes(raw, 1):
                 a, b = origin(first, after)
@@ -306,32 +349,41 @@ def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
             yield Layer("".join(letters), starts, ends, readable)
 
 
-def unwrap(text: str, limit: int = LAYER_BYTES) -> tuple[set[tuple[int, int, int]], int, int]:
+def unwrap(text: str, limit: int | None = None) -> tuple[set[tuple[int, int, int]], int, int]:
     """Spans of secrets in decoded layers, the number of layers that read as text or hold one, and how many were oversized."""
     found: set[tuple[int, int, int]] = set()
-    waiting, seen, layers, oversized = deque([Layer(text)]), set(), 0, 0
-    while waiting:
-        layer = waiting.popleft()
-        if layer.starts is not None:
-            key = layer.key()
-            if key in seen:  # the same text from the same place: a cycle or another order of decoding
-                continue
-            seen.add(key)
-            spans = scan(layer.text)
-            layers += layer.readable or bool(spans)
-            for start, kind, end in spans:
-                a, b = layer.origin(start, end)
-                found.add((a, kind, b))
-        if "\0" in layer.text:
-            waiting.append(_replaced(layer, _WIDE, _wide))
-        if "%" in layer.text:
-            waiting.append(_replaced(layer, _URL, _url))
-        if "\\" in layer.text or "&#" in layer.text:
-            waiting.append(_replaced(layer, _UNICODE, _unicode))
-        for inner in chain(_base64_layers(layer, limit), _escaped_layers(layer, limit)):
-            waiting.append(inner)
-            oversized += inner is None
-        waiting = deque(x for x in waiting if x is not None)
+    seen, layers, oversized = set(), 0, 0
+
+    def work(first: Layer) -> None:
+        nonlocal layers, oversized
+        waiting = deque([first])
+        while waiting:
+            layer = waiting.popleft()
+            if layer.starts is not None or layer.span is not None:
+                key = layer.key()
+                if key in seen:  # the same text from the same place: a cycle or another order of decoding
+                    continue
+                seen.add(key)
+                spans = scan(layer.text)
+                layers += layer.readable or bool(spans)
+                for start, kind, end in spans:
+                    a, b = layer.origin(start, end)
+                    found.add((a, kind, b))
+            if "\0" in layer.text:
+                waiting.append(_replaced(layer, _WIDE, _wide))
+            if "%" in layer.text:
+                waiting.append(_replaced(layer, _URL, _url))
+            if "\\" in layer.text or "&#" in layer.text:
+                waiting.append(_replaced(layer, _UNICODE, _unicode))
+            for inner in chain(_base64_layers(layer, limit), _escaped_layers(layer, limit)):
+                oversized += inner is None
+                if inner is not None and inner.window:  # at once, so that one window is there at a time
+                    work(inner)
+                else:
+                    waiting.append(inner)
+            waiting = deque(x for x in waiting if x is not None)
+
+    work(Layer(text))
     return found, layers, oversized
 
 
@@ -339,11 +391,12 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def find_secrets(docs: DataFrame, limit: int = LAYER_BYTES) -> DataFrame:
+def find_secrets(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: counts and digest of plain secrets, and all spans with those of decoded layers.
 
     Offsets count code points, ends are exclusive. Null texts are empty. Spans found several times, by different orders of decoding,
-    are listed once. ``n_layers``: decoded layers that read as text or hold a secret; other bytes are scanned as well, what is no UTF-8 byte by byte; ``n_oversized``: compressed runs beyond ``limit`` bytes, which stay closed.
+    are listed once. ``n_layers``: decoded layers that read as text or hold a secret; other bytes are scanned as well, what is no UTF-8 byte by byte; ``n_oversized``: compressed runs beyond ``LAYER_BYTES``, which are
+    scanned and unwrapped in overlapping windows of bounded size. Only with a ``limit`` those beyond so many bytes stay closed.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

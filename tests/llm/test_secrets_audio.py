@@ -190,3 +190,20 @@ def test_forms_of_layers(coded):
     text = f"é é {coded} z"
     found = secret_scan.unwrap(text)[0]
     assert any(k == 0 and 4 <= a < b <= 4 + len(coded) for a, k, b in found)
+
+
+@pytest.mark.parametrize("kind", ["gzip", "zlib", "bzip2", "xz"])
+@pytest.mark.parametrize("inner", ["plain", "url", "base64", "gzip"])
+@pytest.mark.parametrize("place", [0, 1990, 30_000])
+def test_oversized_layers_are_scanned(monkeypatch, kind, inner, place):
+    monkeypatch.setattr(secret_scan, "LAYER_BYTES", 1000)
+    monkeypatch.setattr(secret_scan, "WINDOW_BYTES", 1000, raising=False)
+    secret = SECRET if inner == "plain" else ENCODERS[inner](SECRET)
+    coded = ENCODERS[kind](" \n" * (place // 2) + secret + " \n" * ((40_000 - place) // 2))
+    found, _, oversized = secret_scan.unwrap(f"é {coded} z")
+    assert oversized == 1 and {k for _, k, _ in found} == {0} and all(2 <= a < b <= 2 + len(coded) for a, _, b in found)
+
+
+def test_layers_beyond_the_limit_of_the_module():
+    coded = base64.b64encode(zlib.compress(b" " * (secret_scan.LAYER_BYTES + 10) + SECRET.encode())).decode()
+    assert secret_scan.unwrap(coded)[0] == {(0, 0, len(coded))} and len(coded) < 100_000
