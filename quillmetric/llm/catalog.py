@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmetric.llm import audio, chat, lines, mixing, packing, quality, retrieval, secret_scan, simhash, token_orc
+from quillmetric.llm import (audio, chat, lines, merkle, mixing, packing, page_text, quality, repair, retrieval, secret_scan, simhash,
+                             structure_sql, token_orc)
 from quillmetric.llm.work import Workspace
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -151,4 +152,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), Workspace(spark))
 
 
+@query("op11_page_text", structure_sql.PAGE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op12_merkle_intervals", structure_sql.MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents", *merkle.FIELDS), Workspace(spark))
+
+
+@query("op13_audit_repair", structure_sql.REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.audits(repair.repaired(repair.damaged(conversations), Workspace(spark)))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
