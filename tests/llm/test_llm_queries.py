@@ -18,6 +18,10 @@ LEADING = {
     "op8_token_orc": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
     "op9_chat_round_trip": "conv_id:bigint n_turns:bigint turns_sha256:string loss_chars:bigint loss_sha256:string formatted_chars:bigint",
     "op10_entropy_mix": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+    "op11_page_text": "page_id:bigint url:string text:string n_chars:bigint",
+    "op12_merkle_intervals": "doc_id:bigint leaf:string subroot:string root:string proof_sha256:string folded_root:string verified:boolean",
+    "op13_audit_repair": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string "
+                         "repaired_sha256:string",
 }
 
 
@@ -35,7 +39,7 @@ def test_columns(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
