@@ -314,7 +314,8 @@ FUZZ_SQL = f"""WITH pairs AS (SELECT p_partkey AS id, {fuzz_sql.plain('p_name')}
 @query("x_fuzz", FUZZ_SQL)
 def x_fuzz(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
-    return df.select("p_partkey", F.round(fuzz.similarity(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")), 2).alias("similarity"))
+    scored = fuzz.with_similarity(df, "score", F.col("p_name"), F.concat_ws(" ", "p_type", "p_name"))
+    return scored.select("p_partkey", F.round("score", 2).alias("similarity"))
 
 
 @query("x_rollhash", """SELECT p_partkey, CAST(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(p_name, ''),

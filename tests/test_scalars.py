@@ -1,7 +1,9 @@
 """Column functions on small fixtures."""
 
 import random
+import re
 
+import plain_fuzz
 from pyspark.sql import functions as F
 
 from quillmetric.functions import dates, fuzz, numbers, people, text, urls
@@ -114,34 +116,53 @@ def test_urls(spark):
     assert value(spark, "https://h/uas/login", lambda t: urls.block_reason(t, F.lit(""))) == "blocked page: /uas/login"
 
 
-def _slow_lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
-        row = new
-    return row[-1]
+def _scored(spark, pairs):
+    df = spark.createDataFrame(pairs, "a string, b string")
+    return [(r["a"], r["b"], r["s"]) for r in fuzz.with_similarity(df, "s", F.col("a"), F.col("b")).collect()]
 
 
-def test_similarity_against_brute_force():
+def _word(rng, n, letters="abcd e"):
+    text = "".join(rng.choice(letters) for _ in range(n))
+    return "x" + text[1:-1] + "y" if n > 1 else "x"[:n]  # plain() leaves the length
+
+
+def test_similarity_against_brute_force(spark):
     rng = random.Random(7)
-    for _ in range(200):
-        a = "".join(rng.choice("abc d") for _ in range(rng.randint(0, 70)))
-        b = "".join(rng.choice("abc d") for _ in range(rng.randint(0, 300)))
-        assert fuzz.common_subsequence(a, b) == _slow_lcs(a, b)
-        s, long = (a, b) if len(a) <= len(b) else (b, a)
-        if s:
-            windows = [long[max(0, i):i + len(s)] for i in range(1 - len(s), len(long))]
-            assert abs(fuzz.partial_ratio(a, b) - max(fuzz.ratio(s, w) for w in windows)) < 1e-9
+    pairs = [(_word(rng, rng.randint(0, 40)), _word(rng, rng.randint(0, 50))) for _ in range(150)]
+    pairs += [("ä ß ü", "ü ß x"), ("a a b", "b a"), ("...", "a"), ("A.B-c_d", "a b c d"), ("𝄞 é", "é 𝄞𝄞")]
+    for a, b, score in _scored(spark, pairs):
+        assert abs(score - plain_fuzz.pair_score(a, b)) < 1e-9
+    assert _scored(spark, [(None, "a"), ("", ""), ("a", None)]) == [(None, "a", 0.0), ("", "", 0.0), ("a", None, 0.0)]
+
+
+def test_similarity_at_word_borders(spark):
+    """Lengths around one and several words of bits, on both sides."""
+    rng = random.Random(21)
+    sizes = [(61, 62), (62, 62), (62, 63), (63, 63), (63, 64), (64, 64), (64, 20), (20, 64), (124, 125), (125, 30), (256, 257), (257, 40), (40, 256)]
+    pairs = [(_word(rng, n), _word(rng, m)) for n, m in sizes] + [(_word(rng, n, "a b"), _word(rng, m, "a b")) for n, m in sizes[:9]]
+    pairs = [tuple(re.sub(" +", " ", x) if i % 2 else x for x in p) for i, p in enumerate(pairs)]
+    for a, b, score in _scored(spark, pairs):
+        assert abs(score - plain_fuzz.pair_score(a, b)) < 1e-9
+    for target in (pairs[2][0], pairs[4][1], pairs[8][0], pairs[10][1]):
+        df = spark.createDataFrame([([b for _, b in pairs[:9]],), ([pairs[0][0]],)], "c array<string>")
+        for row in fuzz.with_best_similarity(df, "s", [target], F.col("c"), digits=9).collect():
+            assert abs(row["s"] - max(plain_fuzz.pair_score(target, c) for c in row["c"])) < 1e-8
+
+
+def test_similarity_is_planned_without_python(spark):
+    df = spark.createDataFrame([(["Data lead"],)], "c array<string>")
+    scored = fuzz.with_best_company_similarity(fuzz.with_best_similarity(df, "s", ["data"], F.col("c")), "t", "data", F.col("c")).filter("s > 1 AND t > 1")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and scored.count() == 1
 
 
 def test_similarity_minima_and_guards(spark):
-    assert fuzz.pair_score("software engineer", "senior software engineer") >= 80
-    assert fuzz.pair_score("marketing manager", "marine biologist") < 60
-    assert fuzz.company_pair_score("meta", "metadata") < 70
+    scores = [s for _, _, s in _scored(spark, [("software engineer", "senior software engineer"), ("marketing manager", "marine biologist")])]
+    assert scores[0] >= 80 and scores[1] < 60
+    meta = spark.createDataFrame([(["metadata"],)], "c array<string>")
+    assert fuzz.with_best_company_similarity(meta, "s", "meta", F.col("c")).first()["s"] < 70
     df = spark.createDataFrame([(["x", "stripe"],), (["strip club"],), (None,)], "c array<string>")
-    got = [r["s"] for r in df.select(fuzz.best_company_similarity("stripe", F.col("c")).alias("s")).collect()]
+    got = [r["s"] for r in fuzz.with_best_company_similarity(df, "s", "stripe", F.col("c")).collect()]
     assert got[0] == 100.0 and 0 < got[1] < 100 and got[2] == 0.0
 
 
@@ -151,27 +172,23 @@ def test_best_similarity_is_the_maximum(spark):
     rows = [([" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(5)],) for _ in range(50)]
     targets = ["data engineer", "growth lead"]
     df = spark.createDataFrame(rows, "c array<string>")
-    for row in df.select("c", fuzz.best_similarity(targets, F.col("c")).alias("s")).collect():
-        assert row["s"] == round(max(fuzz.pair_score(t, c) for t in targets for c in row["c"]), 2)
+    for row in fuzz.with_best_similarity(df, "s", targets, F.col("c")).collect():
+        assert row["s"] == round(max(plain_fuzz.pair_score(t, c) for t in targets for c in row["c"]), 2)
 
 
-def test_part_similarity_is_symmetric_and_has_no_border():
-    rng = random.Random(21)
-    word = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
-    assert abs(fuzz.partial_ratio("abcd", "axbc") - 600 / 7) < 1e-9
-    for n, m in [(4, 4), (9, 9), (63, 63), (64, 64), (62, 70), (63, 70), (64, 70), (65, 70), (20, 255), (20, 256), (20, 257), (256, 257)]:
-        a, b = word(n), word(m)
-        assert abs(fuzz.partial_ratio(a, b) - fuzz.partial_ratio(b, a)) < 1e-9
-        assert fuzz.common_subsequence(a, b) == _slow_lcs(a, b)
-        short, long = (a, b) if n <= m else (b, a)
-        ways = [(short, long)] + ([(long, short)] if n == m else [])
-        best = max(200.0 * _slow_lcs(s, w) / (len(s) + len(w)) for s, t in ways
-                   for w in [t[i:i + len(s)] for i in range(len(t) - len(s) + 1)] + [t[:k] for k in range(1, len(s), 7)])
-        assert fuzz.partial_ratio(a, b) >= best - 1e-9
-        if n <= 9:
-            full = max(200.0 * _slow_lcs(s, w) / (len(s) + len(w)) for s, t in ways for w in
-                       [t[i:i + len(s)] for i in range(len(t) - len(s) + 1)] + [t[:k] for k in range(1, len(s))] + [t[-k:] for k in range(1, len(s))])
-            assert abs(fuzz.partial_ratio(a, b) - full) < 1e-9
+def test_part_similarity_takes_the_better_direction():
+    assert abs(plain_fuzz.partial_ratio("abcd", "axbc") - 600 / 7) < 1e-9 and abs(plain_fuzz.partial_ratio("axbc", "abcd") - 600 / 7) < 1e-9
+
+
+def test_company_similarity_against_brute_force(spark):
+    rng = random.Random(13)
+    words = ["acme", "ac", "acmecorp", "north star", "star", "metadata", "meta labs", "me ta"]
+    rows = [([" ".join(rng.choices(words, k=rng.randint(1, 2))) for _ in range(3)],) for _ in range(60)] + [([],), ([""],)]
+    df = spark.createDataFrame(rows, "c array<string>")
+    for key in ("acme", "meta", "north star", "acmecor"):
+        for row in fuzz.with_best_company_similarity(df, "s", key, F.col("c"), digits=9).collect():
+            best = max((plain_fuzz.company_pair_score(key, c) for c in row["c"]), default=0.0)
+            assert abs(row["s"] - best) < 1e-8
 
 
 def test_counts_days_and_hidden_text(spark):
