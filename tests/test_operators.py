@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -141,6 +143,44 @@ def test_org_cap_equals_plain_rule(spark):
         assert got == plain_org_cap(ranked, 7, 2), case
 
 
+def plain_groups(rows):
+    """Group of each row ``(place, aliases)``: the oldest that knows one of its aliases, which then learns the others."""
+    knows, out = {}, {}
+    for place, aliases in sorted(rows):
+        group = min([place] + [knows[a] for a in aliases if a in knows])
+        for alias in aliases:
+            knows[alias] = group
+        out[place] = group
+    return out
+
+
+@pytest.mark.parametrize("n_aliases, n_rows, most", [(6, 60, 2), (40, 120, 3), (12, 200, 2), (60, 60, 2)])
+def test_groups_of_aliases_as_of_a_place(spark, n_aliases, n_rows, most):
+    rng = random.Random(n_aliases)
+    sets = [sorted(rng.sample([f"a{i}" for i in range(n_aliases)], rng.randint(1, most))) for _ in range(n_rows // 2)]
+    data = [(i, rng.choice(sets)) for i in rng.sample(range(1000), n_rows)]
+    got = outreach.with_groups(spark.createDataFrame(data, "_place int, _aliases array<string>")).collect()
+    assert {r["_place"]: r["group"] for r in got} == plain_groups(data) and len(got) == len(data)
+
+
+def test_groups_along_a_chain(spark):
+    """Knowledge travels along a chain only as far as rows in the right order carry it."""
+    links = [[f"a{i}", f"a{i + 1}"] for i in range(6)]
+    for order in (links, links[::-1], links + links[::-1] + links, links[::2] + links[1::2] + links):
+        data = list(enumerate(order))
+        got = outreach.with_groups(spark.createDataFrame(data, "_place int, _aliases array<string>")).collect()
+        assert {r["_place"]: r["group"] for r in got} == plain_groups(data)
+
+
+def test_org_cap_of_one_large_component(spark):
+    """100,000 rows whose organisations are all linked."""
+    df = spark.range(100000).selectExpr("CAST(100000 - id AS INT) AS score", "concat('n', id) AS name",
+                                        "CASE WHEN id % 3 = 0 THEN concat('Hub / Org', id % 1000) ELSE concat('Org', id % 1000) END AS organization")
+    got = [tuple(r) for r in outreach.cap_per_org(df, 30, 2).collect()]
+    data = [(100000 - i, f"n{i}", f"Hub / Org{i % 1000}" if i % 3 == 0 else f"Org{i % 1000}") for i in range(2000)]
+    assert got == plain_org_cap(data, 30, 2)
+
+
 def test_brief_score_breakdown(spark):
     contacts = spark.createDataFrame(
         [(1, "Ann", "Acme Inc", "2nd; mutuals: Bo, Cy", "VP data", "sent", "write", dt.date(2024, 5, 20)),
