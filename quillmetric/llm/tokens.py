@@ -3,14 +3,12 @@
 A text is cut before every space that another visible character follows. The tokenizer's own splitting pattern always
 has a boundary there, so the ids of a text are the ids of its chunks in a row. Chunks recur; the ids of recent
 ones are kept in a bounded table per Python worker. Chunks and texts where the argument does not hold (runs of white space, control
-characters, letters outside the Latin blocks) go through ``Tokenizer.encode`` as they are.
+characters, letters outside the Latin blocks, added tokens such as ``<|endoftext|>``) go through ``Tokenizer.encode`` as they are.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +17,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 KEPT_CHUNKS = 300_000
-KEPT_WORDS = 150_000
+KEPT_WORDS = 50_000
 LONGEST_KEPT = 64
 
 #: Fixed value: the splitting pattern of the byte-level vocabulary.
@@ -60,14 +58,15 @@ class Recent(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit values."""
+    """Ids of texts as little-endian unsigned 32-bit values, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.alphabet = self._byte_alphabet()
         self.blank = self.alphabet[ord(" ")]
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.chunks = Recent(self._after_blank, KEPT_CHUNKS)
         self.words = Recent(self._word, KEPT_WORDS)
 
@@ -91,20 +90,17 @@ class Encoder:
             letters = self.blank + word[1:] if word[0] == " " else word
         else:
             letters = word.encode().decode("latin-1").translate(self.alphabet)
-        ids = array("I", [t.id for t in self.model.tokenize(letters)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(letters)])
 
     def _after_blank(self, chunk: str) -> bytes:
         """Ids of a blank and what follows it up to the next blank."""
         if not chunk or chunk[0].isspace():
             raise _RunOfBlanks
-        if max(chunk) <= _LAST_PLAIN:
+        if chunk.isascii() or max(chunk) <= _LAST_PLAIN:
             if chunk.isalpha():
-                return self.words[" " + chunk]
+                return self._word(" " + chunk)
             if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-                return self.words[" " + chunk[:-1]] + self.words[chunk[-1]]
+                return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
         return self._any(" " + chunk)
 
     def _any(self, chunk: str) -> bytes:
@@ -119,6 +115,8 @@ class Encoder:
             known.older = {}
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self._whole(text)
         first, *chunks = text.split(" ")
         try:
             return self._any(first) + b"".join(map(self.chunks.__getitem__, chunks))

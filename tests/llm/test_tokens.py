@@ -18,18 +18,23 @@ ODD = " \n\t\r\x0b\x1c\x85\xa0 'sdll.,!12½Ⅷab éЖ中🎈\\<|endoftext|>"
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(vocabulary_path())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(list(ODD) + ["word", " the", "it's", "   ", "\n\n"])).map("".join))
+@given(st.lists(st.sampled_from(list(ODD) + ["word", " the", "it's", "   ", "\n\n", "<|endoftext|>"])).map("".join))
 def test_shared_chunks_give_the_tokenizers_ids(text):
     tokenizer = Tokenizer.from_file(vocabulary_path())
-    tokenizer.encode_special_tokens = True
     assert np.frombuffer(encoder(vocabulary_path()).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_librarys():
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a <|endoftext|", "<|endoftext|><|endoftext|> a  b"):
+        assert np.frombuffer(encoder(vocabulary_path()).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(vocabulary_path()).encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_documents_give_the_tokenizers_ids(documents, plain):
     for text, in documents.select("text").limit(150).collect():
         assert np.frombuffer(encoder(vocabulary_path()).encode(text), "<u4").tolist() == plain(text)
