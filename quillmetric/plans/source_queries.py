@@ -270,6 +270,20 @@ def s_entity(spark, sf_dir):
     return df.select("profile_url", "name", "headline", "location", "degree", "current_company")
 
 
+# one entity per payload, one to eight levels deep, under a wrapper's name in every other payload
+WALKED = ("repeat('{\"w\":[7,{\"k\":', c_custkey % 8) || CASE WHEN c_custkey % 2 = 0 THEN '{\"entityResult\":' ELSE '[' END || "
+          "'{\"title\":\"Cust ' || c_custkey || '\",\"navigationUrl\":\"/in/W' || (c_custkey % 900) || '\",\"subtitle\":{\"text\":\"Lead at ' || "
+          "c_mktsegment || '\"},\"badgeText\":\"• 3rd\"}' || CASE WHEN c_custkey % 2 = 0 THEN '}' ELSE ']' END || repeat('}]}', c_custkey % 8)")
+
+
+@query("s_entity_walk", """SELECT 'https://www.linkedin.com/in/W' || (c_custkey % 900) AS profile_url, 'Cust ' || c_custkey AS name,
+    'Lead at ' || c_mktsegment AS headline, '3rd+' AS degree, c_mktsegment AS current_company
+  FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 900 ORDER BY c_custkey) = 1""")
+def s_entity_walk(spark, sf_dir):
+    payloads = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{WALKED} AS value")
+    return json_posts.walked_entities(payloads, "c_custkey", "value").select("profile_url", "name", "headline", "degree", "current_company")
+
+
 @query("f_person", "SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1")
 def f_person(spark, sf_dir):
     df = table(spark, sf_dir, "customer").selectExpr(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmetric.functions.dates import iso_prefix, social_date
 from quillmetric.functions.numbers import count_or_zero
 from quillmetric.functions.text import bind, compute_once, strip
+from quillmetric.session import new_work_path
 
 POST = ("struct<text:string,url:string,author:string,date:string,platform:string,score:double,relevance:double,"
         "outlier:boolean,engagement:map<string,double>>")
@@ -173,12 +176,46 @@ def entities(payloads: DataFrame, key: str, value: str, paths: tuple[str, ...])
 
     The arrays are read as lists of JSON texts, so entities of any shape pass through.
     """
+    lists = [F.coalesce(F.from_json(F.get_json_object(value, p), "array<string>"), F.array().cast("array<string>"))
+             for p in paths]
+    return _entity_rows(payloads.select(key, F.posexplode(F.concat(*lists)).alias("position", "e")), key)
+
+
+def walked_entities(payloads: DataFrame, key: str, value: str) -> DataFrame:
+    """Person entities found anywhere in JSON payloads, at any depth, one row per canonical profile URL.
+
+    An entity is an object under ``entityResult``, or one with a title and a navigation or target URL. Payloads are walked
+    a level at a time, all of them together: a level's objects and arrays are opened into the next level's rows, until none is left. The
+    first of a payload counts in order of the path: elements by place, members by name. Bad JSON has no entities.
+    """
+    found = []
+    level = _level(payloads.select(key, F.array().cast("array<int>").alias("position"), F.lit(None).cast("string").alias("name"),
+                                   F.try_parse_json(value).alias("node")))
+    while not level.isEmpty():
+        has = {f: F.variant_get("node", f"$.{f}", "variant").isNotNull() for f in ("title", "navigationUrl", "targetUrl")}
+        wrapped = F.coalesce(F.col("name").isin("entityResult", "EntityResult"), F.lit(False))
+        named = has["title"] & (has["navigationUrl"] | has["targetUrl"])
+        found.append(level.filter(F.col("is_object") & (wrapped | named)).select(key, "position", F.to_json("node").alias("e")))
+        opened = level.alias("l").lateralJoin(level.sparkSession.tvf.variant_explode(F.col("l.node").outer()).alias("c"))
+        level = _level(opened.select(f"l.{key}", F.array_append("l.position", F.col("c.pos")).alias("position"), F.col("c.key").alias("name"),
+                                     F.col("c.value").alias("node")))
+    none = payloads.limit(0).select(key, F.array().cast("array<int>").alias("position"), F.lit("").alias("e"))
+    return _entity_rows(reduce(DataFrame.unionByName, found, none), key)
+
+
+def _level(nodes: DataFrame) -> DataFrame:
+    """The objects and arrays among the nodes, written, so that no level is opened twice."""
+    kind = F.schema_of_variant("node")
+    path = new_work_path(nodes.sparkSession, "walk")
+    (nodes.withColumn("is_object", kind.startswith("OBJECT")).filter(F.col("is_object") | kind.startswith("ARRAY")).write.parquet(path))
+    return nodes.sparkSession.read.parquet(path)
+
+
+def _entity_rows(flat: DataFrame, key: str) -> DataFrame:
+    """Rows of the entities ``e``, JSON texts, that are persons; the first of a profile by key and position."""
     from quillmetric.functions.people import degree_code, employer_loose
     from quillmetric.functions.urls import canonical_profile
 
-    lists = [F.coalesce(F.from_json(F.get_json_object(value, p), "array<string>"), F.array().cast("array<string>"))
-             for p in paths]
-    flat = payloads.select(key, F.posexplode(F.concat(*lists)).alias("position", "e"))
     v = F.col("e")
 
     def text_of(name: str) -> Column:

@@ -346,3 +346,36 @@ def test_ratings(spark):
     assert (got[1]["minimum"], got[1]["kind"]) == (100, "exact")
     assert (got[2]["minimum"], got[2]["maximum"], got[2]["midpoint"], got[2]["unknown"]) == (48, 72, 60, "fit")
     assert not got[3]["valid"] and got[3]["minimum"] is None
+
+
+def test_entities_at_any_depth(spark):
+    import json
+
+    def person(i, **more):
+        return {"title": {"text": f"P{i}"}, "navigationUrl": f"/in/p{i}", **more}
+
+    def walk(node, name=None):
+        if isinstance(node, dict):
+            if name in ("entityResult", "EntityResult") or ("title" in node and ("navigationUrl" in node or "targetUrl" in node)):
+                yield node
+            for key in sorted(node):
+                yield from walk(node[key], key)
+        elif isinstance(node, list):
+            for item in node:
+                yield from walk(item)
+
+    deep = person(3)
+    for level in range(8):
+        deep = {"x": [level, deep]} if level % 2 else {"y": deep, "z": None}
+    payloads = [{"a": [person(1), {"entityResult": {"title": "P2", "url": "/in/p2"}}], "b": deep}, [person(4, inner=person(5)), "text", 1.5],
+                {"EntityResult": {"title": "P6", "publicIdentifier": "p6"}}, {"title": "P7", "url": "/in/p7"}, person(1, title="other"), {}, 3, None]
+    rows = [(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(50, None), (51, "{bad"), (52, "")]
+    got = json_posts.walked_entities(spark.createDataFrame(rows, "id int, body string"), "id", "body").collect()
+    names: dict = {}
+    for payload in payloads:
+        for e in walk(payload):
+            title = e["title"]["text"] if isinstance(e["title"], dict) else e["title"]
+            link = e.get("navigationUrl") or e.get("url") or "/in/" + e["publicIdentifier"]
+            names.setdefault("https://www.linkedin.com" + link, title)
+    assert {r["profile_url"]: r["name"] for r in got} == names and len(got) == len(names) == 6
+    assert json_posts.walked_entities(spark.createDataFrame([], "id int, body string"), "id", "body").count() == 0
