@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmetric.functions import people, text
-from quillmetric.operators import joins, merge, ranking
+from quillmetric.operators import dictionary, joins, merge, ranking
 from quillmetric.plans import fuzz_sql
 from quillmetric.plans.registry import query
 from quillmetric.tables import CONTACTS, NOW_MILLIS, TEXT_POSTS, View, table, with_sql
@@ -41,6 +41,25 @@ def j_keywords(spark, sf_dir):
         "doc_id", F.array_join("hits", "|").alias("hits"), F.round("align", 6).alias("align"))
 
 
+# a dictionary made of the benchmark's opening words: pairs, and single words of which every other one is bound to its case
+TERMS = View("terms", "benchmark", {
+    "term": "lower(split_part(text, ' ', 1)) || CASE WHEN item_id % 2 = 0 THEN ' ' || lower(split_part(text, ' ', 2)) ELSE '' END",
+    "tier": "CAST(item_id % 3 AS INT)", "position": "CAST(item_id AS INT)", "case_bound": "item_id % 4 = 1"})
+DICTIONARY_SQL = f"""{with_sql(TERMS)}, known AS (SELECT term, case_bound, min(struct_pack(tier := tier, position := position)) AS place FROM terms GROUP BY 1, 2),
+  forms AS (SELECT *, unnest(CASE WHEN case_bound THEN list_distinct([upper(left(term, 1)) || substr(term, 2), upper(term)]) ELSE [term] END) AS form FROM known),
+  met AS (SELECT DISTINCT doc_id, place, term FROM documents, forms WHERE contains(CASE WHEN case_bound THEN text ELSE lower(text) END, form)
+    AND regexp_matches(CASE WHEN case_bound THEN text ELSE lower(text) END,
+    '(^|[^' || CASE WHEN case_bound THEN 'A-Z' ELSE '' END || 'a-z0-9])' || regexp_escape(form) || '($|[^' || CASE WHEN case_bound THEN 'A-Z' ELSE '' END || 'a-z0-9])')),
+  best AS (SELECT doc_id, term, min(place) AS place FROM met GROUP BY 1, 2)
+  SELECT doc_id, string_agg(term, '|' ORDER BY place, term) AS hits FROM best GROUP BY doc_id"""
+
+
+@query("j_keywords_table", DICTIONARY_SQL)
+def j_keywords_table(spark, sf_dir):
+    hits = dictionary.dictionary_hits(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", TERMS.spark(spark, sf_dir))
+    return hits.select("doc_id", F.array_join("hits", "|").alias("hits"))
+
+
 @query("t_cluster", f"{KEYED_SQL} SELECT doc_id, cluster FROM keyed")
 def t_cluster(spark, sf_dir):
     return keyed(spark, sf_dir).select("doc_id", "cluster")

@@ -8,7 +8,7 @@ import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillmetric.operators import documents, engagement, evals, joins, layout, lint, merge, outreach, proximity, ranking, telemetry
+from quillmetric.operators import dictionary, documents, engagement, evals, joins, layout, lint, merge, outreach, proximity, ranking, telemetry
 from quillmetric.sources import html, json_posts, ledger, markdown
 
 
@@ -379,3 +379,40 @@ def test_entities_at_any_depth(spark):
             names.setdefault("https://www.linkedin.com" + link, title)
     assert {r["profile_url"]: r["name"] for r in got} == names and len(got) == len(names) == 6
     assert json_posts.walked_entities(spark.createDataFrame([], "id int, body string"), "id", "body").count() == 0
+
+
+def test_dictionary_terms_in_texts(spark):
+    import re
+
+    terms = [("c++", 0, 1, False), ("C++", 0, 9, False), (".net", 1, 1, False), ("net", 1, 0, False), ("design systems", 2, 0, False),
+             ("acme", 2, 1, True), ("acme-labs", 0, 5, True), ("日本", 3, 0, False), ("a", 3, 1, False), (" ", 0, 0, False), (None, 0, 0, False), ("x  y", 1, 5, None)]
+    texts = ["C++ and c++11, .NET", "ASP.NET net", "Design Systems! design  systems", "acme Acme-Labs ACME", "acme", "日本語 in 日本", "a-b", "", None,
+             "x  y x y", "cc++ c++", "Acme", "designsystems design\nsystems", "net." * 3000 + " c++"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    table = spark.createDataFrame(terms, "term string, tier int, position int, case_bound boolean")
+    got = {r["id"]: r["hits"] for r in dictionary.dictionary_hits(df, "id", "body", table).collect()}
+    want = {}
+    for i, body in enumerate(texts):
+        places = {}
+        for term, tier, position, bound in terms:
+            low = (term or "").strip().lower()
+            if not low or body is None:
+                continue
+            forms, letters, against = ([low.title(), low.upper()], "A-Za-z0-9", body) if bound else ([low], "a-z0-9", body.lower())
+            if any(re.search(f"(?<![{letters}]){re.escape(f)}(?![{letters}])", against) for f in forms):
+                places[low] = min(places.get(low, (tier, position)), (tier, position))
+        if places:
+            want[i] = sorted(places, key=lambda t: (places[t], t))
+    assert got == want
+    assert dictionary.dictionary_hits(df, "id", "body", table.limit(0)).collect() == []
+
+
+def test_dictionary_of_100000_terms(spark):
+    table = spark.range(100000).selectExpr("concat('w', id, ' x', id % 7) AS term", "CAST(id % 5 AS INT) AS tier", "CAST(id AS INT) AS position", "false AS case_bound")
+    df = spark.range(300).selectExpr("id", "concat_ws(' ', transform(sequence(0, 60), i -> concat('W', id * 331 + i, ' x', (id * 331 + i) % 9))) AS body")
+    rows_ = dictionary.dictionary_hits(df, "id", "body", table).collect()
+    for r in rows_:
+        want = [n for n in range(r["id"] * 331, r["id"] * 331 + 61) if n % 9 == n % 7 and n < 100000]
+        assert sorted(r["hits"]) == sorted(f"w{n} x{n % 7}" for n in want)
+        assert r["hits"] == sorted(r["hits"], key=lambda t: (int(t[1:].split()[0]) % 5, int(t[1:].split()[0])))
+    assert len(rows_) > 100
