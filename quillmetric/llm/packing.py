@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmetric.llm.tokens import encoder, vocabulary_path
-from quillmetric.llm.work import Workspace, running, slices, text_or_empty
+from quillmetric.llm.tokens import Encoder, encoder, vocabulary_path
+from quillmetric.llm.work import Workspace, give_back, running, slices, text_or_empty
 
 CAPACITY = 1024
+RELEASED_CHUNKS = 100_000
 END_ID = 2
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -29,12 +30,14 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, v
               release: bool = False) -> DataFrame:
     """Token pieces of ``docs(doc_id, text)``: a document longer than ``capacity`` is cut, its remainder comes first.
 
-    With ``release`` a task forgets the words it has met when it ends, for jobs whose other steps need the memory.
+    With ``release`` a task has an encoder of its own with room for fewer chunks, and its memory goes back to the system when it ends, for
+    jobs whose other steps need it.
     """
     location = vocabulary or vocabulary_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, end = encoder(location), int(end_id).to_bytes(4, "little")
+        shared = Encoder(location, RELEASED_CHUNKS) if release else encoder(location)
+        end = int(end_id).to_bytes(4, "little")
         to_ids = shared.encode
         for batch in slices(batches):
             rows = []
@@ -50,7 +53,8 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, v
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
         if release:
-            shared.forget()
+            del shared, to_ids
+            give_back()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
             .mapInArrow(cut, PIECES))

@@ -60,14 +60,14 @@ class Recent(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit values, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT_CHUNKS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.alphabet = self._byte_alphabet()
         self.blank = self.alphabet[ord(" ")]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.chunks = Recent(self._after_blank, KEPT_CHUNKS)
+        self.chunks = Recent(self._after_blank, kept)
         self.words = Recent(self._word, KEPT_WORDS)
 
     @staticmethod
@@ -108,12 +108,6 @@ class Encoder:
             return b"".join(map(self.words.__getitem__, _WORDS.findall(chunk)))
         return self._whole(chunk)
 
-    def forget(self) -> None:
-        """Give up what is known of recent words, so that other work in this Python worker has the memory."""
-        for known in (self.chunks, self.words):
-            known.clear()
-            known.older = {}
-
     def encode(self, text: str) -> bytes:
         if any(token in text for token in self.added):
             return self._whole(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -22,6 +24,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Workspace:
     """A folder for tables that cut lineage; every executor reaches it, so a lost executor costs no recomputation.
 
