@@ -152,33 +152,35 @@ def ids_in_spans(texts: DataFrame, key: str, text: str, card: str, member: str)
 
 # ---- text containment --------------------------------------------------------
 
-def _grams(text: Column, size: int) -> Column:
-    n = F.length(text) - size + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
-                  ).otherwise(F.array().cast("array<string>"))
+#: Needles meet texts by windows of at most so many letters; longer needles by their first letters, and are compared whole.
+WINDOW_LETTERS = 64
 
 
-def containment_pairs(hays: DataFrame, hay_id: str, hay: str, needles: DataFrame, needle_id: str, needle: str,
-                      size: int = 3) -> DataFrame:
-    """(hay_id, needle_id) where the hay holds the needle.
+def _window_hashes(letters: Column, lengths: Column) -> Column:
+    """Distinct hashes of all windows of the given lengths; windows of a length beyond the text's do not exist."""
+    def of(n: Column) -> Column:
+        starts = F.when(F.size(letters) >= n, F.sequence(F.lit(1), F.greatest(F.size(letters) - n + 1, F.lit(1))))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(letters, i, n)))
 
-    A needle can only be inside texts that hold all of its three-letter grams, so it meets the texts
-    on its rarest gram alone; needles shorter than that meet on their whole text.
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
+
+
+def containment_pairs(hays: DataFrame, hay_id: str, hay: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
+    """(hay_id, needle_id) where the hay holds the needle; nulls and empty needles are in none. Ids of hays are distinct.
+
+    Texts send the hashes of their windows, with their id and no text, and only of lengths that needles have: at most
+    ``WINDOW_LETTERS`` lengths, one row for the plan. A hash meets its needles by equality, so a needle meets a text once, however
+    often it occurs there; only texts that met one are read again, to compare the letters themselves.
     """
-    sizes = F.array_distinct(F.concat(*[_grams(F.col(hay), s) for s in range(1, size + 1)]))
-    hay_grams = hays.select(F.col(hay_id), F.col(hay).alias("_hay"), F.explode(sizes).alias("_gram"))
-    freq = hay_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_freq"))
-    needle_grams = needles.select(F.col(needle_id), F.col(needle).alias("_needle"), F.explode(own_grams(F.col(needle), size)).alias("_gram"))
-    met = (needle_grams.join(freq, "_gram").groupBy(needle_id, "_needle")
-           .agg(F.min(F.struct("_freq", "_gram")).alias("_best"), F.count(F.lit(1)).alias("_seen")))
-    # a needle with a gram that no text has is inside none
-    rarest = met.filter(F.col("_seen") == F.size(own_grams(F.col("_needle"), size))).select(
-        needle_id, "_needle", F.col("_best._gram").alias("_gram"))
-    return hay_grams.join(rarest, "_gram").filter(F.contains("_hay", "_needle")).select(hay_id, needle_id)
-
-
-def own_grams(needle: Column, size: int) -> Column:
-    return F.when(F.length(needle) < size, F.array(needle)).otherwise(F.array_distinct(_grams(needle, size)))
+    asked = needles.filter(F.length(needle) > 0).select(
+        F.col(needle_id), F.col(needle).alias("_needle"), F.least(F.length(needle), F.lit(WINDOW_LETTERS)).alias("_size"))
+    lengths = asked.agg(F.collect_set("_size").alias("_lengths")).scalar()
+    windows = (hays.filter(F.col(hay).isNotNull()).select(F.col(hay_id), F.split(F.col(hay), "").alias("_letters"), lengths.alias("_lengths"))
+               .select(hay_id, F.explode(bind(F.col("_letters"), lambda ls: _window_hashes(ls, F.col("_lengths")))).alias("_hash")))
+    keyed = asked.select(needle_id, "_needle", F.xxhash64(F.slice(F.split("_needle", ""), F.lit(1), F.col("_size"))).alias("_hash"))
+    met = windows.join(keyed, "_hash").select(hay_id, needle_id, "_needle")
+    return (met.join(hays.select(F.col(hay_id), F.col(hay).alias("_hay")), hay_id)
+            .filter(F.contains("_hay", "_needle")).select(hay_id, needle_id))
 
 
 def first_detail(contacts: DataFrame, details: DataFrame, contact_id: str, name: str, detail_id: str,

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
@@ -207,6 +208,28 @@ def test_containment_equals_nested_loop(spark):
     assert got == sorted((h, n) for h, x in hays for n, y in needles if y in x)
 
 
+def test_containment_of_long_and_odd_needles(spark):
+    """Needles beyond the longest window with a common beginning, letters outside the first plane, one-letter needles, blanks, nulls."""
+    start = "ab" * 40
+    hays = [(1, "x" + start + "one"), (2, start + "two" + start), (3, "\U0001f600\u00e9a"), (4, ""), (5, None), (6, "aaaa"), (7, " ")]
+    needles = [(1, start + "one"), (2, start + "two"), (3, start), (4, "\U0001f600"), (5, "a"), (6, ""), (7, None), (8, " "), (9, "a"), (10, "aaaaa")]
+    hay_df, needle_df = spark.createDataFrame(hays, "h int, x string"), spark.createDataFrame(needles, "n int, y string")
+    got = rows(joins.containment_pairs(hay_df, "h", "x", needle_df, "n", "y"))
+    assert got == sorted((h, n) for h, x in hays for n, y in needles if x and y and y in x)
+    assert rows(joins.containment_pairs(hay_df, "h", "x", needle_df.limit(0), "n", "y")) == []
+    assert rows(joins.containment_pairs(hay_df.limit(0), "h", "x", needle_df, "n", "y")) == []
+
+
+def test_containment_sends_no_texts_with_windows(spark):
+    hays = spark.range(1000).selectExpr("id AS h", "concat('text ', id) AS x")
+    pairs = joins.containment_pairs(hays, "h", "x", spark.range(50).selectExpr("id AS n", "concat('t ', id) AS y"), "n", "y")
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate explode" in line)
+    assert re.search(r", \[1, 2\], false, \[_hash", generate)  # letters and lengths stay behind
+    assert pairs.count() == sum(f"t {n}" in f"text {h}" for h in range(1000) for n in range(50))
+
+
+
 def test_frontier_equals_all_comparisons(spark):
     rng = random.Random(8)
     even = [(i, rng.randint(0, 40), rng.randint(0, 40), rng.randint(0, 40)) for i in range(400)]
