@@ -9,7 +9,6 @@ from quillmetric.plans.eval_queries import STREAK_SQL
 from quillmetric.plans.registry import query
 from quillmetric.session import new_work_path
 from quillmetric.streaming import jobs, stateful
-from quillmetric.streaming.store import VersionedTable
 from quillmetric.tables import STAGES, table, with_sql
 
 
@@ -53,10 +52,27 @@ def r_listen_windows(spark, sf_dir):
   UNION ALL SELECT 'tabs', count(DISTINCT event_type) FROM events""")
 def r_heartbeat(spark, sf_dir):
     work = new_work_path(spark, "heartbeat")
-    totals = VersionedTable(spark, f"{work}/totals", "kind string, total bigint")
     jobs.running_counts(stream(spark, sf_dir, "events"), {"posts": F.col("event_id"), "authors": F.col("user_id"), "tabs": F.col("event_type")},
-                        f"{work}/checkpoint", totals)
-    return totals.latest()
+                        f"{work}/checkpoint", f"{work}/added")
+    return jobs.counts_so_far(spark, f"{work}/added")
+
+
+@query("r_heartbeat_sketched", """SELECT 'posts' AS kind, count(DISTINCT event_id) AS exact, true AS close FROM events UNION ALL
+  SELECT 'authors', count(DISTINCT user_id), true FROM events UNION ALL SELECT 'tabs', count(DISTINCT event_type), true FROM events""")
+def r_heartbeat_sketched(spark, sf_dir):
+    work = new_work_path(spark, "sketched")
+    kinds = {"posts": F.col("event_id"), "authors": F.col("user_id"), "tabs": F.col("event_type")}
+
+    def run(events):
+        sketches = jobs.sketched_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", kinds, "1 day", "3 days")
+        stateful.log_changes(sketches, f"{work}/log", f"{work}/checkpoint")
+
+    in_batches(spark, sf_dir, work, run)
+    about = jobs.sketched_totals(jobs.batch_log(spark, f"{work}/log", "start timestamp, kind string, sketch binary"))
+    ids = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("id")) for k, v in kinds.items()])).alias("p")
+    exact = table(spark, sf_dir, "events").select(ids).groupBy("p.kind").agg(F.count_distinct("p.id").alias("exact"))
+    return exact.join(about, "kind", "left").select(
+        "kind", "exact", F.coalesce(F.abs(F.col("total") - F.col("exact")) <= F.col("exact") * 0.02, F.lit(False)).alias("close"))
 
 
 # Every 50th event is stamped a month back: later than the lateness allows, except in the first batch, where nothing came before.
@@ -67,13 +83,11 @@ LATE = "CASE WHEN event_id % 50 = 7 THEN CAST(ts AS TIMESTAMP) - INTERVAL 30 DAY
   SELECT CASE WHEN event_id % 50 = 7 AND event_id >= size THEN 'late' ELSE 'on time' END AS side, count(*) AS rows FROM events, top GROUP BY 1""")
 def r_late(spark, sf_dir):
     work = new_work_path(spark, "late")
-    newest = VersionedTable(spark, f"{work}/newest", "newest timestamp")
-
     def to(side):
         return lambda rows, number: rows.write.mode("overwrite").parquet(f"{work}/out/side={side}/batch={number}")
 
     in_batches(spark, sf_dir, work, lambda events: jobs.split_late(
-        events.withColumn("ts", F.expr(LATE)), "ts", f"{work}/checkpoint", newest, to("on time"), to("late"), "3 days"))
+        events.withColumn("ts", F.expr(LATE)), "ts", f"{work}/checkpoint", f"{work}/newest", to("on time"), to("late"), "3 days"))
     return spark.read.parquet(f"{work}/out").groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
 
 

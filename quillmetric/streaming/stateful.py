@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmetric.operators.telemetry import BREAK_AT
@@ -43,14 +44,15 @@ def merged_stream(stream: DataFrame, key: str, policies: Mapping[str, str], seq:
     return rows.groupBy(key).agg(*[_merged(policy, name, seq) for name, policy in policies.items()])
 
 
-def log_changes(merged: DataFrame, out: str, checkpoint: str) -> None:
-    """Append every batch's changed rows to the log ``out`` until all that is there now has been read."""
+def log_changes(merged: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append every batch's changed rows to the log ``out`` until all that is there now has been read; the query that has ended."""
     def handle(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     query = (merged.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    return query
 
 
 def latest_rows(spark: SparkSession, out: str, key: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quillmetric.operators import telemetry
 from quillmetric.session import new_work_path
 from quillmetric.streaming import jobs, stateful
-from quillmetric.streaming.store import VersionedTable
 
 SCHEMA = "id bigint, who string, ts timestamp, failed boolean"
 
@@ -50,15 +49,36 @@ def test_upsert_and_counts_across_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in stateful.latest_rows(spark, f"{work}/log", "who").collect()) == sorted(
         (w, max(v), min(v), max(i for i in v if i % 7 == 0)) for w, v in ids.items())
     assert spark.read.parquet(f"{work}/log").select("batch").distinct().count() == 3
-    totals = VersionedTable(spark, f"{work}/totals", "kind string, total bigint")
-    jobs.running_counts(stream, {"posts": F.col("id"), "authors": F.col("who")}, f"{work}/cp2", totals)
-    assert {r["kind"]: r["total"] for r in totals.latest().collect()} == {"posts": 90, "authors": 2}
+    assert jobs.counts_so_far(spark, f"{work}/added").count() == 0
+    ids = {"posts": F.col("id"), "authors": F.col("who"), "odd": F.when(F.col("id") % 2 == 1, F.col("id"))}
+    jobs.running_counts(stream, ids, f"{work}/cp2", f"{work}/added")
+    assert {r["kind"]: r["total"] for r in jobs.counts_so_far(spark, f"{work}/added").collect()} == {"posts": 90, "authors": 2, "odd": 45}
+
+
+def test_sketched_counts_keep_a_state_of_one_size(spark, tmp_path):
+    """Twenty batches of 2,000 new ids each, a quarter of an hour apart; intervals of an hour, a watermark of ten minutes."""
+    schema = "id bigint, ts timestamp"
+    for p in range(20):
+        batch = spark.range(p * 2000, (p + 1) * 2000).selectExpr(
+            "id", f"timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {15 * p}, 0) AS ts")
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    work = new_work_path(spark, "t")
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], schema).schema, 1)
+    kinds = {"ids": F.col("id"), "tens": F.col("id") % 10, "none": F.lit(None)}
+    done = stateful.log_changes(jobs.sketched_counts(stream, "ts", kinds, "1 hour", "10 minutes"), f"{work}/log", f"{work}/cp")
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress if p["stateOperators"]]
+    assert len(held) >= 20 and max(held) <= 4  # two kinds, two open intervals
+    log = jobs.batch_log(spark, f"{work}/log", "start timestamp, kind string, sketch binary")
+    got = {r["kind"]: r["total"] for r in jobs.sketched_totals(log).collect()}
+    assert set(got) == {"ids", "tens"} and got["tens"] == 10 and abs(got["ids"] - 40000) <= 40000 * 0.02
+    assert max(r["n"] for r in log.select(F.length("sketch").alias("n")).collect()) <= 70_000
+    again = log.unionByName(log)  # a repeated batch
+    assert {r["kind"]: r["total"] for r in jobs.sketched_totals(again).collect()} == got
 
 
 def test_late_rows_go_aside(spark, tmp_path):
     _, stream = files(spark, tmp_path)
     work = new_work_path(spark, "t")
-    newest = VersionedTable(spark, f"{work}/newest", "newest timestamp")
     seen = {"ok": 0, "late": 0}
 
     def count(kind):
@@ -67,5 +87,5 @@ def test_late_rows_go_aside(spark, tmp_path):
         return handle
 
     jobs.split_late(stream.withColumn("ts", F.when(F.col("id") == 80, F.lit(dt.datetime(2023, 1, 1))).otherwise(F.col("ts"))),
-                    "ts", f"{work}/cp", newest, count("ok"), count("late"))
+                    "ts", f"{work}/cp", f"{work}/newest", count("ok"), count("late"))
     assert seen == {"ok": 89, "late": 1}
