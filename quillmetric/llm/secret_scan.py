@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import base64
 import bz2
-import codecs
 import hashlib
 import html
 import lzma
 import re
 import zlib
-from collections import deque
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from io import StringIO
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,10 @@ LAYER_BYTES = 64 * 1024 * 1024
 #: Windows take so many new bytes after as many of those before.
 WINDOW_BYTES = 4 * 1024 * 1024
 BLOCK_BYTES = 1024 * 1024
+#: What a place where compressed data may begin is tried with; most are no such data.
+FIRST_BYTES = 1024
+#: Places of letters are worked out for so many letters at a time.
+BLOCK_LETTERS = 256 * 1024
 
 FOUND = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
          "n_layers long, n_oversized long")
@@ -76,11 +81,10 @@ class Layer:
     Without either it is the document."""
 
     text: str
-    starts: list[int] | None = None
-    ends: list[int] | None = None
+    starts: array | None = None
+    ends: array | None = None
     readable: bool = True
     span: tuple[int, int] | None = None
-    window: bool = False
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.span is not None:
@@ -96,10 +100,10 @@ class Layer:
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match decoded; ``decode`` gives (letter, start, end in the match) triples, or None to leave it."""
-    letters, starts, ends, at, changed = [], [], [], 0, False
+    letters, starts, ends, at, changed = StringIO(newline=""), array("i"), array("i"), 0, False
 
     def copy(a: int, b: int) -> None:
-        letters.append(layer.text[a:b])
+        letters.write(layer.text[a:b])
         if layer.span is not None:
             return
         starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
@@ -112,7 +116,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         copy(at, m.start())
         for letter, a, b in decoded:
             start, end = layer.origin(m.start() + a, m.start() + b)
-            letters.append(letter)
+            letters.write(letter)
             starts.append(start)
             ends.append(end)
         at, changed = m.end(), True
@@ -120,59 +124,69 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         return None
     copy(at, len(layer.text))
     if layer.span is not None:
-        return Layer("".join(letters), span=layer.span)
-    return Layer("".join(letters), starts, ends)
+        return Layer(letters.getvalue(), span=layer.span)
+    return Layer(letters.getvalue(), starts, ends)
 
 
-def _letters_of_bytes(raw: bytes, width: int) -> list[tuple[str, int, int]]:
-    """Letters of UTF-8 bytes that are written ``width`` characters each; what is no UTF-8 counts byte by byte."""
-    out, k = [], 0
-    while k < len(raw):
-        size = 1 if raw[k] < 0xC0 else 2 if raw[k] < 0xE0 else 3 if raw[k] < 0xF0 else 4
-        try:
-            letter = raw[k:k + size].decode()
-        except UnicodeDecodeError:
-            letter, size = raw[k:k + 1].decode("latin-1"), 1
-        out.append((letter, k * width, (k + size) * width))
-        k += size
-    return out
-
-
-def _byte_letter(error: UnicodeDecodeError) -> tuple[str, int]:
-    return error.object[error.start:error.end].decode("latin-1"), error.end
+def _blocks_of_letters(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Letters of UTF-8 bytes, in blocks, and the places among the bytes where each begins and ends; what is no UTF-8 counts byte by byte."""
+    text, at = raw.decode("utf-8", "surrogateescape"), 0
+    for k in range(0, len(text), BLOCK_LETTERS):
+        codes = np.frombuffer(text[k:k + BLOCK_LETTERS].encode("utf-32-le", "surrogatepass"), "<u4")
+        alone = (codes >= 0xDC80) & (codes <= 0xDCFF)  # a byte by itself: UTF-8 has no surrogates
+        sizes = np.where(alone, 1, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+        after = at + np.cumsum(sizes)
+        at = int(after[-1])
+        yield np.where(alone, codes - 0xDC00, codes).astype("<u4").tobytes().decode("utf-32-le"), after - sizes, after
 
 
-codecs.register_error("quillmetric-bytes", _byte_letter)
+def _letters_of_bytes(raw: bytes, width: int) -> Iterator[tuple[str, int, int]]:
+    """Letters of UTF-8 bytes that are written ``width`` characters each; what is no UTF-8 counts byte by byte."""
+    if raw.isascii():
+        yield from zip(raw.decode(), range(0, len(raw) * width, width), range(width, len(raw) * width + 1, width))
+        return
+    for letters, first, after in _blocks_of_letters(raw):
+        yield from zip(letters, (first * width).tolist(), (after * width).tolist())
 
 
 def _text(raw: bytes) -> tuple[str, bool]:
     """The text of all bytes, what is no UTF-8 byte by byte, and whether it reads as plain text."""
-    text = raw.decode("utf-8", "quillmetric-bytes")
-    return text, bool(text) and not _UNPRINTABLE.search(text) and text.encode("utf-8", "surrogatepass") == raw
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return "".join(letters for letters, _, _ in _blocks_of_letters(raw)), False
+    return text, bool(text) and not _UNPRINTABLE.search(text)
 
 
-def _wide(run: str) -> list[tuple[str, int, int]]:
+def _wide(run: str) -> Iterator[tuple[str, int, int]]:
     """Letters of a run of UTF-16, in either order of bytes; each comes from two letters of the run."""
-    return [(letter, 2 * k, 2 * k + 2) for k, letter in enumerate(run.replace("\0", ""))]
+    return ((letter, 2 * k, 2 * k + 2) for k, letter in enumerate(run.replace("\0", "")))
 
 
-def _url(run: str) -> list[tuple[str, int, int]]:
+def _url(run: str) -> Iterator[tuple[str, int, int]]:
     return _letters_of_bytes(bytes.fromhex(run.replace("%", "")), 3)
 
 
-def _unicode(run: str) -> list[tuple[str, int, int]] | None:
+def _units(run: str) -> Iterator[tuple[str, int, int]]:
+    """Letters of a run of four-digit escapes; two halves of a surrogate pair are one."""
+    k = 0
+    while k < len(run):
+        unit, size = int(run[k + 2:k + 6], 16), 6
+        if 0xD800 <= unit < 0xDC00 and k + 6 < len(run):
+            low = int(run[k + 8:k + 12], 16)
+            if 0xDC00 <= low < 0xE000:
+                unit, size = 0x10000 + ((unit - 0xD800) << 10) + (low - 0xDC00), 12
+        yield chr(unit), k, k + size
+        k += size
+
+
+def _unicode(run: str) -> Iterator[tuple[str, int, int]] | list[tuple[str, int, int]] | None:
     if run.startswith("&#"):
         return [(letter, 0, len(run)) for letter in html.unescape(run)]
     if run.startswith("\\x"):
         return _letters_of_bytes(bytes.fromhex(run.replace("\\x", "")), 4)
     if run.startswith("\\u") and run[2] != "{":
-        units, out, k = [int(u, 16) for u in run.split("\\u")[1:]], [], 0
-        while k < len(units):
-            pair = 0xD800 <= units[k] < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1] < 0xE000
-            code = 0x10000 + ((units[k] - 0xD800) << 10) + (units[k + 1] - 0xDC00) if pair else units[k]
-            out.append((chr(code), 6 * k, 6 * (k + 1 + pair)))
-            k += 1 + pair
-        return out
+        return _units(run)
     code = int(run[3:-1] if run[2] == "{" else run[2:], 16)
     return [(chr(code), 0, len(run))] if code < 0x110000 else None
 
@@ -193,14 +207,14 @@ def _plain_blocks(raw: bytes, at: int) -> Iterator[tuple[bytes, int | None]]:
 
     Data that stop short or break give what comes before.
     """
-    stream, fed, first = _stream(raw, at), at, True
+    stream, fed, step = _stream(raw, at), at, FIRST_BYTES
     while stream is not None:
         try:
             while not stream.eof:
                 data = getattr(stream, "unconsumed_tail", b"")
                 if not data and getattr(stream, "needs_input", True):
-                    data = raw[fed:fed + BLOCK_BYTES]
-                    fed += len(data)
+                    data = raw[fed:fed + step]
+                    fed, step = fed + len(data), min(BLOCK_BYTES, 4 * step)
                     if not data:
                         break
                 block = stream.decompress(data, BLOCK_BYTES)
@@ -270,7 +284,7 @@ def _packed_layers(raw: bytes, origin: Callable[[int, int], tuple[int, int]], li
                     if end is not None:
                         at = end
                         continue
-                    yield Layer(_text(window)[0], readable=False, span=place, window=True)
+                    yield Layer(_text(window)[0], readable=False, span=place)
                     yield from _packed_layers(window, origin, limit, place, seen)
                 continue
             plain = b"".join(kept)
@@ -290,7 +304,7 @@ def _escaped_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
     if "\\x" in layer.text:
         found += [(m, _X_BYTE) for m in _X_BYTES.finditer(layer.text) if "\\x" in m.group()]
     for m, unit in found:
-        raw, places = bytearray(), [m.start()]
+        raw, places = bytearray(), array("i", [m.start()])
         pluses = []
         for x in unit.finditer(m.group()):
             if x[0] == "+":
@@ -306,18 +320,41 @@ def _escaped_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
             yield from _packed_layers(data, lambda a, b: layer.origin(places[a], places[b]), limit)
 
 
-def _base64_runs(text: str) -> Iterator[tuple[str, list[int] | range]]:
+def _base64_runs(text: str) -> Iterator[tuple[str, array | range]]:
     """Base64 letters and their places, those of the padding last: every run of a line, and every run that goes on over line ends."""
     for m in _BASE64.finditer(text):
         yield m.group().rstrip("="), range(m.start(), m.end())
     if "\n" in text or "\\n" in text:
         for m in _WRAPPED.finditer(text):
-            letters, places, at = [], [], m.start()
+            letters, places, at = StringIO(newline=""), array("i"), m.start()
             for gap in _BREAK.finditer(text, m.start(), m.end()):
-                letters.append(text[at:gap.start()])
+                letters.write(text[at:gap.start()])
                 places.extend(range(at, gap.start()))
                 at = gap.end()
-            yield "".join(letters) + text[at:m.end()].rstrip("="), places + list(range(at, m.end()))
+            letters.write(text[at:m.end()].rstrip("="))
+            places.extend(range(at, m.end()))
+            yield letters.getvalue(), places
+
+
+def _mapped(layer: Layer, raw: bytes, places: array | range, skip: int) -> tuple[array, array]:
+    """Where the letters of bytes come from that the base64 letters at ``places``, but for the first ``skip``, decode to: three bytes
+    are four of these."""
+    starts, ends = array("i"), array("i")
+    for _, first, after in _blocks_of_letters(raw):
+        a = skip + first // 3 * 4
+        b = np.minimum(skip + (after - 1) // 3 * 4 + 4, len(places)) - 1
+        if isinstance(places, range):
+            a, b = a + places.start, b + places.start
+        else:
+            known = np.frombuffer(places, np.int32)
+            a, b = known[a], known[b]
+        if layer.starts is None:
+            b = b + 1
+        else:
+            a, b = np.frombuffer(layer.starts, np.int32)[a], np.frombuffer(layer.ends, np.int32)[b]
+        starts.frombytes(a.astype(np.int32).tobytes())
+        ends.frombytes(b.astype(np.int32).tobytes())
+    return starts, ends
 
 
 def _base64_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
@@ -326,9 +363,9 @@ def _base64_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
     for whole, places in _base64_runs(layer.text):
         whole = whole.translate(_TO_STANDARD)
         for skip in range(4):
-            run = whole[skip:]
-            run = run[:-1] if len(run) % 4 == 1 else run
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
+            size = len(whole) - skip
+            size -= size % 4 == 1
+            raw = base64.b64decode(whole[skip:skip + size] + "=" * (-size % 4))
             if not raw:
                 continue
 
@@ -339,51 +376,48 @@ def _base64_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
             text, readable = _text(raw)
             if layer.span is not None:
                 yield Layer(text, readable=readable, span=layer.span)
-                continue
-            letters, starts, ends = [], [], []
-            for letter, first, after in _letters_of_bytes(raw, 1):
-                a, b = origin(first, after)
-                letters.append(letter)
-                starts.append(a)
-                ends.append(b)
-            yield Layer("".join(letters), starts, ends, readable)
+            else:
+                yield Layer(text, *_mapped(layer, raw, places, skip), readable)
+
+
+def _inner_layers(layer: Layer, limit: int | None) -> Iterator[Layer | None]:
+    """What one step of decoding gives, one layer at a time; None for an oversized one."""
+    ways = [("\0" in layer.text, _WIDE, _wide), ("%" in layer.text, _URL, _url),
+            ("\\" in layer.text or "&#" in layer.text, _UNICODE, _unicode)]
+    for there, pattern, decode in ways:
+        replaced = _replaced(layer, pattern, decode) if there else None
+        if replaced is not None:
+            yield replaced
+    yield from chain(_base64_layers(layer, limit), _escaped_layers(layer, limit))
 
 
 def unwrap(text: str, limit: int | None = None) -> tuple[set[tuple[int, int, int]], int, int]:
-    """Spans of secrets in decoded layers, the number of layers that read as text or hold one, and how many were oversized."""
+    """Spans of secrets in decoded layers, the number of layers that read as text or hold one, and how many were oversized.
+
+    The worklist is a stack of steps that are not yet done: a layer is made when its turn comes and goes when all inside it is done, so
+    a text's layers are in memory only along one path of decoding, with four bytes for each letter's beginning and end.
+    """
     found: set[tuple[int, int, int]] = set()
     seen, layers, oversized = set(), 0, 0
-
-    def work(first: Layer) -> None:
-        nonlocal layers, oversized
-        waiting = deque([first])
-        while waiting:
-            layer = waiting.popleft()
-            if layer.starts is not None or layer.span is not None:
-                key = layer.key()
-                if key in seen:  # the same text from the same place: a cycle or another order of decoding
-                    continue
-                seen.add(key)
-                spans = scan(layer.text)
-                layers += layer.readable or bool(spans)
-                for start, kind, end in spans:
-                    a, b = layer.origin(start, end)
-                    found.add((a, kind, b))
-            if "\0" in layer.text:
-                waiting.append(_replaced(layer, _WIDE, _wide))
-            if "%" in layer.text:
-                waiting.append(_replaced(layer, _URL, _url))
-            if "\\" in layer.text or "&#" in layer.text:
-                waiting.append(_replaced(layer, _UNICODE, _unicode))
-            for inner in chain(_base64_layers(layer, limit), _escaped_layers(layer, limit)):
-                oversized += inner is None
-                if inner is not None and inner.window:  # at once, so that one window is there at a time
-                    work(inner)
-                else:
-                    waiting.append(inner)
-            waiting = deque(x for x in waiting if x is not None)
-
-    work(Layer(text))
+    waiting: list[Iterator[Layer | None]] = [_inner_layers(Layer(text), limit)]
+    while waiting:
+        for layer in waiting[-1]:
+            if layer is None:
+                oversized += 1
+                continue
+            key = layer.key()
+            if key in seen:  # the same text from the same place: a cycle or another order of decoding
+                continue
+            seen.add(key)
+            spans = scan(layer.text)
+            layers += layer.readable or bool(spans)
+            for start, kind, end in spans:
+                a, b = layer.origin(start, end)
+                found.add((a, kind, b))
+            waiting.append(_inner_layers(layer, limit))
+            break
+        else:
+            waiting.pop()
     return found, layers, oversized
 
 

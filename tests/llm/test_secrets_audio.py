@@ -6,7 +6,10 @@ import gzip
 import hashlib
 import io
 import lzma
+import pathlib
 import re
+import subprocess
+import sys
 import tarfile
 import urllib.parse
 import zlib
@@ -207,3 +210,21 @@ def test_oversized_layers_are_scanned(monkeypatch, kind, inner, place):
 def test_layers_beyond_the_limit_of_the_module():
     coded = base64.b64encode(zlib.compress(b" " * (secret_scan.LAYER_BYTES + 10) + SECRET.encode())).decode()
     assert secret_scan.unwrap(coded)[0] == {(0, 0, len(coded))} and len(coded) < 100_000
+
+
+def test_a_very_long_base64_run_takes_bounded_memory():
+    """Six million letters, some bytes of them no UTF-8: layers come one at a time, with eight bytes of places a letter."""
+    code = """
+import base64, resource
+from quillmetric.llm import secret_scan
+word = b"plain words, "
+raw = word * 170_000 + b"\\xff\\xfe password=Secret123456 " + word * 170_000
+text = "x " + base64.b64encode(raw).decode() + " y"
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+found, layers, oversized = secret_scan.unwrap(text)
+first, after = (len(word) * 170_000 + 3) // 3 * 4 + 2, -(-(len(word) * 170_000 + 24) // 3) * 4 + 2
+assert (first, 0, after) in found and oversized == 0, found
+assert peak() - before < 250, peak() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=pathlib.Path(__file__).resolve().parents[2])
