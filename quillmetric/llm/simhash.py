@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmetric.llm.components import components
-from quillmetric.llm.work import Workspace, slices, small, text_or_empty
+from quillmetric.llm.work import Workspace, give_back, slices, small, text_or_empty
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -142,9 +142,14 @@ def word_prints(text: str, views: int = VIEWS) -> list[int]:
     return found
 
 
+def least_hashes(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """The ``size`` least different hashes, ascending, in 32 bits; all of them if there are fewer."""
+    return np.unique(hashes >> np.uint64(32)).astype(np.uint32)[:size]
+
+
 def shingle_sketch(text: str, size: int = SKETCH, width: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """The ``size`` least different shingle hashes, ascending, in 32 bits; all of them if there are fewer."""
-    return np.unique(shingle_hashes(text, width) >> np.uint64(32)).astype(np.uint32)[:size]
+    """The least hashes of a text's shingles."""
+    return least_hashes(shingle_hashes(text, width), size)
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -223,14 +228,18 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            hashes = [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)) for t in texts]
+            prints, sizes, sketches = [], [], []
+            for value in batch.column("text"):  # one text and its hashes at a time
+                text = value.as_py()
+                hashes = np.unique(shingle_hashes(text, SIMILAR_SHINGLE))
+                prints.append(word_prints(text, views))
+                sizes.append(len(hashes))
+                sketches.append(least_hashes(hashes).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"),
-                 pa.array([word_prints(t, views) for t in texts], pa.list_(pa.int64())),
-                 pa.array([len(h) for h in hashes], pa.int64()),
-                 pa.array([shingle_sketch(t).tobytes() for t in texts], pa.binary())],
+                [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(prints, pa.list_(pa.int64())),
+                 pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
                 ["doc_id", "_k1", "_k2", "prints", "shingles", "sketch"])
+        give_back()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -238,17 +247,20 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
             verdicts = [sketch_verdict(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity)
                         for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(verdicts, pa.bool_())], ["a", "b", "alike"])
+        give_back()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _SETS):
             sets = [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+        give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _SETS):
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             met = [alike_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(left, right)]
             yield batch.select(["a", "b"]).filter(pa.array(met, pa.bool_()))
+        give_back()
 
     rows = text_keys(docs.select("doc_id", "text")).drop("_row")
     described = rows.mapInArrow(describe, "doc_id long, _k1 long, _k2 long, prints array<long>, shingles long, sketch binary")
