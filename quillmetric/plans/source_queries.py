@@ -203,6 +203,21 @@ def s_files(spark, sf_dir):
     return markdown.inventory(files, folder, ("scripts", "assets")).select("folder", "files", "lines", "has_main", "has_scripts", "has_assets")
 
 
+#: A written file holds at most so many texts, so that it fits a row when it is read back.
+TEXTS_PER_FILE = 1000
+
+
+@query("s_files_read", """SELECT lang, source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes,
+    CAST(sum(len(text) - len(replace(text, chr(10), '')) + 1) AS BIGINT) AS line_ends FROM documents WHERE lang <> 'en' AND text IS NOT NULL GROUP BY ALL""")
+def s_files_read(spark, sf_dir):
+    work = new_work_path(spark, "files")
+    texts = table(spark, sf_dir, "documents", "lang", "source", "text").filter("text IS NOT NULL")
+    texts.write.partitionBy("lang", "source").option("maxRecordsPerFile", TEXTS_PER_FILE).text(f"{work}/tree")
+    files = markdown.read_files(spark, f"{work}/tree", "*.txt", partitions=True).filter("lang <> 'en'")
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return files.groupBy("lang", "source").agg(F.sum("length").alias("bytes"), F.sum(ends).cast("bigint").alias("line_ends"))
+
+
 @query("s_categorise", """WITH f AS (SELECT source AS folder, bool_or(contains(lower(text), 'worthless')) AS a1, bool_or(contains(lower(text), 'stupid ')) AS a2,
     bool_or(contains(lower(text), 'password')) AS s1 FROM documents GROUP BY 1)
   SELECT folder, CASE WHEN s1 THEN 'stays as is' WHEN a1 OR a2 THEN 'adaptable' ELSE 'safe to migrate' END AS category,

@@ -146,10 +146,17 @@ SETUP_WORDS = ("npm run", "yarn", "pnpm", "docker", "make install")
 CLASS_NAMES = ("safe to migrate", "adaptable", "stays as is")
 
 
-def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder: path, length, text (empty for files that are not UTF-8)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root))
-    return files.select("path", "length", F.coalesce(F.try_validate_utf8("content"), F.lit("")).alias("text"))
+def read_files(spark: SparkSession, root: str, pattern: str = "*", partitions: bool = False) -> DataFrame:
+    """Files below a folder: path, file_name, length, text (empty for files that are not UTF-8).
+
+    Spark's file sources list no files without content, so an empty file gives no row. With ``partitions`` folders
+    named ``key=value`` give columns, and filters on these skip whole folders; otherwise folders of any depth are read.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    files = (reader if partitions else reader.option("recursiveFileLookup", "true")).load(root)
+    keys = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    return files.select("path", F.col("_metadata.file_name").alias("file_name"), "length",
+                        F.coalesce(F.try_validate_utf8("content"), F.lit("")).alias("text"), *[F.col(f"`{k}`") for k in keys])
 
 
 def inventory(files: DataFrame, folder: Column, subfolders: Sequence[str] = ("scripts", "references", "assets"),

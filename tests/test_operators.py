@@ -439,3 +439,25 @@ def test_dictionary_of_100000_terms(spark):
         assert sorted(r["hits"]) == sorted(f"w{n} x{n % 7}" for n in want)
         assert r["hits"] == sorted(r["hits"], key=lambda t: (int(t[1:].split()[0]) % 5, int(t[1:].split()[0])))
     assert len(rows_) > 100
+
+
+def test_files_of_nested_folders(spark, tmp_path):
+    from quillmetric.sources import markdown
+    files = {"a/SKILL.md": b"one\ntwo\n", "a/scripts/deep/x.md": "caf\u00e9".encode(), "b/empty.md": b"", "b/raw.md": b"\xff\xfe", "b/skip.txt": b"no"}
+    for name, content in files.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(content)
+    read = markdown.read_files(spark, str(tmp_path / "t"), "*.md")
+    assert rows(read, "file_name", "length", "text") == [("SKILL.md", 8, "one\ntwo\n"), ("raw.md", 2, ""), ("x.md", 5, "caf\u00e9")]
+    folder = F.regexp_extract("path", "/t/([^/]+)/", 1)
+    assert rows(markdown.inventory(read, folder), "folder", "files", "lines", "has_main", "has_scripts") == [
+        ("a", 2, 3, True, True), ("b", 1, 0, False, False)]
+
+
+def test_files_of_other_partitions_are_not_read(spark, tmp_path):
+    from quillmetric.sources import markdown
+    data = spark.createDataFrame([("en", "x"), ("de", "y"), ("de", "z")], "lang string, text string")
+    data.coalesce(1).write.partitionBy("lang").text(str(tmp_path / "t"))
+    read = markdown.read_files(spark, str(tmp_path / "t"), "*.txt", partitions=True).filter("lang = 'de'")
+    assert "PartitionFilters: [isnotnull(lang" in read._jdf.queryExecution().executedPlan().toString()
+    assert rows(read, "lang", "length", "text") == [("de", 4, "y\nz\n")]
