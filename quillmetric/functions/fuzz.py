@@ -3,7 +3,8 @@
 All ratios rest on the longest common subsequence of two strings, found by a bit-parallel fold: one side is turned into bit masks per
 letter (words of 62 bits, so that sums stay within a long), the letters of the other are folded over them. Words and windows of the masked side
 are chosen by clearing the other bits, so one set of masks serves all ratios; wanted strings are parameters, and their masks are constants of
-the plan. A count of common letters bounds the windowed ratio, which is left out where it cannot change the result.
+the plan. A count of common letters bounds all ratios: candidates are met in order of their bound, and a fold is left out where it cannot
+change the result.
 
 The expressions are written as SQL text: there are many small ones, and a text is parsed at once.
 """
@@ -152,7 +153,7 @@ def _span_word(start: str, length: str, w: str) -> str:
 class _Bits:
     """A string as bit masks per letter; ``one_word`` is None if that shows only row by row."""
 
-    masks: str
+    masks: str  # numbers if ``one_word``, else arrays of them
     n_words: str
     one_word: bool | None
 
@@ -162,7 +163,10 @@ class _Bits:
         masks: dict[str, list[int]] = {}
         for i, letter in enumerate(text):
             masks.setdefault(letter, [0] * n)[i // WORD_BITS] |= 1 << i % WORD_BITS
-        entries = [f"{_quoted(letter)}, array({', '.join(f'{w}L' for w in words)})" for letter, words in masks.items()]
+        def value(words: list[int]) -> str:
+            return f"{words[0]}L" if n == 1 else f"array({', '.join(f'{w}L' for w in words)})"
+
+        entries = [f"{_quoted(letter)}, {value(words)}" for letter, words in masks.items()]
         return cls(f"map({', '.join(entries)})", str(n), n == 1)
 
     @classmethod
@@ -181,8 +185,8 @@ class _Bits:
 
     def hits(self, letters: str) -> str:
         """The masks of each letter of the other string."""
-        found = _each(letters, lambda x: f"coalesce(try_element_at({self.masks}, {x}), array_repeat(0L, {self.n_words}))")
-        return _each(found, lambda m: f"get({m}, 0)") if self.one_word else found
+        none = "0L" if self.one_word else f"array_repeat(0L, {self.n_words})"
+        return _each(letters, lambda x: f"coalesce(try_element_at({self.masks}, {x}), {none})")
 
     def span(self, start: str, length: str) -> str:
         """The bits of a part of the string, word by word."""
@@ -254,11 +258,11 @@ def _own_words(a: _Wanted, p: str) -> str:
     return f"({a.own.common(a.own.hits(letters), only)} - 1)"
 
 
-def _set_ratio(p: str) -> str:
+def _set_ratio(p: str, common: str) -> str:
     """Best ratio among the shared words and each side's shared-plus-own words; the shared words lead both longer strings."""
     left, right = f"({p}.n_shared + 1 + {p}.n_a)", f"({p}.n_shared + 1 + {p}.n_b)"
-    return (f"CASE WHEN {p}.n_shared = 0 THEN {_ratio(f'{p}.common', f'{p}.n_a + {p}.n_b')} WHEN {p}.n_a = 0 OR {p}.n_b = 0 THEN 100D "
-            f"ELSE greatest({_ratio(f'({p}.n_shared + 1 + {p}.common)', f'{left} + {right}')}, {_ratio(f'{p}.n_shared', f'{p}.n_shared + {left}')}, "
+    return (f"CASE WHEN {p}.n_shared = 0 THEN {_ratio(common, f'{p}.n_a + {p}.n_b')} WHEN {p}.n_a = 0 OR {p}.n_b = 0 THEN 100D "
+            f"ELSE greatest({_ratio(f'({p}.n_shared + 1 + {common})', f'{left} + {right}')}, {_ratio(f'{p}.n_shared', f'{p}.n_shared + {left}')}, "
             f"{_ratio(f'{p}.n_shared', f'{p}.n_shared + {right}')}) END")
 
 
@@ -301,48 +305,66 @@ def _part_ratio(a: _Wanted, p: str) -> str:
 
     Of strings of equal length either may be the one that is cut; the better direction counts.
     """
-    hits, back, n, m = f"{p}.hits", f"{p}.back_hits", f"size({p}.hits)", a.size
+    hits, n, m = f"{p}.hits", f"size({p}.hits)", a.size
     in_b = _windows(m, f"({n} - {m} + 1)", f"least({p}.met, {m})", lambda i: a.whole.common(f"slice({hits}, {i} + 1, {m})"))
     in_a = _windows(n, f"({m} - {n} + 1)", f"least({p}.met, {n})", lambda i: a.whole.common(hits, a.whole.span(i, n)))
-    cut_b = f"{_first_letters(a.whole, hits, m)}, {_first_letters(a.back, back, m)}"
-    cut_a = f"{_own_first_letters(a.whole, hits)}, {_own_first_letters(a.back, back)}"
+
+    def best(back: str) -> str:
+        cut_b = f"{_first_letters(a.whole, hits, m)}, {_first_letters(a.back, back, m)}"
+        cut_a = f"{_own_first_letters(a.whole, hits)}, {_own_first_letters(a.back, back)}"
+        return (f"CASE WHEN {m} < {n} THEN greatest({_ratio(in_b, f'{m} + {m}')}, {cut_b}) WHEN {m} > {n} THEN greatest({_ratio(in_a, f'{n} + {n}')}, {cut_a}) "
+                f"ELSE greatest({_ratio(a.whole.common(hits), f'{n} + {n}')}, {cut_b}, {cut_a}) END")
+
     return (f"CASE WHEN contains({a.text}, {p}.text) OR contains({p}.text, {a.text}) THEN 100D "
-            f"WHEN {m} < {n} THEN greatest({_ratio(in_b, f'{m} + {m}')}, {cut_b}) WHEN {m} > {n} THEN greatest({_ratio(in_a, f'{n} + {n}')}, {cut_a}) "
-            f"ELSE greatest({_ratio(a.whole.common(hits), f'{n} + {n}')}, {cut_b}, {cut_a}) END")
+            f"ELSE {_let(a.back.hits(_letters(f'reverse({p}.text)')), best)} END")
 
 
 def _better(a: _Wanted, held: str, p: str, strict: bool) -> str:
-    """The larger of ``held`` and the weighted blend of the three ratios; the windowed one is left out if it cannot win.
+    """The larger of ``held`` and the weighted blend of the three ratios; what cannot win is left out, from the bounds on.
 
     With ``strict``, a part match inside an unrelated word does not count.
     """
-    part = _part_ratio(a, p)
-    if strict:
-        apart = f"size(array_except({a.words}, split({p}.text, '[^\\\\p{{L}}\\\\p{{N}}_]+'))) > 0"
-        part = _let(part, lambda x: f"if({x} > {p}.whole AND {apart}, {p}.whole, {x})")
-    return f"if({p}.known + {W_PART}D * {p}.most <= {held}, {held}, greatest({held}, {p}.known + {W_PART}D * {part}))"
+    ordered = _ratio(a.sorted.common(a.sorted.hits(_letters(f"{p}.sorted"))), f"{a.sorted_size} + char_length({p}.sorted)")
+
+    def blend(whole: str, known: str) -> str:
+        part = _part_ratio(a, p)
+        if strict:
+            apart = f"size(array_except({a.words}, split({p}.text, '[^\\\\p{{L}}\\\\p{{N}}_]+'))) > 0"
+            part = _let(part, lambda x: f"if({x} > {whole} AND {apart}, {whole}, {x})")
+        return f"if({known} + {W_PART}D * {p}.most <= {held}, {held}, greatest({held}, {known} + {W_PART}D * {part}))"
+
+    whole = _let(f"if({p}.n_a = 0 OR {p}.n_b = 0, 0, {_own_words(a, p)})", lambda common: _set_ratio(p, common))
+    exact = _let(whole, lambda w: _let(f"{W_SET}D * {w} + {W_SORT}D * {ordered}", lambda known: blend(w, known)))
+    return f"if({p}.bound <= {held}, {held}, {exact})"
+
+
+def _bound(a: _Wanted, p: str) -> str:
+    """What the blend can be at most, by the letters met: sorted words and own words have no letters but those of the strings."""
+    own = _ratio(f"least({p}.met, {p}.n_a, {p}.n_b)", f"{p}.n_a + {p}.n_b")
+    ordered = _ratio(f"least({p}.met, {a.sorted_size}, char_length({p}.sorted))", f"{a.sorted_size} + char_length({p}.sorted)")
+    return f"{W_SET}D * if({p}.n_shared > 0, 100D, {own}) + {W_SORT}D * {ordered} + {W_PART}D * {p}.most"
 
 
 def _with_best(df: DataFrame, a: _Wanted, strict: bool) -> DataFrame:
     """Raise ``_best`` to the best blend of ``a`` with the ``_sides``. One layer of columns per step keeps each short to plan."""
     fields = ["text", "sorted", "words"]
 
-    def layer(df: DataFrame, **more: Callable[[str], str]) -> DataFrame:
+    def layer(df: DataFrame, first: bool = False, **more: Callable[[str], str]) -> DataFrame:
+        old = [lambda p, f=f: f"'{f}', {p}.{f}" for f in fields]
+        new = [lambda p, name=name, use=use: f"'{name}', {use(p)}" for name, use in more.items()]
         pairs = _each("_sides" if len(fields) == 3 else "_pairs", lambda p: "named_struct(" + ", ".join(
-            [f"'{f}', {p}.{f}" for f in fields] + [f"'{name}', {use(p)}" for name, use in more.items()]) + ")")
+            x(p) for x in (new + old if first else old + new)) + ")")
         fields.extend(more)
         return df.withColumn("_pairs", F.expr(pairs))
 
-    df = layer(df, shared=lambda p: f"array_intersect({p}.words, {a.words})")
-    df = layer(df, own_b=lambda p: f"array_except({p}.words, {p}.shared)", n_shared=lambda p: f"char_length({_joined(f'{p}.shared')})")
+    df = layer(df, shared=lambda p: f"array_intersect({p}.words, {a.words})", hits=lambda p: a.whole.hits(_letters(f"{p}.text")))
+    df = layer(df, own_b=lambda p: f"array_except({p}.words, {p}.shared)", n_shared=lambda p: f"char_length({_joined(f'{p}.shared')})",
+               met=lambda p: a.whole.letters_met(f"{p}.hits"), shorter=lambda p: f"least({a.size}, size({p}.hits))")
     df = layer(df, n_a=lambda p: f"char_length({_joined(f'array_except({a.words}, {p}.shared)')})", n_b=lambda p: f"char_length({_joined(f'{p}.own_b')})",
-               common=lambda p: _own_words(a, p), hits=lambda p: a.whole.hits(_letters(f"{p}.text")),
-               back_hits=lambda p: a.back.hits(_letters(f"reverse({p}.text)")),
-               ordered=lambda p: _ratio(a.sorted.common(a.sorted.hits(_letters(f"{p}.sorted"))), f"{a.sorted_size} + char_length({p}.sorted)"))
-    df = layer(df, whole=_set_ratio, met=lambda p: a.whole.letters_met(f"{p}.hits"), shorter=lambda p: f"least({a.size}, size({p}.hits))")
-    df = layer(df, known=lambda p: f"{W_SET}D * {p}.whole + {W_SORT}D * {p}.ordered",
                most=lambda p: _ratio(f"least({p}.met, {p}.shorter)", f"{p}.shorter + least({p}.met, {p}.shorter)"))
-    return df.withColumn("_best", F.expr(_fold("_pairs", "_best", lambda held, p: _better(a, held, p, strict)))).drop("_pairs")
+    df = layer(df, first=True, bound=lambda p: _bound(a, p))
+    best = _fold("sort_array(_pairs, false)", "_best", lambda held, p: _better(a, held, p, strict))
+    return df.withColumn("_best", F.expr(best)).drop("_pairs")
 
 
 def _finished(df: DataFrame, out: str, score: Column, helpers: Sequence[str]) -> DataFrame:

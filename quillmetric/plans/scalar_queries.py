@@ -12,6 +12,7 @@ from quillmetric.functions import dates, fuzz, numbers, people, text, urls
 from quillmetric.operators.mail import header, sender_domain
 from quillmetric.plans import fuzz_sql
 from quillmetric.plans.registry import query
+from quillmetric.session import spread
 from quillmetric.tables import NOW_MILLIS, TEXT_POSTS, table, with_sql
 
 
@@ -313,7 +314,7 @@ FUZZ_SQL = f"""WITH pairs AS (SELECT p_partkey AS id, {fuzz_sql.plain('p_name')}
 
 @query("x_fuzz", FUZZ_SQL)
 def x_fuzz(spark, sf_dir):
-    df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
+    df = spread(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type"))
     scored = fuzz.with_similarity(df, "score", F.col("p_name"), F.concat_ws(" ", "p_type", "p_name"))
     return scored.select("p_partkey", F.round("score", 2).alias("similarity"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -49,3 +49,17 @@ def new_work_path(spark: SparkSession, label: str) -> str:
     files.mkdirs(place)
     files.deleteOnExit(place)  # only what exists can be marked
     return f"{folder}/data"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, for work that costs more than reading: a small file is read by one task or a few."""
+    session = df.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism * 2, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows once written and read again, where they would be computed once more, as a sort does to find its ranges."""
+    path = new_work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
