@@ -32,6 +32,9 @@ NUMBER_STRICT = r"(?U)(?<![\w/])\+?\d[\d\s().-]{8,}\d(?![\w/])"
 RELEVANCE_COVERAGE, RELEVANCE_PRECISION, PRECISION_SLACK = 0.65, 0.35, 4
 CLIP_LIMIT = 280
 
+# What (?U)\s matches.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Slice length that takes everything up to the end of an array.
 ALL_REST = 1 << 30
 
@@ -49,7 +52,7 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def squeeze(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmetric.operators import documents, evals, layout, proximity, telemetry
 from quillmetric.plans.registry import query
+from quillmetric.session import spread
 from quillmetric.sources.ledger import parse_entries
 from quillmetric.tables import LEDGER, STAGES, View, table, with_sql
 
@@ -333,7 +334,8 @@ APP = ("'- Target role: ' || CASE WHEN o_orderkey % 6 = 0 THEN 'TBD' ELSE 'Web
 
 
 def applications(spark, sf_dir):
-    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{APP} AS text")
+    orders = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
+    docs = orders.selectExpr("o_orderkey", f"{APP} AS text")
     return documents.prepare_applications(docs, "o_orderkey")
 
 
