@@ -13,7 +13,7 @@ from quillmetric.operators import engagement as eng
 from quillmetric.operators import mail, quality
 from quillmetric.plans.post_queries import TOTAL_SQL, posts
 from quillmetric.plans.registry import query
-from quillmetric.session import new_work_path
+from quillmetric.session import new_work_path, spread
 from quillmetric.sources import html, json_posts, ledger, markdown, sinks
 from quillmetric.tables import POSTS, table, with_sql
 
@@ -280,7 +280,8 @@ PAYLOAD = ("'{\"data\":{\"elements\":[{\"title\":{\"text\":\"Cust ' || c_custkey
     'N' || c_nationkey AS location, '2nd' AS degree, c_mktsegment AS current_company FROM f JOIN customer ON f.c = c_custkey
   UNION ALL SELECT 'https://www.linkedin.com/in/d' || c_custkey, 'Inc ' || c_custkey, '', NULL, '3rd+', NULL FROM customer""")
 def s_entity(spark, sf_dir):
-    payloads = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{PAYLOAD} AS value")
+    people = spread(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey"))
+    payloads = people.selectExpr("c_custkey", f"{PAYLOAD} AS value")
     df = json_posts.entities(payloads, "c_custkey", "value", ("$.data.elements", "$.included"))
     return df.select("profile_url", "name", "headline", "location", "degree", "current_company")
 

@@ -212,30 +212,36 @@ def _level(nodes: DataFrame) -> DataFrame:
 
 
 def _entity_rows(flat: DataFrame, key: str) -> DataFrame:
-    """Rows of the entities ``e``, JSON texts, that are persons; the first of a profile by key and position."""
+    """Rows of the entities ``e``, JSON texts, that are persons; the first of a profile by key and position.
+
+    Members are read from the text once, into columns of their own, as what is made of them needs them many times.
+    """
     from quillmetric.functions.people import degree_code, employer_loose
     from quillmetric.functions.urls import canonical_profile
 
     v = F.col("e")
 
     def text_of(name: str) -> Column:
-        return F.coalesce(_json(v, f"{name}.text"), F.when(~_json(v, name).startswith("{"), _json(v, name)))
+        return F.coalesce(_json(v, f"{name}.text"), bind(_json(v, name), lambda whole: F.when(~whole.startswith("{"), whole)))
 
-    link = _filled(_json(v, "navigationUrl"), _json(v, "targetUrl"), _json(v, "url"))
+    links = [bind(_json(v, n), lambda x: F.nullif(x, F.lit(""))) for n in ("navigationUrl", "targetUrl", "url")]
     by_id = F.concat(F.lit("https://www.linkedin.com/in/"), _json(v, "publicIdentifier"))
-    full = F.coalesce(F.nullif(link, F.lit("")), by_id)
-    url = canonical_profile(F.when(full.startswith("/in/"), F.concat(F.lit("https://www.linkedin.com"), full)).otherwise(full))
-    title = F.coalesce(text_of("title"), F.lit(""))
-    name = bind(strip(F.regexp_replace(title, r"(?s)[\n·•].*$", "")), lambda t: F.when(t != "", t).otherwise(
+    linked = compute_once(flat, _full=F.coalesce(*links, by_id))
+    full = F.col("_full")
+    linked = compute_once(linked, _link=F.when(full.startswith("/in/"), F.concat(F.lit("https://www.linkedin.com"), full)).otherwise(full))
+    linked = persons(compute_once(linked, profile_url=canonical_profile(F.col("_link"))), "profile_url").drop("_full", "_link")
+    read = compute_once(
+        linked, _title=F.coalesce(text_of("title"), F.lit("")), _head=F.coalesce(text_of("primarySubtitle"), text_of("subtitle"), F.lit("")),
+        _place=text_of("secondarySubtitle"), _badge=F.coalesce(text_of("badgeText"), _json(v, "degree"), _json(v, "networkDistance")),
+        _company=F.coalesce(_json(v, "currentCompany.name"), _json(v, "currentCompany")))
+    place = F.col("_place")
+    name = bind(strip(F.regexp_replace("_title", r"(?s)[\n·•].*$", "")), lambda t: F.when(t != "", t).otherwise(
         strip(F.coalesce(_json(v, "actorTitle"), F.lit("")))))
-    head = F.coalesce(text_of("primarySubtitle"), text_of("subtitle"), F.lit(""))
-    place = text_of("secondarySubtitle")
-    badge = F.coalesce(text_of("badgeText"), _json(v, "degree"), _json(v, "networkDistance"))
-    rows = compute_once(
-        flat, profile_url=url, name=name, headline=strip(head),
-        location=F.when(~F.contains(F.lower(place), F.lit("mutual")), strip(place)), degree=degree_code(badge),
-        current_company=F.coalesce(_json(v, "currentCompany.name"), _json(v, "currentCompany"), employer_loose(head))).drop("e")
-    people = persons(rows, "profile_url").filter("name <> ''")
+    people = compute_once(
+        read, name=name, headline=strip(F.col("_head")),
+        location=F.when(~F.contains(F.lower(place), F.lit("mutual")), strip(place)), degree=degree_code(F.col("_badge")),
+        current_company=F.coalesce(F.col("_company"), employer_loose(F.col("_head")))).drop("e", "_title", "_head", "_place", "_badge", "_company")
+    people = people.filter("name <> ''")
     from quillmetric.operators.merge import keep_first
     return keep_first(people, ["profile_url"], [F.col(key), F.col("position")])
 
