@@ -6,6 +6,7 @@ one folder per batch, so that a repeated batch rewrites its own folder only.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -14,9 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, IntegralType, StringType
 
 from quillmetric.operators.telemetry import BREAK_AT
 
+#: Groups that the sessions of the breaker are dealt over.
+BREAKER_GROUPS = 1024
+
 
 def _merged(policy: str, name: str, seq: str) -> Column:
     value, known = F.col(name), F.col(name).isNotNull()
@@ -63,28 +68,60 @@ def latest_rows(spark: SparkSession, out: str, key: str) -> DataFrame:
     return newest.select(key, "_row.*")
 
 
-def breaker_stream(stream: DataFrame, keys: Sequence[str], order: str, row_id: str, failed: str, at: int = BREAK_AT) -> DataFrame:
+def breaker_stream(stream: DataFrame, keys: Sequence[str], order: str, row_id: str, failed: str, at: int = BREAK_AT,
+                   groups: int = BREAKER_GROUPS) -> DataFrame:
     """``row_id, keys, streak, deny_next`` per event: consecutive failures of its session so far, across batches.
 
-    State per session is the number of failures still open; sessions without any have no state. Batches follow the order of the
-    events; a batch may hold them in any order.
+    Sessions are dealt over ``groups`` groups by a hash of their keys, and all sessions of a group are counted at once: a call per
+    session would cost more than its few events. State per group is the number of failures still open in each of its sessions; sessions
+    without any have no state. ``groups`` must not change while a checkpoint lasts. Batches follow the order of the events; a batch may
+    hold them in any order. Keys other than whole numbers, booleans and strings are groups of their own.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    shape = ", ".join(f"{c} {kinds[c]}" for c in (row_id, *keys)) + ", streak int, deny_next boolean"
+    types = {f.name: f.dataType for f in stream.schema}
+    plain = [k for k in keys if isinstance(types[k], (IntegralType, BooleanType)) or types[k] == StringType()]
+    others = [k for k in keys if k not in plain]
+    shape = ", ".join(f"{c} {types[c].simpleString()}" for c in (row_id, *keys)) + ", streak int, deny_next boolean, _no_id boolean"
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carried = state.get[0] if state.exists else 0
-        events = pd.concat(list(frames)).sort_values([order, row_id], ignore_index=True)
-        bad = events[failed].fillna(False).to_numpy(bool)
-        place = np.arange(len(bad))
-        last_good = np.maximum.accumulate(np.where(bad, -1, place))
-        streak = place - last_good + np.where(last_good < 0, carried, 0)
-        streak = np.where(bad, streak, 0).astype("int32")
-        if streak[-1]:
-            state.update((int(streak[-1]),))
+        named = [k for k, absent in zip(plain, key[1:]) if not absent]  # the other ones are null in the whole group
+        events = pd.concat(list(frames), ignore_index=True)
+        session = events.groupby(named, sort=False).ngroup() if named else 0
+        events = events.assign(_session=session).sort_values(["_session", "_no_order", "_order", "_no_id", "_id"], ignore_index=True)
+        session = events["_session"].to_numpy()
+        place = np.arange(len(events))
+        first = np.flatnonzero(np.diff(session, prepend=-1))  # of each session, in the order of their numbers
+        last = np.append(first[1:], len(events)) - 1
+        sessions = [events[k].to_numpy()[first] for k in named]
+        carried, kept = np.zeros(len(first), dtype="int64"), []
+        if state.exists:
+            *known, open_counts = json.loads(state.get[0])
+            number = {values: n for n, values in enumerate(zip(*[v.tolist() for v in sessions]))} if named else {(): 0}
+            for *values, n in zip(*known, open_counts):
+                if tuple(values) in number:
+                    carried[number[tuple(values)]] = n
+                else:
+                    kept.append((*values, n))
+        bad = events["_failed"].to_numpy(bool)
+        begin = first[session]
+        last_good = np.maximum(np.maximum.accumulate(np.where(bad, -1, place)), begin - 1)
+        streak = np.where(bad, place - last_good + np.where(last_good < begin, carried[session], 0), 0).astype("int32")
+        kept += [(*values, n) for *values, n in zip(*[v.tolist() for v in sessions], streak[last].tolist()) if n]
+        if kept:
+            state.update((json.dumps(list(zip(*kept))),))
         elif state.exists:
             state.remove()
-        yield events[[row_id, *keys]].assign(streak=streak, deny_next=streak >= at)
-
-    return stream.select(row_id, *keys, order, failed).groupBy(*keys).applyInPandasWithState(
-        count, shape, "open_failures int", "append", GroupStateTimeout.NoTimeout)
+        out = events[[*keys, "_no_id"]].assign(**{row_id: events["_id"]}, streak=streak, deny_next=streak >= at)
+        yield out[[row_id, *keys, "streak", "deny_next", "_no_id"]]
+
+    def whole(name: str) -> Column:
+        """Without nulls where a null would make floating-point numbers of all whole ones."""
+        return F.coalesce(name, F.lit(0).cast(types[name])) if isinstance(types[name], IntegralType) else F.col(name)
+
+    group = F.pmod(F.xxhash64(*plain), F.lit(groups)) if plain else F.lit(0).cast("long")
+    absent = {f"_no_key_{n}": F.col(k).isNull() for n, k in enumerate(plain)}
+    rows = stream.select(*keys, whole(order).alias("_order"), F.col(order).isNull().alias("_no_order"), whole(row_id).alias("_id"),
+                         F.col(row_id).isNull().alias("_no_id"), F.coalesce(failed, F.lit(False)).alias("_failed"),
+                         group.alias("_group"), *[c.alias(name) for name, c in absent.items()])
+    counted = rows.groupBy("_group", *absent, *others).applyInPandasWithState(
+        count, shape, "open_failures string", "append", GroupStateTimeout.NoTimeout)
+    return counted.select(F.when(~F.col("_no_id"), F.col(row_id)).alias(row_id), *keys, "streak", "deny_next")

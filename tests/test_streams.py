@@ -89,3 +89,36 @@ def test_late_rows_go_aside(spark, tmp_path):
     jobs.split_late(stream.withColumn("ts", F.when(F.col("id") == 80, F.lit(dt.datetime(2023, 1, 1))).otherwise(F.col("ts"))),
                     "ts", f"{work}/cp", f"{work}/newest", count("ok"), count("late"))
     assert seen == {"ok": 89, "late": 1}
+
+
+def test_breaker_counts_many_sessions_in_one_call(spark, tmp_path):
+    """Sessions of a group share a call; keys of any type, nulls and ids beyond 53 bits come out as they went in."""
+    schema = "id bigint, who bigint, at string, day date, ts timestamp, failed boolean"
+    rng, start, big = random.Random(5), dt.datetime(2024, 1, 1), 2 ** 60
+    data = [(None if i == 7 else big + i, rng.choice([None, big + 1, big + 2, 3]), rng.choice([None, "x", "y"]), rng.choice([None, dt.date(2024, 1, 1)]),
+             None if i % 40 == 9 else start + dt.timedelta(minutes=i), rng.choice([True, True, True, False, None])) for i in range(600)]
+    for p in range(3):  # rows without time come last in their batch
+        spark.createDataFrame(data[200 * p:200 * (p + 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{p}"))
+    for groups, keys in ((1, ["who", "at"]), (3, ["at", "day", "who"])):
+        work = new_work_path(spark, "t")
+        for p in range(3):
+            spark.read.parquet(str(tmp_path / f"in/{p}")).write.mode("append").parquet(f"{work}/in")
+            stream = jobs.file_stream(spark, f"{work}/in", "*.parquet", spark.createDataFrame([], schema).schema)
+            jobs.run_to_end(stateful.breaker_stream(stream, keys, "ts", "id", "failed", groups=groups), f"{work}/out", f"{work}/cp")
+        open_runs, expected = {}, []
+        for p in range(3):
+            for r in sorted(data[200 * p:200 * (p + 1)], key=lambda r: (r[4] is None, r[4] or start, r[0] is None, r[0] or 0)):
+                session = tuple(r[["id", "who", "at", "day"].index(k)] for k in keys)
+                open_runs[session] = open_runs.get(session, 0) + 1 if r[5] else 0
+                expected.append((r[0], *session, open_runs[session], open_runs[session] >= telemetry.BREAK_AT))
+        got = [tuple(r) for r in spark.read.parquet(f"{work}/out").select("id", *keys, "streak", "deny_next").collect()]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_breaker_state_is_one_row_per_group_of_sessions(spark, tmp_path):
+    spark.range(2000).selectExpr("id", "id AS who", "timestamp '2024-01-01' AS ts", "true AS failed").write.parquet(str(tmp_path / "in"))
+    work = new_work_path(spark, "t")
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], "id bigint, who bigint, ts timestamp, failed boolean").schema)
+    jobs.run_to_end(stateful.breaker_stream(stream, ["who"], "ts", "id", "failed"), f"{work}/out", f"{work}/cp")
+    assert spark.read.format("statestore").load(f"{work}/cp").count() <= 1024
+    assert spark.read.parquet(f"{work}/out").filter("streak = 1").count() == 2000
