@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep the columns of ``documents``.
 Null texts count as empty texts, null sources as a source (or site) of their own, repeated rows are treated alike, other
-columns pass through, and empty tables give empty results.
+columns pass through, and empty tables give empty results. Stages with work in Python set the session's Arrow batches to
+1,000 rows at most, so that executors hold few texts at a time.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmetric.llm import lines, mixing, packing, quality, simhash
-from quillmetric.llm.work import Workspace
+from quillmetric.llm.work import Workspace, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to ``labels`` outside the held-out fold, scores 0.5 or more."""
+    small_batches(spark)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,6 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies."""
+    small_batches(spark)
     return simhash.one_of_each(docs, Workspace(spark))
 
 
@@ -40,6 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their sequence and offset."""
+    small_batches(spark)
     return packing.pack_documents(docs, Workspace(spark), release=True)
 
 

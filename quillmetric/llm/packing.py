@@ -19,7 +19,7 @@ from quillmetric.llm.tokens import Encoder, encoder, vocabulary_path
 from quillmetric.llm.work import Workspace, give_back, running, slices, text_or_empty
 
 CAPACITY = 1024
-RELEASED_CHUNKS = 100_000
+RELEASED_CHUNKS = 25_000
 END_ID = 2
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

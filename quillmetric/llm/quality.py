@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmetric.llm.boosting import Trees, fit
-from quillmetric.llm.work import SLICE_ROWS, slices, text_or_empty
+from quillmetric.llm.work import SLICE_ROWS, give_back, slices, text_or_empty
 
 #: Labelled rows that the trees are fitted on, at most; which ones is decided by a hash of the doc_id.
 SAMPLE_ROWS = 30_000
@@ -87,6 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 [batch.column("doc_id"), batch.column("quality"),
                  pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))],
                 ["doc_id", "quality", "features"])
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     described = (texts.join(F.broadcast(sample), "doc_id")  # at most sample_rows pairs of numbers

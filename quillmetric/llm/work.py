@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillmetric.session import new_work_path
 
 SLICE_ROWS = 500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,6 +26,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     pa.default_memory_pool().release_unused()
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session hands its Python workers at most ``rows`` rows at a time; a smaller setting stays.
+
+    By default 10,000 whole texts lie in the buffers of both the JVM and the worker, which grow by doubling and are kept.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system, where its C library can."""
     gc.collect()

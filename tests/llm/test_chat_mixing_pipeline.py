@@ -174,3 +174,27 @@ def test_copies_of_a_hot_cell_are_the_plan(spark, work):
     got = {r.src: (r.taken, r.copies) for r in sized.join(plan, ["src", "no_src", "size"]).groupBy("src").agg(
         F.sum(mixing.taken_copies()).alias("taken"), F.first("copies").alias("copies")).collect()}
     assert len(got) == 2 and all(taken == copies for taken, copies in got.values()) and any(copies % 20_000 for _, copies in got.values())
+
+
+def test_pipeline_stages_hand_few_texts_to_python_at_a_time(spark, edges, sf_dir):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for stage in (corpus_pipeline.near_copy_stage, corpus_pipeline.packing_stage):
+            spark.conf.set(name, "10000")
+            stage(spark, edges, sf_dir)
+            got = [r["n"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()]
+            assert sum(got) == 5000 and max(got) <= 1000
+        spark.conf.set(name, "7")
+        corpus_pipeline.packing_stage(spark, edges, sf_dir)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
