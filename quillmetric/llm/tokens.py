@@ -2,31 +2,36 @@
 
 A text is cut before every space that another visible character follows. The tokenizer's own splitting pattern always
 has a boundary there, so the ids of a text are the ids of its chunks in a row. Chunks recur; the ids of recent
-ones are kept in a bounded table per Python worker. Chunks and texts where the argument does not hold (runs of white space, control
+ones are kept in a bounded table per Python worker. A chunk with marks or a line break is put together from its words,
+so that the model meets a word once, whatever marks follow it. Chunks and texts where the argument does not hold (runs of white space, control
 characters, letters outside the Latin blocks, added tokens such as ``<|endoftext|>``) go through ``Tokenizer.encode`` as they are.
 """
 
 from __future__ import annotations
 
 import re
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 500_000
 KEPT_WORDS = 50_000
 LONGEST_KEPT = 64
 
-#: Fixed value: the splitting pattern of the byte-level vocabulary.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# the letters, numbers and white space of plain chunks; ASCII marks that begin no contraction
+_L, _N, _S, _M = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\n\t\r\x20", r"!-&(-/:-@\[-`{-~"
 
-# chunks in which both pattern libraries agree on letters, digits and white space
+#: Fixed value: the splitting pattern of the byte-level vocabulary, for plain chunks.
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+# chunks in which all pattern libraries agree on letters, digits and white space
 _PLAIN_CHUNK = re.compile(r"[\n\t\r\x20-\x7e\xa1-ɏ]*\Z")
-_LAST_PLAIN = "ɏ"
-_WORDS = regex.compile(SPLIT)
+_PLAIN_WORD = re.compile(rf"[{_L}]+\Z")
+_MARKED_WORDS = re.compile(rf"([{_L}]+)([{_M}]*)(?:\n([{_L}]+)([{_M}]*))?\Z")
+_WORDS = re.compile(SPLIT)
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -65,14 +70,14 @@ class Encoder:
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.alphabet = self._byte_alphabet()
-        self.blank = self.alphabet[ord(" ")]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.chunks = Recent(self._after_blank, kept)
         self.words = Recent(self._word, KEPT_WORDS)
 
     @staticmethod
-    def _byte_alphabet() -> dict[int, str]:
-        """The printable letter that stands for each byte, learnt from the library's own pre-tokenizer."""
+    def _byte_alphabet() -> str:
+        """The printable letters that stand for the bytes of plain text, in the order of the bytes, learnt from the library's own
+        pre-tokenizer. Other bytes have a letter that cannot be decoded."""
         splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = {}
         for code in range(0x80):
@@ -80,32 +85,38 @@ class Encoder:
         for code in range(0x80, 0x800):
             for byte, letter in zip(chr(code).encode(), splitter.pre_tokenize_str(chr(code))[0][0]):
                 letters[byte] = letter
-        return letters
+        return "".join(letters.get(byte, "\ufffe") for byte in range(256))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            letters = self.blank + word[1:] if word[0] == " " else word
-        else:
-            letters = word.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(letters)])
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(charmap_decode(word.encode(), "strict", self.alphabet)[0])])
 
     def _after_blank(self, chunk: str) -> bytes:
         """Ids of a blank and what follows it up to the next blank."""
+        if chunk.isalpha() and (chunk.isascii() or _PLAIN_WORD.match(chunk)):
+            return self._word(" " + chunk)
+        marked = _MARKED_WORDS.match(chunk)
+        if marked:
+            word, marks, line, line_marks = marked.groups()
+            ids, words = self.chunks[word], self.words
+            if marks:
+                ids += words[marks]
+            if line:
+                ids += words["\n"] + words[line]
+                if line_marks:
+                    ids += words[line_marks]
+            return ids
         if not chunk or chunk[0].isspace():
             raise _RunOfBlanks
-        if chunk.isascii() or max(chunk) <= _LAST_PLAIN:
-            if chunk.isalpha():
-                return self._word(" " + chunk)
-            if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-                return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
         return self._any(" " + chunk)
 
     def _any(self, chunk: str) -> bytes:
         if _PLAIN_CHUNK.match(chunk):
-            return b"".join(map(self.words.__getitem__, _WORDS.findall(chunk)))
+            chunks, words = self.chunks, self.words
+            return b"".join([chunks[w[1:]] if w[0] == " " and w[1:].isalpha() else words[w] for w in _WORDS.findall(chunk)])
         return self._whole(chunk)
 
     def encode(self, text: str) -> bytes:

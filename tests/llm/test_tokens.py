@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillmetric.llm import packing, token_orc
-from quillmetric.llm.tokens import encoder, vocabulary_path
+from quillmetric.llm.tokens import Encoder, encoder, vocabulary_path
 
 ODD = " \n\t\r\x0b\x1c\x85\xa0 'sdll.,!12½Ⅷab éЖ中🎈\\<|endoftext|>"
 
@@ -35,6 +35,29 @@ def test_added_tokens_are_the_librarys():
     assert np.frombuffer(encoder(vocabulary_path()).encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
 
 
+def test_plain_characters_are_split_as_by_the_library(plain):
+    for code in [0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, 0x0250)]:
+        c = chr(code)
+        for text in (f"a {c}b a{c} {c}{c}1{c}\nx{c} {c}'s", f"é!{c} é{c}!\n{c}É a.\nb{c}{c} 2{c}"):
+            assert np.frombuffer(encoder(vocabulary_path()).encode(text), "<u4").tolist() == plain(text)
+
+
+def test_the_model_meets_a_word_once_whatever_marks_follow(plain):
+    class Counting:
+        def __init__(self, model):
+            self.model, self.met = model, Counter()
+
+        def tokenize(self, letters):
+            self.met[letters] += 1
+            return self.model.tokenize(letters)
+
+    shared = Encoder(vocabulary_path())
+    shared.model = counting = Counting(shared.model)
+    text = "Ein Haus Haus. Haus!! Haus.\nHaus Haus$$$ (Haus) Haus.\nHaus, Haus!!"
+    assert np.frombuffer(shared.encode(text), "<u4").tolist() == plain(text)
+    assert set(counting.met.values()) == {1}
+
+
 def test_documents_give_the_tokenizers_ids(documents, plain):
     for text, in documents.select("text").limit(150).collect():
         assert np.frombuffer(encoder(vocabulary_path()).encode(text), "<u4").tolist() == plain(text)
