@@ -165,13 +165,14 @@ def pairs_apart(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """All different pairs ``a, b`` of nodes with different roots within two bits in a view, for
     ``members(node, root, shingles, prints, view, fingerprint)``, but for those whose numbers of shingles alone rule the similarity out.
 
-    Near fingerprints are found on their different values; only where those have several roots do their nodes meet.
+    Near fingerprints are found on their different values; only where those have several roots do their nodes meet. Spark takes the
+    exploded variants for as small as the values that they come from and would send all of them through the driver, so they meet by shuffling.
     """
     key = ["view", "fingerprint"]
     values = members.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"))
     met = values.withColumn("variant", F.explode(variants(F.col("fingerprint"), RADIUS // 2)))
     other = met.withColumnsRenamed({"fingerprint": "near", "low": "low2", "high": "high2"})
-    near = (met.join(other, ["view", "variant"]).filter("fingerprint <= near AND least(low, low2) <> greatest(high, high2)")
+    near = (met.join(other.hint("merge"), ["view", "variant"]).filter("fingerprint <= near AND least(low, low2) <> greatest(high, high2)")
             .select(*key, "near").distinct())
     left = members.withColumnsRenamed({"node": "a", "root": "root_a", "shingles": "size_a", "prints": "prints_a"})
     right = members.withColumnsRenamed({"node": "b", "root": "root_b", "shingles": "size_b", "prints": "prints_b", "fingerprint": "near"})
@@ -296,16 +297,17 @@ def near_classes(docs: DataFrame, work: Workspace, views: int = VIEWS, similarit
     pairs = work.table(meeting_pairs(prints, "node"), "pairs")
     edges = work.table(alike(pairs), "alike")
     roots = grouped(edges)
-    # every group at a meeting place of several groups is next to another one in its chain
-    apart = (pairs.join(roots.withColumnsRenamed({"node": "a", "root": "root_a"}), "a")
-             .join(roots.withColumnsRenamed({"node": "b", "root": "root_b"}), "b").filter("root_a <> root_b"))
+    # every group at a meeting place of several groups is next to another one in its chain; roots has a row for every text in few
+    # bytes of file, by which Spark would take it for small
+    apart = (pairs.join(roots.withColumnsRenamed({"node": "a", "root": "root_a"}).hint("merge"), "a")
+             .join(roots.withColumnsRenamed({"node": "b", "root": "root_b"}).hint("merge"), "b").filter("root_a <> root_b"))
     unsure = work.table(apart.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct(), "unsure")
     if not unsure.isEmpty():
         members = roots.join(small(unsure), "root").join(texts.select("node", "shingles", "prints"), "node")
         members = members.select("node", "root", "shingles", "prints", F.posexplode("prints").alias("view", "fingerprint"))
         left_out = work.table(pairs_apart(work.table(members, "members"), similarity), "left-out")
         roots = grouped(edges.unionByName(alike(left_out)))
-    return work.table(texts.select("_k1", "_k2", "least", "copies", "node").join(roots, "node").drop("node"), "groups")
+    return work.table(texts.select("_k1", "_k2", "least", "copies", "node").join(roots.hint("merge"), "node").drop("node"), "groups")
 
 
 def one_of_each(docs: DataFrame, work: Workspace, views: int = VIEWS, similarity: float = SIMILARITY) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints and groups against brute force."""
 
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -139,6 +140,18 @@ def test_same_words_in_many_orders(spark, work):
     assert set(map(frozenset, groups.values())) == want
 
 
+def test_variants_are_never_broadcast(spark):
+    """Few values stand for 65 times as many variants: the driver must not hold them, whatever Spark takes their size for."""
+    rng = random.Random(23)
+    base = [rng.getrandbits(62) for _ in range(40)]
+    rows = [(2 * k + s, 2 * k + s, 100, [b ^ s, ~b], 0, b ^ s) for k, b in enumerate(base) for s in (0, 1)]
+    members = spark.createDataFrame(rows, "node long, root long, shingles long, prints array<long>, view int, fingerprint long")
+    pairs = simhash.pairs_apart(members)
+    assert sorted(map(tuple, pairs.collect())) == [(2 * k, 2 * k + 1) for k in range(40)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[view#\d+, variant#", plan) and not re.search(r"BroadcastHashJoin \[view#\d+, variant#", plan)
+
+
 def test_long_texts_at_the_limit(spark, work):
     """Sets of many shingles next to the limit are decided by the whole sets."""
     rng, rows, want = random.Random(17), [], set()
